@@ -10,10 +10,12 @@ The product of the sparse document-by-shingle matrix with its transpose, in bloc
 3. A block of up to BLOCK nodes gives its pairs. A larger one first gives a star (each node with its least node); only
    pairs of nodes that verified stars have not yet connected are formed afterwards, in cells of CELL x CELL nodes,
    so a large group of near copies costs rows in proportion to its size and a hot shingle is spread over many tasks.
-4. Overlaps of the pairs left are counted exactly on the full sets, 100 * both >= 75 * either.
+4. Each set also has a parity sketch of about one bit a shingle. The bits in which two sketches differ are a lower bound of
+   the shingles in which the sets differ, so pairs too far apart go before any set moves.
+5. Overlaps of the pairs left are counted exactly on the full sets, 100 * both >= 75 * either.
 
-Nothing of the corpus reaches the driver but the sketch (SKETCH counters) and a Bloom filter of fixed size that spares
-sets no pair needs. Set equality and shingle equality are 64-bit hash equality.
+Nothing of the corpus reaches the driver but the count-min sketch (SKETCH counters) and a Bloom filter of fixed size that
+spares sets no pair needs. Set equality and shingle equality are 64-bit hash equality.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ CELL = 1024
 #: Bits of the Bloom filter.
 BLOOM = 1 << 24
 
-_PASS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
+_PASS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("parity", pa.list_(pa.int64())), ("piece", pa.int32()), ("counts", pa.binary())])
 _ENTRY = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("hot", pa.bool_())])
 _PAIR = pa.schema([("shingle", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 _CELL = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -52,6 +54,13 @@ def _node(s: np.ndarray) -> int:
     return int(each.sum().view(np.int64))
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """A power of two of 64-bit words, a bit or more for each shingle: how often each bit is drawn, modulo 2."""
+    words = 1 << max(0, (len(s) - 1).bit_length() - 6)
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sizes(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint32)
@@ -61,10 +70,10 @@ def _sizes(size: int):
                 held = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 np.add.at(counts, (held & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
                 k = len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), ids, pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_PASS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), ids, pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_parity(s) for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_PASS)
         pieces = counts.reshape(PIECES, -1)
         none = pa.nulls(PIECES, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(PIECES, np.int8)), none, none, none, pa.array(range(PIECES), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], schema=_PASS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(PIECES, np.int8)), none, none, none, pa.nulls(PIECES, pa.list_(pa.int64())), pa.array(range(PIECES), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], schema=_PASS)
 
     return run
 
@@ -92,7 +101,7 @@ def _keyed(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"piece": t.column("piece"), "part": pa.array([key[1].as_py()], pa.int32()), "counts": t.column("counts")})
 
 
-def _entries(size: int, sketch, percent: int):
+def _entries(size: int, sketch, percent: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_by, seen = sketch.value, set()
         usual = max(1, int(held_by.mean()))
@@ -108,7 +117,7 @@ def _entries(size: int, sketch, percent: int):
                     order = np.lexsort((s, np.maximum(known // usual, 1) if usual > 1 else known))
                     first = order[: n - -(-percent * n // 100) + 1]
                     k = len(first)
-                    out.append((s[first].view(np.int64), np.full(k, node, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), known[first] >= HOT))
+                    out.append((s[first].view(np.int64), np.full(k, node, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), known[first] >= hot))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_ENTRY)
 
@@ -122,7 +131,7 @@ def _allowed(n1, p1, n2, p2, percent: int):
     return (100 * low >= percent * high) & ((100 + percent) * both >= percent * (n1 + n2))
 
 
-def _blocks(percent: int):
+def _blocks(percent: int, block: int):
     """Streams entries sorted by shingle: pairs of small blocks, the entries themselves of large ones (b is null)."""
 
     def give(shingle, a, b, n, pos):
@@ -139,7 +148,7 @@ def _blocks(percent: int):
             if m < 2:
                 continue
             at = begin[length == m]
-            if m > BLOCK:
+            if m > block:
                 yield raw(t[(at[:, None] + np.arange(m)).ravel()])
                 continue
             i, j = np.triu_indices(m, 1)
@@ -160,6 +169,10 @@ def _blocks(percent: int):
             t = np.zeros(batch.num_rows, kind)
             for c, name in zip(("s", "v", "n", "p"), ("shingle", "node", "n", "pos"), strict=True):
                 t[c] = batch.column(name).to_numpy(zero_copy_only=False)
+            hot = batch.column("hot").to_numpy(zero_copy_only=False)
+            if hot.any():
+                yield raw(t[hot])
+                t = t[~hot]
             t = np.concatenate([left, t])
             if large is not None:
                 more = t["s"] == large
@@ -174,7 +187,7 @@ def _blocks(percent: int):
             if k:
                 yield from pairs(t[:k])
             left = t[k:]
-            if len(left) > BLOCK:
+            if len(left) > block:
                 large = left["s"][0]
                 yield raw(left)
                 left = left[:0]
@@ -193,7 +206,7 @@ def _sets(size: int, bloom):
             for _, texts in common.steps(batch.column(0), batch.column(1)):
                 nodes, kept = [], []
                 for s in common.shingle_sets(texts, size):
-                    if len(s) and (node := _node(s)) not in seen and bits[_bit(node)]:
+                    if len(s) and (node := _node(s)) not in seen and bits[(bit := node % BLOOM) >> 3] >> (bit & 7) & 1:
                         seen.add(node)
                         nodes.append(node)
                         kept.append(s.view(np.int64))
@@ -204,43 +217,72 @@ def _sets(size: int, bloom):
     return run
 
 
-def _bit(node):
-    return np.asarray(node).astype(np.uint64) % np.uint64(BLOOM) if isinstance(node, np.ndarray) else (node & (2**64 - 1)) % BLOOM
-
-
 def _bloom(nodes: DataFrame) -> np.ndarray:
-    """One bit for each node's low bits. Tasks give distinct bytes of the filter, so at most BLOOM / 8 rows reach the driver."""
-    rows = nodes.selectExpr(f"cast(pmod(node, {BLOOM}) div 64 as int) AS word", f"shiftleft(1L, cast(pmod(node, {BLOOM}) % 64 as int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    """One bit for each node's low bits; the driver gets BLOOM / 64 words at most."""
+    rows = nodes.selectExpr(f"cast(pmod(node, {BLOOM}) div 64 as int) AS word", f"shiftleft(1L, cast(pmod(node, {BLOOM}) % 64 as int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(BLOOM // 64, np.int64)
-    packed = rows.groupBy((F.col("word") / 4096).cast("int").alias("part")).agg(F.collect_list(F.struct("word", "bits")).alias("w"))
-    for r in packed.toLocalIterator():
-        for x in r.w:
-            words[x.word] = x.bits
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return words.view(np.uint8)
+
+
+def _far(a: list, b: list) -> np.ndarray:
+    """In how many bits the parity sketches of pairs differ at least; those of other sizes are folded to the smaller."""
+    out = np.full(len(a), np.iinfo(np.int64).max)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for m, n in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes == (m, n)).all(1))
+        x, y = np.stack([a[k] for k in at]), np.stack([b[k] for k in at])
+        w = min(m, n)
+        if max(m, n) <= 2 * w:
+            fold = lambda z: z if z.shape[1] == w else z[:, :w] ^ z[:, w:]  # noqa: E731, B023
+            out[at] = np.bitwise_count(fold(x) ^ fold(y)).sum(1, dtype=np.int64)
+    return out
 
 
 def _cells(percent: int):
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        node, label, n, pos = (table.column(c).to_numpy() for c in ("node", "label", "n", "pos"))
+        node, label, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "label", "n", "pos"))
+        parity = [np.array(x, np.int64) for x in table.column("parity").to_pylist()]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         one, two = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        ok = (label[one][:, None] != label[two][None, :]) & _allowed(n[one].astype(np.int64)[:, None], pos[one][:, None], n[two].astype(np.int64)[None, :], pos[two][None, :], percent)
-        x, y = np.nonzero(np.triu(ok, 1) if i == j else ok)
-        a, b = node[one[x]], node[two[y]]
+        out = []
+        for part in np.array_split(one, -(-len(one) // 64)):
+            ok = (label[part][:, None] != label[two][None, :]) & _allowed(n[part][:, None], pos[part][:, None], n[two][None, :], pos[two][None, :], percent)
+            if i == j:
+                ok &= part[:, None] < two[None, :]
+            x, y = np.nonzero(ok)
+            x, y = part[x], two[y]
+            near = (100 + percent) * _far([parity[k] for k in x], [parity[k] for k in y]).clip(max=1 << 40) <= (100 - percent) * (n[x] + n[y])
+            out.append(np.stack([node[x[near]], node[y[near]]]))
+        a, b = np.concatenate(out, axis=1)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=_CELL)
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that parity sketches don't rule out."""
+    fold = lambda c, other: F.when(F.size(c) > F.size(other), F.zip_with(F.slice(c, 1, F.size(other)), F.slice(c, F.size(other) + 1, F.size(other)), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+    one = pairs.join(classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("p_b")), "b").join(classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("p_a")), "a")
+    one = one.where(F.greatest(F.size("p_a"), F.size("p_b")) <= 2 * F.least(F.size("p_a"), F.size("p_b")))
+    differ = F.aggregate(F.zip_with(fold("p_a", "p_b"), fold("p_b", "p_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return one.where(F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets overlap enough, counted exactly."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bloom = pairs.sparkSession.sparkContext.broadcast(_bloom(wanted))
+    sets = docs.mapInArrow(_sets(size, bloom), "node long, set array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = common.keep(sets, "sets")
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return one.withColumn("both", both).where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
+    one = one.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("total"))
+    return common.keep(one.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("total") - F.col("both"))).select("a", "b"), "links")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, block: int = BLOCK, hot: int = HOT, cell: int = CELL) -> DataFrame:
     """(id, n_shingles, component_id, copies) for every row of docs.
 
     n_shingles: distinct shingles of size words; a text with fewer words is one shingle, a null, empty or blank one has
@@ -249,36 +291,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     per distinct set, and its component is the least of them; an empty table gives an empty table."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    first = common.keep(docs.mapInArrow(_sizes(size), "kind byte, doc_id long, node long, n long, piece int, counts binary"), "sizes")
+    first = common.keep(docs.mapInArrow(_sizes(size), "kind byte, doc_id long, node long, n long, parity array<long>, piece int, counts binary"), "sizes")
     rows = first.where("kind = 0").select("doc_id", "node", "n")
     sketch = spark.sparkContext.broadcast(_sketch(first.where("kind = 1").select("piece", "counts")))
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-
-    entries = docs.mapInArrow(_entries(size, sketch, percent), "shingle long, node long, n int, pos int, hot boolean")
-    entries = common.keep(entries, "entries")
-    met = entries.where("not hot").select("shingle", "node", "n", "pos").repartition("shingle").sortWithinPartitions("shingle")
-    met = common.keep(met.mapInArrow(_blocks(percent), "shingle long, a long, b long, n int, pos int"), "blocks")
-    large = met.where("b is null").select("shingle", F.col("a").alias("node"), "n", "pos")
-    large = large.unionByName(entries.where("hot").select("shingle", "node", "n", "pos")).distinct()
+    classes = first.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    classes = common.keep(classes, "classes")
+
+    entries = docs.mapInArrow(_entries(size, sketch, percent, hot), "shingle long, node long, n int, pos int, hot boolean")
+    entries = entries.repartition(F.when(F.col("hot"), F.col("node")).otherwise(F.col("shingle"))).sortWithinPartitions("shingle")
+    met = common.keep(entries.mapInArrow(_blocks(percent, block), "shingle long, a long, b long, n int, pos int"), "blocks")
+    large = met.where("b is null").select("shingle", F.col("a").alias("node"), "n", "pos").distinct()
     stars = large.join(large.groupBy("shingle").agg(F.min("node").alias("centre")), "shingle").where("node <> centre")
     pairs = met.where("b is not null").select("a", "b").unionByName(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))).distinct()
-    pairs = common.keep(pairs, "pairs")
-
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
-    bloom = spark.sparkContext.broadcast(_bloom(wanted))
-    sets = docs.mapInArrow(_sets(size, bloom), "node long, set array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = common.keep(sets, "sets")
-    links = common.keep(_verified(pairs, sets, percent), "links")
+    pairs = common.keep(_near(pairs, classes, percent), "pairs")
+    links = _verified(pairs, docs, size, percent)
     found = common.components(links)
 
     labelled = large.join(found, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
-    open_ = labelled.groupBy("shingle").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", F.ceil(F.col("m") / CELL).cast("int").alias("sides"))
-    cells = labelled.join(open_, "shingle").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+    open_ = labelled.groupBy("shingle").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", F.ceil(F.col("m") / cell).cast("int").alias("sides"))
+    cells = labelled.join(open_, "shingle").join(classes.select("node", "parity"), "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
     more = cells.groupBy("shingle", "i", "j").applyInArrow(_cells(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    again = common.keep(_verified(more, sets, percent), "links")
-    if not again.isEmpty():
-        found = common.components(links.unionByName(again))
+    more = common.keep(more, "pairs")
+    if not more.isEmpty():
+        found = common.components(links.unionByName(_verified(more, docs, size, percent)))
 
     least = classes.join(found, "node", "left").withColumn("group", F.coalesce("label", "node"))
     ids = least.groupBy("group").agg(F.min("least").alias("component_id"))
