@@ -22,8 +22,10 @@ from tessella.llm import common
 
 #: Labelled rows at most from which trees and calibration are fitted, those of least hash; the bound of the driver's work.
 SAMPLE = 50_000
-#: Words of the learned lexicon at most, and the share of toxic rows that a word must be in.
-LEXICON, SUPPORT = 500, 0.005
+#: Entries of the learned lexicon at most; how often one must occur in toxic rows, by their number; its least log odds.
+LEXICON, SUPPORT, ODDS = 500, 0.03, 1.5
+#: Letters of the word beginnings ("^ab...") that can be entries beside whole words.
+STEMS = (3, 4, 5, 6)
 #: Tokens between a lexicon word and a second-person word that count as near.
 NEAR = 5
 #: Trees, their depth, learning rate, bins a feature, least rows in a leaf.
@@ -41,13 +43,17 @@ _INNER = re.compile(r"[^\W\d_][^\w\s'’\-]+[^\W\d_]|[^\W\d_]\d+[^\W\d_]")
 FEATURES = ("fixed", "learned", "strongest", "hits", "near", "hidden", "upper", "shout", "exclaim", "question", "punctuation", "obfuscated", "second", "digits", "log_tokens")
 
 
+def _weight(word: str, lexicon: dict[str, float]) -> float:
+    return max([lexicon.get(word, 0.0), *(lexicon.get("^" + word[:k], 0.0) for k in STEMS if len(word) > k)])
+
+
 def _token(raw: str, lexicon: dict[str, float]) -> tuple:
     """fixed, learned weight, hit, hidden hit, second person, obfuscated, all capitals, upper, exclaim, question, punctuation, digits, characters."""
     low = raw.lower()
     core = _CORE.match(low).group(1)
     parts = [core, *re.split(r"[\W_]+", core)] if core and not core.isalpha() else [core]
     fixed = any(p in INSULTS for p in parts)
-    weight = max((lexicon.get(p, 0.0) for p in parts), default=0.0)
+    weight = max(_weight(p, lexicon) for p in parts)
     odd = bool(core) and not core.isalpha() and bool(_INNER.search(core))
     hidden = False
     if odd or (low and not fixed and not low.isalpha() and any(c.isalpha() for c in low)):
@@ -204,10 +210,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     lexicon: dict[str, float] = {}
     if bad and good:
-        words = seen.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0)))).alias("word"))
-        words = words.groupBy("word").agg(F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("g")).where(F.col("b") >= max(3, SUPPORT * bad))
-        odds = F.log((F.col("b") + 0.5) / (bad + 1)) - F.log((F.col("g") + 0.5) / (good + 1))
-        found = words.select("word", "b", odds.alias("odds")).where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("b")), "word").limit(LEXICON)
+        words = seen.dropDuplicates(["text", "label"]).select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0))).alias("word"))
+        words = words.groupBy("word").agg(F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("g"))
+        all_bad, all_good = words.agg(F.sum("b"), F.sum("g")).first()
+        stems = [F.when(F.char_length("word") > k, F.concat(F.lit("^"), F.substring("word", 1, k))) for k in STEMS]
+        units = words.select(F.explode(F.array_compact(F.array("word", *stems))).alias("word"), "b", "g").groupBy("word").agg(F.sum("b").alias("b"), F.sum("g").alias("g"))
+        odds = F.log((F.col("b") + 0.5) / ((all_bad or 0) + 1)) - F.log((F.col("g") + 0.5) / ((all_good or 0) + 1))
+        found = units.where(F.col("b") >= max(5, SUPPORT * bad)).select("word", "b", odds.alias("odds")).where(F.col("odds") > ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("b")), "word").limit(LEXICON)
         lexicon = {r["word"]: round(r["odds"] * 1024) / 1024 for r in found.collect()}  # so that sums are exact in any order
     model = Model(lexicon)
     used = rows.where("part <> 'lexicon'").withColumn("hash", F.xxhash64("doc_id"))
