@@ -1,6 +1,54 @@
-STAGES = []
+"""A corpus pipeline of five stages, each one of the operators of tessella.llm.
+
+A stage takes (spark, docs, sf_dir) and gives the documents that it keeps, with the columns of documents; the last gives
+the packed pieces. Each stage's result is written and read again before the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import common, decontam, ngram_join, packing, secrets, toxicity
+from tessella.llm.queries import tokenizer_path
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels that aren't held out, scores below 0.5."""
+    return toxicity.kept(docs, common.table(spark, sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by a similarity of 0.75 or more, the one with the smallest id."""
+    groups = ngram_join.join(docs)
+    least = common.keep(groups.where("doc_id = component_id").select("doc_id").distinct(), "least")
+    return docs.join(least, "doc_id", "left_semi").select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy of a test item."""
+    return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, the secrets in them replaced by a mark and n_chars set anew where there were any."""
+    length = F.when(F.col("text").isNotNull() & (F.char_length("text") != F.col("_was")), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    marked = secrets.redacted(docs.withColumn("_was", F.char_length("text")))
+    return marked.withColumn("n_chars", length).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", without_toxic), ("ngram_jaccard_join", without_copies), ("benchmark_decontamination", without_benchmark), ("secret_scans", without_secrets), ("best_fit_packing", packed)]
+#: SQL can't express the classifier, the alignment or the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
