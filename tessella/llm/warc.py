@@ -7,6 +7,10 @@ IN, prefix and null tests on the header columns are pushed down (spark.sql.pytho
 header block is parsed first, and the block of a record that fails them is sought over, neither read nor decoded. Option
 payload=false does so for all records, for queries on headers alone.
 
+Files ending in .gz hold gzip members, as the format asks for. The writer gives a record two members, its header block and
+its block, and notes both lengths in the first one's extra field, so that here, too, a reader seeks over blocks; any other
+reader takes them for one stream. Records of other writers are expanded member by member.
+
 Writing: a task writes files under a name of its own; the driver moves those of tasks that succeeded, so lost or repeated
 tasks leave no records behind.
 """
@@ -15,7 +19,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -72,7 +78,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         at, root = _open(self.path)
-        found = sorted((x for x in at.get_file_info(fs.FileSelector(root, recursive=False)) if x.path.endswith(".warc")), key=lambda x: x.path)
+        found = sorted((x for x in at.get_file_info(fs.FileSelector(root, recursive=False)) if x.path.endswith((".warc", ".warc.gz"))), key=lambda x: x.path)
         groups: list[list[str]] = []
         size = PARTITION_BYTES
         for x in found:
@@ -102,20 +108,19 @@ class WarcReader(DataSourceReader):
         size = 0
         for path in partition.paths:
             with at.open_input_file(path) as raw:
-                source = _Buffered(raw)
-                while (header := _header(source)) is not None:
+                source = _Zipped(raw) if path.endswith(".gz") else _Plain(raw)
+                while (header := source.header()) is not None:
                     length = int(header["content-length"])
                     if not self._wanted(header):
-                        source.skip(length + 4)
+                        source.skip_block(length)
                         continue
                     payload, full = None, header.get("x-payload-length")
                     if self.payload:
-                        payload = source.take(length)
+                        payload = source.block(length)
                         if header.get("content-type", "").startswith("application/http"):
                             payload = payload[payload.index(b"\r\n\r\n") + 4 :]
-                        source.skip(4)
                     else:
-                        source.skip(length + 4)
+                        source.skip_block(length)
                     rows.append((*(header.get(f) for f in _FIELDS.values()), int(full) if full else None, payload))
                     size += len(payload or b"") + 300
                     if size >= BATCH_BYTES:
@@ -158,19 +163,80 @@ class _Buffered:
             self.raw.seek(self.raw.tell() + n - have)
 
 
-def _header(source: _Buffered) -> dict[str, str] | None:
-    first = source.line()
-    if not first:
-        return None
+def _fields(head: bytes) -> dict[str, str]:
+    first, *rest = head.split(b"\r\n")
     if not first.startswith(b"WARC/1."):
         raise ValueError(f"not a WARC record: {first[:40]!r}")
     out: dict[str, str] = {}
-    while (line := source.line().rstrip(b"\r\n")) != b"":
+    for line in rest:
         name, _, value = line.decode().partition(":")
-        out[name.lower()] = value.strip()
+        if name:
+            out[name.lower()] = value.strip()
     return out
 
 
+class _Plain(_Buffered):
+    """Records of a file that isn't compressed."""
+
+    def header(self) -> dict[str, str] | None:
+        head = [self.line()]
+        while head[-1] not in (b"", b"\r\n"):
+            head.append(self.line())
+        return _fields(b"".join(head)) if head[0] else None
+
+    def block(self, length: int) -> bytes:
+        out = self.take(length)
+        self.skip(4)
+        return out
+
+    def skip_block(self, length: int) -> None:
+        self.skip(length + 4)
+
+
+#: Fixed value: the first ten bytes of a gzip member that has an extra field, and the subfield of two lengths in it.
+_GZIP, _LENGTHS = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff", b"WR"
+
+
+def _member(data: bytes, extra: bytes = b"") -> bytes:
+    packer = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush() + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    return _GZIP + struct.pack("<H", len(extra)) + extra + body
+
+
+def zipped(head: bytes, block: bytes) -> bytes:
+    """A record as two members."""
+    second = _member(block + b"\r\n\r\n")
+    size = len(_member(head)) + 20
+    return _member(head, _LENGTHS + struct.pack("<HQQ", 16, size, len(second))) + second
+
+
+class _Zipped(_Buffered):
+    """Records of a file of gzip members."""
+
+    def header(self) -> dict[str, str] | None:
+        start = self.take(32)
+        if not start:
+            return None
+        self.whole = None
+        if start[:10] == _GZIP and start[12:14] == _LENGTHS:
+            size, self.second = struct.unpack_from("<QQ", start, 16)
+            return _fields(zlib.decompress(start + self.take(size - 32), 31))
+        unpacker, parts, data = zlib.decompressobj(31), [], start
+        while data and not unpacker.eof:
+            parts.append(unpacker.decompress(data))
+            data = b"" if unpacker.eof else self.take(1 << 16)
+        self.buffer, self.at = unpacker.unused_data + self.buffer[self.at :], 0
+        head, _, self.whole = b"".join(parts).partition(b"\r\n\r\n")
+        return _fields(head)
+
+    def block(self, length: int) -> bytes:
+        return (zlib.decompress(self.take(self.second), 31) if self.whole is None else self.whole)[:length]
+
+    def skip_block(self, length: int) -> None:
+        if self.whole is None:
+            self.skip(self.second)
+
+
 class WarcWriter(DataSourceArrowWriter):
     """Takes the columns of SCHEMA; payload_digest and payload_length are those of the full payload, which a revisit leaves out."""
 
@@ -187,8 +253,8 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None or size + len(record) > FILE_BYTES:
                     if out:
                         out.close()
-                    paths.append(f"{root}/_writing/{uuid.uuid4().hex}.warc")
-                    out, size = at.open_output_stream(paths[-1]), 0
+                    paths.append(f"{root}/_writing/{uuid.uuid4().hex}.warc.gz")
+                    out, size = at.open_output_stream(paths[-1], compression=None), 0
                 out.write(record)
                 size += len(record)
         if out:
@@ -198,7 +264,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         at, root = _open(self.path)
         for k, path in enumerate(p for m in messages if m for p in m.paths):
-            at.move(path, f"{root}/part-{k:06d}.warc")
+            at.move(path, f"{root}/part-{k:06d}.warc.gz")
         self._sweep()
 
     def abort(self, messages: list) -> None:
@@ -219,7 +285,7 @@ def _record(row: dict) -> bytes:
     if row["record_type"] == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return zipped(b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n", block)
 
 
 class WarcDataSource(DataSource):
