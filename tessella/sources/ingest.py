@@ -20,7 +20,7 @@ def _by_file(*more: str) -> Window:
 
 
 def _fields(text: Column, pattern: str = ",") -> Column:
-    return F.transform(F.split(text, pattern), F.trim)
+    return F.transform(F.split(text, pattern), lambda x: F.trim(x))
 
 
 def marc_float(c: Column) -> Column:
