@@ -869,3 +869,71 @@ def z1_cycle_ranges(spark, sf):
 def z2_running_sums(spark, sf):
     got = monitor.running_sums(table(spark, sf, "cyc_field"))
     return got.select("entity_id", "var", "n", r6("sum"), r6("average"), (F.round("square_sum", 4) + 0.0).alias("square_sum"))
+
+
+# ---------------------------------------------------------------- further look-ups and tables
+
+
+@query("SELECT point_id, node_id, pres, temp FROM (SELECT s_suppkey AS point_id, s_suppkey * 3 AS node_id FROM supplier) LEFT JOIN lat_node USING (node_id)", "lat_node")
+def j1_values_at(spark, sf):
+    q = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") * 3).alias("node_id"))
+    return topology.values_at(q, table(spark, sf, "lat_node"), "node_id", ["pres", "temp"]).select("point_id", "node_id", "pres", "temp")
+
+
+@query("SELECT region AS name, array_to_string(list(face_id ORDER BY face_id), ',') AS ids FROM lat_face WHERE region IS NOT NULL GROUP BY region", "lat_face")
+def j18_region_table(spark, sf):
+    return topology.region_table(regions_of(spark, sf), "face_id").select("name", F.array_join("ids", ",").alias("ids"))
+
+
+@query("SELECT node_id, x, y, z, pres FROM lat_node", "lat_node")
+def j29_scattered(spark, sf):
+    n = table(spark, sf, "lat_node")
+    return topology.scattered(n, n, "node_id", "pres")
+
+
+@query("SELECT cell_id, CASE WHEN i < 3 THEN 12 WHEN i < 6 THEN 13 ELSE 10 END AS cell_type, CASE WHEN i < 3 THEN 8 WHEN i < 6 THEN 6 ELSE 4 END AS n FROM lat_cell", "lat_cell")
+def s31_classified(spark, sf):
+    c = table(spark, sf, "lat_cell").withColumns({"family": F.when((F.col("i") >= 3) & (F.col("i") < 6), "wedge"), "dimension": F.lit(3)})
+    c = c.withColumn("nodes", F.when(F.col("i") >= 6, F.slice("nodes", 1, 4)).otherwise(F.col("nodes"))).drop("cell_type")
+    return topology.classify(c).select("cell_id", "cell_type", F.size("nodes").alias("n"))
+
+
+@query("SELECT cell_id, least(n6, 150) AS last FROM lat_cell", "lat_cell")
+def h4_clamped(spark, sf):
+    return topology.clamp_nodes(table(spark, sf, "lat_cell"), 151).select("cell_id", F.get("nodes", F.lit(6)).alias("last"))
+
+
+@query("SELECT node_id AS point_id FROM lat_node WHERE x > 0", "lat_node")
+def f12_beside_surface(spark, sf):
+    n, f = table(spark, sf, "lat_node"), filters.on_surfaces(table(spark, sf, "lat_face"), regions_of(spark, sf), ["Xmin"])
+    g = topology.face_geometry(f, n)
+    at = g.select("face_id", *(F.col("c" + c).alias(c) for c in "xyz"), F.abs("nx").alias("nx"), "ny", "nz")
+    return filters.beside_surface(n.select(F.col("node_id").alias("point_id"), "x", "y", "z"), at).select("point_id")
+
+
+@query("SELECT 0 AS slice, unnest(['area', 'flux']) AS quantity, unnest([121.5::DOUBLE, 121.5::DOUBLE]) AS value FROM (SELECT max(k) FROM lat_node)", "lat_node")
+def s29_integration_table(spark, sf):
+    p = slices.cut(table(spark, sf, "lat_cell"), table(spark, sf, "lat_node"), (0, 0, 0.2), (0, 0, 1), ["velx", "vely", "velz"])
+    return rounded(datasets.integration_table(slices.integrate(slices.slice_triangles(p), (0, 0, 1), vector=("velx", "vely", "velz")), ["area", "flux"]))
+
+
+@query("SELECT point_id, pres, node_id AS elem FROM d WHERE rank = 1", "lat_node", extra=_QUERY)
+def s30_probe_output(spark, sf):
+    got = nearest.nearest(query_points(spark, sf), node_sources(spark, sf), ["pres"]).withColumnRenamed("source_id", "elem")
+    return datasets.probe_output(got, {"title": ["point_id"], "coords": ["x", "y", "z"], "scalar": ["pres"], "elem": ["elem"]}, ["title", "scalar", "elem"])
+
+
+@query("SELECT face_id AS id, CAST(place AS INTEGER) AS place, [n0, n1, n2, n3][place + 1] AS node_id FROM lat_face, (SELECT unnest(range(4)) AS place)", "lat_face")
+def j8_h1_face_nodes(spark, sf):
+    return topology.face_nodes(table(spark, sf, "lat_face")).select(F.col("face_id").alias("id"), "place", "node_id")
+
+
+@query("SELECT face_id, region AS name FROM lat_face WHERE region IS NOT NULL", "lat_face")
+def j17_regions_of_face(spark, sf):
+    return topology.regions_of_face(regions_of(spark, sf)).select("face_id", F.get("names", F.lit(0)).alias("name"))
+
+
+@query("SELECT s_suppkey AS point_id, s_suppkey % 5 AS material, CASE WHEN s_suppkey % 5 IN (1, 2, 3) THEN s_suppkey % 5 - 1 ELSE -1 END AS place FROM supplier")
+def j20_material_place(spark, sf):
+    q = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") % 5).alias("material"))
+    return topology.material_place(table(spark, sf, "lat_cell"), q).select("point_id", "material", F.col("place").cast("long").alias("place"))
