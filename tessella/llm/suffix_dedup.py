@@ -38,7 +38,7 @@ HOT = 50_000
 LEAST_BITS, MOST_BITS = 1 << 24, 1 << 31
 HOT_BITS = 1 << 22
 #: Suffixes that a task sorts into one run, and about as many as meet in one bucket.
-RUN, BUCKET = 150_000, 20_000
+RUN, BUCKET = 50_000, 10_000
 #: Window starts of a very long text that are handled at once.
 PIECE = 4 << 20
 
@@ -205,14 +205,15 @@ def _suffixes(filter_, hot, buckets: int, size: int, block: int):
                     continue
                 again = _has(some, step.block)
                 much = again & _has(very, step.block) if len(very) else np.zeros(len(again), bool)
-                picked = np.flatnonzero(again & ~much)
-                if len(picked):
-                    parts.append((step, picked, doc[step.text[picked]], key[step.text[picked]]))
-                    held += len(picked)
                 picked = np.flatnonzero(much)
                 for few in np.array_split(picked, max(1, len(picked) // 5000)):
                     if len(few):
                         yield from windows(step, few, doc[step.text[few]], key[step.text[few]])
+                step.total = None  # eight times the text; only windows need it
+                picked = np.flatnonzero(again & ~much)
+                if len(picked):
+                    parts.append((step, picked, doc[step.text[picked]], key[step.text[picked]]))
+                    held += len(picked)
                 if held >= RUN:
                     yield from flush(parts, wide)
                     parts, held = [], 0
