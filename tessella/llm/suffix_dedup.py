@@ -7,7 +7,7 @@ at anchors (one in about 50 places), each with the windows it anchors: those tha
 1. A pass counts the anchor blocks (by hash, partial counts); only anchors whose block occurs twice go on.
 2. A pass sorts these suffixes, cut at the end of their last window, into runs. Equal suffixes with equal windows within a run
    are one entry, whose windows are repeated at once. Runs are front-coded (length of the prefix shared with the entry
-   before, and the rest) and exchanged by block, so that equal blocks meet.
+   before, and the rest), the bytes are compressed, and exchanged by block, so that equal blocks meet.
 3. A task merges the runs of its blocks with a loser tree that knows, of every loser, the prefix it shares with the last
    output, and compares two entries only behind the longer known prefix. The prefixes shared by neighbours in the result are
    the suffix array's common-prefix array: for a window that begins t bytes before its anchor, entries between which no
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,9 +174,10 @@ def _suffixes(filter_, hot, buckets: int, size: int, block: int):
         for c, v in (("doc", doc), ("hash", key), ("at", at), ("first", at - high), ("last", at - low), ("done", again)):
             meta[c] = v[pick]
         rows: list[list] = [[] for _ in range(6)]
+        packed = zstandard.ZstdCompressor(level=3).compress
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
             here = order[a:b].tolist()
-            for c, v in zip(rows, (int(ordered[a]), near[a:b].astype(np.uint8).tobytes(), length[order[a:b]].astype(np.uint8).tobytes(), b"".join(strings[k][s:] for k, s in zip(here, near[a:b].tolist(), strict=True)), b"".join(lefts[k] for k in here), meta[a:b].tobytes()), strict=True):
+            for c, v in zip(rows, (int(ordered[a]), near[a:b].astype(np.uint8).tobytes(), length[order[a:b]].astype(np.uint8).tobytes(), packed(b"".join(strings[k][s:] for k, s in zip(here, near[a:b].tolist(), strict=True))), packed(b"".join(lefts[k] for k in here)), meta[a:b].tobytes()), strict=True):
                 c.append(v)
             if len(rows[0]) >= 512:
                 yield _found(kind=np.zeros(len(rows[0]), np.int8), **dict(zip(("bucket", "shared", "length", "rest", "left", "meta"), rows, strict=True)))
@@ -360,14 +362,15 @@ def _repeated(rows: list[tuple], size: int, block: int) -> Iterator[pa.RecordBat
 
 def _merged(size: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows = None, []
+        bucket, rows, unpacked = None, [], zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shared", "length", "rest", "left", "meta")), strict=True):
                 if b != bucket and rows:
                     yield from _repeated(rows, size, block)
                     rows = []
                 bucket = b
-                rows.append(tuple(row))
+                shared, length, rest, left, meta = row
+                rows.append((shared, length, unpacked(rest), unpacked(left), meta))
         if rows:
             yield from _repeated(rows, size, block)
 
