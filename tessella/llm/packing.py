@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import array
 import bisect
 import functools
 import zlib
@@ -40,9 +41,26 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Fixed value: ASCII punctuation that ends a pre-token of letters and merges with none.
+_ENDS = b".,;:!?"
+
+
+def _parts(chunk: bytes) -> tuple[bytes, bytes]:
+    """A chunk as lower-case letters and the punctuation after them, where the vocabulary splits it so; else itself."""
+    if b"<|" in chunk:  # may be a special token, which case and neighbours matter to
+        return chunk, b""
+    core = chunk.rstrip(_ENDS)
+    if not core or not (core[-1:].isalpha() or core[-1] >= 128):
+        return chunk.lower(), b""
+    if len(core) < len(chunk) and core[-1] >= 128 and not core.decode().lower()[-1].isalpha():  # a mark would join the punctuation
+        return chunk.lower(), b""
+    return core.lower(), chunk[len(core) :]
+
+
 def _pieces(path: str, end_id: int, size: int):
     """Ids of chunks between ASCII white space are joined: this vocabulary drops white space and merges nothing across it."""
     known: dict[bytes, bytes] = {}
+    basic: dict[bytes, bytes] = {b"": b""}
     end = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,9 +70,14 @@ def _pieces(path: str, end_id: int, size: int):
                 split = [b.split() for b in raw]
                 if len(known) > REMEMBERED:
                     known.clear()
-                new = [w for w in set().union(*split) if w not in known]
-                coded = model.encode_batch([w.decode() for w in new], add_special_tokens=False)
-                known.update((w, np.array(c.ids, np.uint32).tobytes()) for w, c in zip(new, coded, strict=True))
+                if len(basic) > REMEMBERED:
+                    basic.clear()
+                    basic[b""] = b""
+                new = [(w, *_parts(w)) for w in set().union(*split) if w not in known]
+                strange = [w for w in {x for _, *both in new for x in both} if w not in basic]
+                coded = model.encode_batch_fast([w.decode() for w in strange], add_special_tokens=False)
+                basic.update((w, array.array("I", c.ids).tobytes()) for w, c in zip(strange, coded, strict=True))
+                known.update((w, basic[a] + basic[b]) for w, a, b in new)
                 out: list[list] = [[], [], [], [], []]
                 for doc_id, words in zip(ids.to_pylist(), split, strict=True):
                     tokens = b"".join([*map(known.__getitem__, words), end])
