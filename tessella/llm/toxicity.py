@@ -4,7 +4,7 @@ Features of a whole text come from a table of its distinct tokens: densities of
 words near second-person words, capitals, punctuation and obfuscation (symbols or digits for letters, undone before the
 lexicons are asked). Labels are used in three disjoint parts of the training rows: one gives the learned lexicon (word
 counts by Spark), one the trees, one the calibration; so neither sees words picked to fit it. Trees and calibration are
-fitted on the driver from at most SAMPLE rows of features; everything else runs in the tasks over all rows.
+fitted on the driver; all three use at most SAMPLE labelled rows. Scores run in the tasks over all rows.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 
-#: Labelled rows at most from which trees and calibration are fitted, those of least hash; the bound of the driver's work.
-SAMPLE = 50_000
+#: Labelled rows at most from which lexicon, trees and calibration are fitted, those of least hash. It bounds what is
+#: broadcast, written and sent to the driver, whatever the input.
+SAMPLE = 60_000
 #: Entries of the learned lexicon at most; how often one must occur in toxic rows, by their number; its least log odds.
 LEXICON, SUPPORT, ODDS = 500, 0.03, 1.5
 #: Letters of the word beginnings ("^ab...") that can be entries beside whole words.
@@ -38,6 +39,7 @@ INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers trash ga
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine euch euer ihr tu te toi ton ta tes vous votre vos tú usted ustedes vosotros os vuestro tus".split())
 #: Symbols and digits that stand for letters.
 LEET = str.maketrans("013457@$!+|", "oleastasiti")
+_LEET = frozenset("013457@$!+|")
 _CORE = re.compile(r"^[\W_]*(.*?)[\W_]*$", re.S)
 _INNER = re.compile(r"[^\W\d_][^\w\s'’\-]+[^\W\d_]|[^\W\d_]\d+[^\W\d_]")
 FEATURES = ("fixed", "learned", "strongest", "hits", "near", "hidden", "upper", "shout", "exclaim", "question", "punctuation", "obfuscated", "second", "digits", "log_tokens")
@@ -51,18 +53,23 @@ def _token(raw: str, lexicon: dict[str, float]) -> tuple:
     """fixed, learned weight, hit, hidden hit, second person, obfuscated, all capitals, upper, exclaim, question, punctuation, digits, characters."""
     low = raw.lower()
     core = _CORE.match(low).group(1)
-    parts = [core, *re.split(r"[\W_]+", core)] if core and not core.isalpha() else [core]
+    plain = core.isalpha()
+    parts = [core] if plain or not core else [core, *re.split(r"[\W_]+", core)]
     fixed = any(p in INSULTS for p in parts)
     weight = max(_weight(p, lexicon) for p in parts)
-    odd = bool(core) and not core.isalpha() and bool(_INNER.search(core))
+    odd = not plain and bool(core) and bool(_INNER.search(core))
     hidden = False
-    if odd or (low and not fixed and not low.isalpha() and any(c.isalpha() for c in low)):
+    if not fixed and not low.isalpha() and (not plain or low[0] in _LEET) and any(map(str.isalpha, low)):
         for p in {re.sub(r"[^\w]+", "", low.translate(LEET)), re.sub(r"[\W_]+", "", core), _CORE.match(low).group(1).translate(LEET)}:
             if p not in parts and (p in INSULTS or p in lexicon):
                 hidden, weight = True, max(weight, lexicon.get(p, 0.0))
-    letters = sum(map(str.isalpha, raw))
-    upper = sum(map(str.isupper, raw))
-    return (fixed, weight, fixed or weight > 0 or hidden, hidden, core in SECOND, odd, letters > 2 and upper == letters, upper, raw.count("!"), raw.count("?"), sum(not (c.isalnum() or c.isspace()) for c in raw), sum(map(str.isdigit, raw)), len(raw))
+    upper = 0 if raw == low else sum(map(str.isupper, raw))
+    if raw.isalpha():
+        letters, digits, marks = len(raw), 0, 0
+    else:
+        letters, digits = sum(map(str.isalpha, raw)), sum(map(str.isdigit, raw))
+        marks = len(raw) - sum(map(str.isalnum, raw))
+    return (fixed, weight, fixed or weight > 0 or hidden, hidden, core in SECOND, odd, letters > 2 and upper == letters, upper, raw.count("!"), raw.count("?"), marks, digits, len(raw))
 
 
 class Extractor:
@@ -201,9 +208,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
 
     Null labels and ids are left out; several rows of one id count each. With one class or none the score is its rate."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    known = known.withColumn("hash", F.xxhash64("doc_id"))
+    last = known.select("hash").orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    known = known.where(F.col("hash") <= last) if last is not None else known
     bucket = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(10))
     part = F.when(bucket < 3, "lexicon").when(bucket < 8, "trees").otherwise("calibration")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(known, "doc_id").withColumn("part", part)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(known.select("doc_id", "label")), "doc_id").withColumn("part", part)  # at most sample labels
     rows = common.keep(rows, "labelled")
     seen = rows.where("part = 'lexicon'")
     sizes = {r["label"]: r["n"] for r in seen.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -219,9 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
         found = units.where(F.col("b") >= max(5, SUPPORT * bad)).select("word", "b", odds.alias("odds")).where(F.col("odds") > ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("b")), "word").limit(LEXICON)
         lexicon = {r["word"]: round(r["odds"] * 1024) / 1024 for r in found.collect()}  # so that sums are exact in any order
     model = Model(lexicon)
-    used = rows.where("part <> 'lexicon'").withColumn("hash", F.xxhash64("doc_id"))
-    last = used.select("hash").orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
-    used = used.where(F.col("hash") <= last) if last is not None else used
+    used = rows.where("part <> 'lexicon'")
     x = used.select("doc_id", "text").mapInArrow(_features(lexicon), "doc_id long, x array<double>").dropDuplicates(["doc_id"])
     got = x.join(used.select("doc_id", "label", "part"), "doc_id").select("part", "label", "x").toArrow()
     if not got.num_rows:
