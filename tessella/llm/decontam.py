@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds find the candidates, Smith-Waterman alignment of words scores them.
+"""Benchmark decontamination: n-gram seeds find the candidates, Smith-Waterman alignment of words scores them.
 
 1. The test items are taken in blocks of at most BLOCK_WORDS words, so what a task holds is bounded however many there are.
 2. One pass counts in how many documents each word n-gram of the block occurs (partial counts by task, summed by Spark).
-   Seeds of an item are its n-grams in at most RARE of the documents, and always the rarer half of them: a passage that
-   leaked into very many documents keeps seeds.
+   All n-grams of an item are seeds, so edits and many copies never take the last one. Those in at most RARE of the
+   documents are rare; where a window has other hits only, it is aligned if the words that it shares with the item could
+   reach the least score at all, which leaves no leak out.
 3. One pass looks every n-gram of every whole text up among the seeds. Around the hits of a (document, item) pair the words
    are aligned locally (match +2, mismatch and gap -1); the best score over twice the item's words is the pair's score, 1
    for a full copy. Edited and partly rewritten copies score in proportion to what is left of them.
@@ -64,15 +65,8 @@ class Items:
         self.filter[(self.unique & np.uint64((1 << _FILTER) - 1)).astype(np.int64)] = True
 
     def seeds(self, documents: np.ndarray, total: int, rare: float) -> None:
-        """Keeps the entries that are seeds, given in how many documents each of self.unique occurs."""
-        held = documents[np.searchsorted(self.unique, self.gram)]
-        order = np.lexsort((self.offset, held, self.item))
-        rank = np.empty(len(order), np.int64)
-        many = np.bincount(self.item, minlength=len(self.ids))
-        rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(many) - many, many)
-        keep = (held <= rare * total) | (2 * rank < many[self.item])
-        self.gram, self.item, self.offset = self.gram[keep], self.item[keep], self.offset[keep]
-        self._index()
+        """Marks the rare ones of self.unique, given in how many documents each occurs."""
+        self.rare = documents <= rare * total
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in grams that are among self.unique, and which of them each is."""
@@ -135,6 +129,11 @@ def _counted(items, size: int):
 def _aligned(items, size: int, least: float):
     names = ["doc_id", "item_id", "score", "seeds", "first_word", "last_word"]
 
+    def possible(block: Items, words: np.ndarray, item: int, begin: int, end: int) -> bool:
+        """Whether the words that the window shares with the item could give the least score."""
+        mine, window = block.words[block.bounds[item] : block.bounds[item + 1]], words[begin:end]
+        return min(np.isin(window, mine).sum(), np.isin(mine, window).sum()) / len(mine) >= least
+
     def scored(block: Items, words: np.ndarray, found: list[tuple[int, int, int, int, int]]) -> np.ndarray:
         score = np.zeros(len(found))
         order = sorted(range(len(found)), key=lambda k: found[k][4] - found[k][3])
@@ -159,17 +158,21 @@ def _aligned(items, size: int, least: float):
                 many = block.first[which + 1] - block.first[which]
                 entry = np.repeat(block.first[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 at = np.repeat(at, many)
-                item, doc = block.item[entry], owner[at]
+                item, doc, rare = block.item[entry], owner[at], np.repeat(block.rare[which], many)
                 length = np.diff(block.bounds)[item]
                 low = np.maximum(at - block.offset[entry] - length // 2, bounds[doc])
                 high = np.minimum(at - block.offset[entry] + length + length // 2 + 1, bounds[doc + 1])
                 order = np.lexsort((low, item, doc))
                 found: list[tuple[int, int, int, int, int]] = []  # doc, item, seeds, window
-                for d, i, a, b in zip(doc[order].tolist(), item[order].tolist(), low[order].tolist(), high[order].tolist(), strict=True):
+                sure: list[bool] = []  # has a rare seed
+                for d, i, a, b, r in zip(doc[order].tolist(), item[order].tolist(), low[order].tolist(), high[order].tolist(), rare[order].tolist(), strict=True):
                     if found and found[-1][:2] == (d, i) and a <= found[-1][4]:
                         found[-1] = (d, i, found[-1][2] + 1, found[-1][3], max(b, found[-1][4]))
+                        sure[-1] = sure[-1] or r
                     else:
                         found.append((d, i, 1, a, b))
+                        sure.append(r)
+                found = [f for f, r in zip(found, sure, strict=True) if r or possible(block, words, f[1], f[3], f[4])]
                 score = scored(block, words, found)
                 best: dict[tuple[int, int], int] = {}
                 for k, f in enumerate(found):

@@ -173,6 +173,19 @@ def test_decontamination(spark):
     assert decontam.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("copies", "others"), [(1, 60), (8, 0), (30, 400)])
+def test_decontamination_of_edited_copies(spark, copies, others):
+    """Four edits destroy more than half of an item's n-grams; what is left must find one copy in few documents, and many."""
+    rng = random.Random(11)
+    item = words(rng, 30)
+    edited = item.split()
+    for k in (5, 11, 17, 23):
+        edited[k] = "other"
+    rows = [(k, words(rng, 20)) for k in range(others)] + [(1000 + k, " ".join(edited)) for k in range(copies)]
+    got = decontam.leaks(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {1000 + k for k in range(copies)} and all(0.7 < r["score"] < 0.9 for r in got)
+
+
 def test_token_counts_equal_the_library(spark, sf_dir):
     import sentencepiece
 
