@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control. DataFrame functions only.
 
 Base spans come from three patterns (assign, access, hex). The battery looks at further runs of 20 and more encoding
-characters. Of each, the encoding is inferred (hex, base32, base64) and three tests are made:
+characters; a run that is of no one encoding (NAME=value, a path before a key) is cut into its longest stretches of either
+base64 alphabet, each with the '=' that end it. Of each, the encoding is inferred (hex, base32, base64) and three tests are made:
 
 * chi-squared uniformity over the encoding's alphabet: how far the statistic is below what prose would give,
 * runs of character classes (lower, upper, digit, other): how far their number is above what prose would give,
@@ -38,6 +39,9 @@ ASSIGN = rf"""(?:{_LETTERS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: A candidate of one encoding, and the stretches of the other ones.
+WHOLE = "^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$"
+STRETCHES = tuple(f"[{c}]{{20,}}(?:=++(?![A-Za-z0-9+/_-]))?" for c in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
 _NONE = "array<string>"
 
 
@@ -73,7 +77,7 @@ def _found(df: DataFrame, name: str, pattern: str, kind: int, least: int = 0) ->
 def _scored(token: Column) -> Column:
     """encoding, length class and score (in 1 / STEPS) of a candidate; the encoding is null where the battery doesn't apply."""
     n = F.char_length(token).cast("long")
-    encoding = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32").when(token.rlike("^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$"), "base64")
+    encoding = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32").when(token.rlike(WHOLE), "base64")
     pick = lambda i: F.when(encoding == "hex", F.lit(ENCODINGS["hex"][i])).when(encoding == "base32", F.lit(ENCODINGS["base32"][i])).otherwise(F.lit(ENCODINGS["base64"][i])).cast("double")
     k, excess = pick(0), pick(1)
     chars = F.filter(F.split(token, ""), lambda c: c != "")
@@ -92,6 +96,18 @@ def _scored(token: Column) -> Column:
     return F.struct(F.when(serial <= SERIAL, encoding).alias("encoding"), (F.length(F.bin(n)) - 1).alias("size"), F.floor(score * STEPS).cast("int").alias("score"))
 
 
+def _with_stretches(rows: DataFrame) -> DataFrame:
+    """rows with the stretches of column random's runs of no one encoding in the place of these runs."""
+    rows = rows.withColumns({"_mixed": F.filter("random", lambda r: ~r["text"].rlike(WHOLE)), "random": F.filter("random", lambda r: r["text"].rlike(WHOLE))})
+    text = F.col("text")
+    # texts without mixed runs aren't searched again
+    rows = rows.withColumns({"_whole": text, "text": F.when(F.size("_mixed") > 0, text).otherwise(F.lit(""))})
+    for k, pattern in enumerate(STRETCHES):
+        rows = _found(rows, f"_s{k}", pattern, KINDS.index("random"))
+    within = F.filter(F.array_distinct(F.concat("_s0", "_s1")), lambda s: F.exists("_mixed", lambda r: (r["start"] <= s["start"]) & (s["end"] <= r["end"])))
+    return rows.withColumn("random", F.concat("random", within)).withColumn("text", F.col("_whole")).drop("_mixed", "_whole", "_s0", "_s1")
+
+
 def thresholds(histogram: DataFrame, fdr: float = FDR) -> DataFrame:
     """(encoding, size, least): the least score that counts in each stratum of histogram (encoding, size, score, n)."""
     stratum = Window.partitionBy("encoding", "size")
@@ -110,6 +126,7 @@ def scan(docs: DataFrame, fdr: float = FDR, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     for name, pattern, least in (("assign", ASSIGN, 8), ("access", ACCESS, 0), ("hex", HEX, 0), ("random", CANDIDATE, 0)):
         rows = _found(rows, name, pattern, KINDS.index(name), least)
+    rows = _with_stretches(rows)
     rows = rows.drop("text").withColumn("base", F.concat("assign", "access", "hex"))
     rows = rows.withColumn("random", F.filter("random", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
     rows = rows.withColumn("random", F.transform("random", lambda r: r.withField("test", _scored(r["text"])))).drop("base")

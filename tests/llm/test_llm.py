@@ -51,6 +51,21 @@ def test_secrets_edges(spark):
     assert secrets.digests(docs(spark, [])).count() == 0
 
 
+def test_secrets_within_mixed_runs(spark):
+    """A value after its name and '=', in a query string and after a path is reported and redacted; prose in such runs isn't."""
+    rng = random.Random(12)
+    value = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(44))
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "AUTH={}==", "http://x/?sig={}&b=1", "my_files/of/{}"]
+    plain = "thelongnameofavariable=anditsvalueinplainwords"
+    values = [value() for _ in range(40)]
+    rows = [(k, f"é {forms[k % 4].format(v)} x") for k, v in enumerate(values)] + [(100, plain), (101, None)]
+    spans = {r["doc_id"]: r["spans"] for r in secrets.digests(docs(spark, rows)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(docs(spark, rows)).collect()}
+    for k, v in enumerate(values):
+        assert "random:" in spans[k] and v not in clean[k] and clean[k].endswith(" x")
+    assert spans[100] == "" and clean[100] == plain
+
+
 def test_ngram_join_equals_brute_force(spark):
     rng = random.Random(4)
     base = [words(rng, 60) for _ in range(6)]
