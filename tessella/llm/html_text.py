@@ -32,6 +32,9 @@ FURNITURE = frozenset("nav footer aside form script style noscript template head
 RAW = "script|style|textarea|title|noscript|template|iframe|svg"
 #: Words of class, id and role that name furniture.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription sidebar menu menus navbar nav navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond share sharing social related recommended recommendations widget toolbar login signup search contentinfo complementary dialog".split())
+#: Words that go with them in compound names (site-footer, ad-slot).
+PLAIN = frozenset("bar block box btn button icons item items link links list site slot unit".split())
+BY_NAME, BY_ELEMENT = 1, 2
 #: Elements that begin and end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,33 +45,55 @@ _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("
 _WORD = re.compile(r"[a-z]+")
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+def _named(value: str, in_article: bool) -> bool:
+    """Whether a whole token of a class, id or role names furniture, or all parts of it do; has-comments names none."""
+    names = NAMES if in_article else NAMES | {"header"}
+    for token in value.split():
+        words = _WORD.findall(token)
+        if token in names or (any(w in names for w in words) and all(w in names or w in PLAIN for w in words)):
+            return True
+    return False
+
+
+def _furniture(tag: str, attributes: str, in_article: bool, exempt: bool) -> int:
+    """0 for none, BY_NAME for furniture by class, id or role (not looked at where exempt), BY_ELEMENT for other furniture."""
     if tag in FURNITURE or (tag == "header" and not in_article):
-        return True
+        return BY_ELEMENT
     if not attributes:
-        return False
+        return 0
+    found = 0
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
-            words = _WORD.findall(value)
-            if any(w in NAMES or (w == "header" and not in_article) for w in words) or (name == "role" and value == "banner"):
-                return True
+            if not exempt and (_named(value, in_article) or (name == "role" and value == "banner")):
+                found = found or BY_NAME
         elif (name == "hidden" and value in ("", "hidden")) or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            return BY_ELEMENT
+    return found
 
 
 def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, in an article, in furniture) of each block with text, in page order; white space in a block is one space."""
+    """(text, in an article, in furniture) of each block with text, in page order; white space in a block is one space.
+
+    Names of class, id and role don't count on html, body, main and an outermost article, nor around a main; where all
+    articles are furniture by them, they don't count on or around any outermost article."""
+    found = _lines(page, False)
+    if any(a for _, a, _ in found) and all(f for _, a, f in found if a):
+        found = _lines(page, True)
+    return found
+
+
+def _lines(page: str, any_article: bool) -> list[tuple[str, bool, bool]]:
+    """The lines of a page; names around an outermost article count if not any_article."""
     out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, in an article, in furniture
+    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, in an article, in furniture
     parts: list[str] = []
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, *stack[-1][1:]))
+                out.append((text, stack[-1][1], stack[-1][2] > 0))
             parts.clear()
 
     at = 0
@@ -104,10 +129,14 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             if any(stack[k][0] in scope for _, scope in CLOSED_BY.values()):
                 break
         _, article, furniture = stack[-1]
-        article = article or tag in ("article", "main")
-        if not furniture and _is_furniture(tag, m["attributes"], article):
-            furniture = True
-            flush()
+        outermost = tag in ("article", "main") and not article
+        article = article or outermost
+        if furniture == BY_NAME and outermost and (tag == "main" or any_article):
+            furniture = 0
+        if not furniture:
+            furniture = _furniture(tag, m["attributes"], article, outermost or tag in ("html", "body", "main"))
+            if furniture:
+                flush()
         if not m["attributes"].endswith("/"):
             stack.append((tag, article, furniture))
     parts.append(page[at:])

@@ -300,6 +300,18 @@ def test_html(spark):
     assert got == Counter([(1, "T & x\n\nOne two three\n\nFour", 26), (2, "Only here", 9), (3, "Else where", 10), (4, "", 0), (5, "", 0), (5, "ab", 2)])
 
 
+@pytest.mark.parametrize("page", ["<body class='single right-sidebar'><article>{}</article></body>", "<main class='no-sidebar'>{}</main>", "<article class='post has-comments'>{}</article>", "<div class='content-with-sidebar'><article>{}</article></div>", "<div class='sidebar'><main><article>{}</article></main></div>", "<div id='modal'><article>{}</article></div>"])
+def test_html_names_around_articles(page):
+    inner = "<p>One</p><div class='cookie-banner'>no</div><div class='site-footer'>no</div><p>Two</p>"
+    got = html_text.lines("<div class='related'><p>no</p></div>" + page.format(inner))
+    assert [t for t, inside, furniture in got if inside and not furniture] == ["One", "Two"]
+
+
+def test_html_related_articles_stay_furniture():
+    got = html_text.lines("<main><article>One</article></main><div class='related'><article>no</article></div>")
+    assert [t for t, inside, furniture in got if inside and not furniture] == ["One"]
+
+
 def test_longest_common_subsequences():
     rng = random.Random(9)
     for _ in range(200):
