@@ -18,10 +18,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a similarity of 0.75 or more, the one with the smallest id."""
-    groups = ngram_join.join(docs)
-    least = common.keep(groups.where("doc_id = component_id").select("doc_id").distinct(), "least")
-    return docs.join(least, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of rows linked by a similarity of 0.75 or more, the one with the smallest id (the first of such rows;
+    one without an id only where none has one)."""
+    rows = common.keyed(docs)
+    groups = ngram_join.join(rows, id_col="_row").join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    least = common.keep(groups.groupBy("component_id").agg(first.alias("first")).select("first._row"), "least")
+    return rows.join(least, "_row", "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

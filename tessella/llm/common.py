@@ -37,6 +37,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """df with a number of each row in column _row, written once so that it never changes: ids can be null or repeated."""
+    return keep(df.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
 def steps(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """Rows of a batch in runs of about STEP_BYTES of UTF-8; null texts are empty."""
     begin, size, part = 0, 0, []

@@ -159,11 +159,12 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) -> DataFrame:
     """docs (doc_id, text and other columns) with every span of its texts replaced by mark; touching and overlapping spans
-    are one. Null texts stay null. doc_id must be unique."""
-    spans = scan(docs, fdr).select(F.col("doc_id").alias("_id"), F.array_sort(F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"], s["end"]))).alias("_spans")).where(F.size("_spans") > 0)
+    are one. Null texts stay null. Every row is redacted by its own text, whatever its doc_id."""
+    rows = common.keyed(docs)
+    spans = scan(rows, fdr, "_row").select("_row", F.array_sort(F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"], s["end"]))).alias("_spans")).where(F.size("_spans") > 0)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     piece = lambda text, a, b: F.substring(text, (a + 1).cast("int"), F.greatest(F.lit(0), b - a).cast("int"))
-    joined = docs.join(spans, docs["doc_id"] == F.col("_id"), "left")
+    joined = rows.join(spans, "_row", "left")
     step = lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], F.when(x["start"] > s["at"], F.concat(piece(F.col("text"), s["at"], x["start"]), F.lit(mark))).when(s["out"] == "", F.lit(mark)).otherwise(F.lit(""))).alias("out"))
     done = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], piece(F.col("text"), s["at"], F.char_length("text").cast("long"))))
     return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text"))).select(*docs.columns)

@@ -325,6 +325,23 @@ def test_longest_common_subsequences():
         assert len(found) == table[-1][-1] and all(a[k] in it for k in sorted(found))
 
 
+def test_stages_with_null_and_repeated_ids(spark, sf_dir):
+    """Clean rows without an id stay, one of two equal rows does, and each row is redacted and tested by its own text."""
+    rng = random.Random(13)
+    clean, twice, leak = words(rng, 60), words(rng, 60), spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    key = [hashlib.sha256(bytes([k])).hexdigest() for k in range(3)]
+    secret = [f"{words(rng, 9)} {k} {words(rng, 40)}" for k in key]
+    kind = "doc_id long, text string, n_chars long"
+    rows = [(None, clean), (7, twice), (7, twice), (8, secret[0]), (8, secret[1]), (None, secret[2]), (None, leak), (9, None), (None, None)]
+    frame = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], kind)
+    once = [(None, clean), (7, twice), (8, secret[0]), (8, secret[1]), (None, secret[2]), (None, leak), (9, None), (None, None)]
+    pairs = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert pairs(corpus_pipeline.without_copies(spark, frame, sf_dir)) == Counter(once)
+    assert pairs(corpus_pipeline.without_benchmark(spark, frame, sf_dir)) == Counter(r for r in rows if r[1] != leak)
+    marked = [(i, next((t.replace(k, "[secret]") for k in key if t and k in t), t)) for i, t in rows]
+    assert pairs(corpus_pipeline.without_secrets(spark, frame, sf_dir)) == Counter(marked)
+
+
 def test_pipeline_keeps_clean_documents(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = frame
