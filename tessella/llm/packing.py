@@ -3,9 +3,9 @@
 1. Documents become token ids, an end id last; only those longer than a sequence are cut. The table of pieces is written
    once, with the partition each piece came from.
 2. The histogram of piece lengths (as many bins as a sequence has tokens, whatever the corpus) reaches the driver. There,
-   patterns of up to three lengths that fill a sequence exactly are enumerated, repeat counts are fitted to the histogram
-   by non-negative least squares and rounded down, and what they leave is packed best fit, longest first, with counts
-   instead of pieces.
+   patterns that fill a sequence exactly are enumerated (all of up to three documents, and all of one length repeated with
+   one other), repeat counts are fitted to the histogram by non-negative least squares and rounded, and what they leave is
+   packed best fit, longest first, with counts instead of pieces.
 3. The plan is a list of runs "the pieces of length l from rank r on go to the sequences from s on, at offset o". Ranks
    within a length come from counts by partition; each task looks its pieces up.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 import array
 import bisect
 import functools
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,104 +27,172 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 
-#: White-space-free chunks of text whose ids a worker remembers before it starts anew.
-REMEMBERED = 500_000
-#: Lengths for which triples are enumerated: where more occur, every k-th of the common ones is taken for the middle one.
-TRIPLE_LENGTHS = 256
+#: Bytes that the chunks a worker remembers, and their ids, may take (with ENTRY for each); beyond, only those that occur again at once are kept.
+REMEMBERED, ENTRY = 24 << 20, 200
+#: Words of letters that are encoded as one text.
+TOGETHER = 2000
 #: Rounds of the least-squares fit.
 ROUNDS = 120
 
 
 @functools.lru_cache(2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-#: Fixed value: ASCII punctuation that ends a pre-token of letters and merges with none.
-_ENDS = b".,;:!?"
-
-
-def _parts(chunk: bytes) -> tuple[bytes, bytes]:
-    """A chunk as lower-case letters and the punctuation after them, where the vocabulary splits it so; else itself."""
-    if b"<|" in chunk:  # may be a special token, which case and neighbours matter to
-        return chunk, b""
-    core = chunk.rstrip(_ENDS)
-    if not core or not (core[-1:].isalpha() or core[-1] >= 128):
-        return chunk.lower(), b""
-    if len(core) < len(chunk) and core[-1] >= 128 and not core.decode().lower()[-1].isalpha():  # a mark would join the punctuation
-        return chunk.lower(), b""
-    return core.lower(), chunk[len(core) :]
+def _tokenizers(path: str):
+    """The tokenizer; one of the same vocabulary that takes words as they are; and of each id whether it ends a word."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    model = Tokenizer.from_file(path)
+    plain = Tokenizer(model.model)
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(model.get_vocab_size() + 1, bool)
+    ends[[i for token, i in model.get_vocab().items() if token.endswith("</w>")]] = True
+    return model, plain, ends
+
+
+_SPACE, _LETTER, _DIGIT, _SYMBOL, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[33:127] = _SYMBOL
+_KIND[39] = _OTHER  # an apostrophe binds letters
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+
+
+def _chunks(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct chunks, the chunk at each place of all texts, and where each text begins among the places (one more at the
+    end). The ids of a text are those of its chunks: this vocabulary lowers letters, drops white space and merges nothing
+    across it, nor between ASCII letters, digits and symbols. White space alone cuts texts that may hold a special token;
+    their chunks with "<|" are not lowered."""
+    special = [b"<|" in t for t in texts]
+    ready = [b" ".join([w if b"<|" in w else w.lower() for w in t.split()]) if s else t.lower() for t, s in zip(texts, special, strict=True)]
+    data = np.frombuffer(b" ".join([*ready, b""]), np.uint8)  # a space ends each text
+    bounds = np.cumsum([0, *map(len, ready)]) + np.arange(len(ready) + 1)
+    kind = _KIND[data]
+    for k, s in enumerate(special):
+        if s:
+            part = kind[bounds[k] : bounds[k + 1]]
+            part[part != _SPACE] = _OTHER
+    inside = kind != _SPACE
+    first = np.empty(len(data), bool)  # where a chunk begins; the first place has none before it
+    first[:1] = inside[:1]
+    left, right = kind[:-1], kind[1:]
+    first[1:] = inside[1:] & ((left == _SPACE) | ((left != right) & (left < _OTHER) & (right < _OTHER)) | ((left == _DIGIT) & (right == _DIGIT)))
+    starts = np.flatnonzero(first)
+    before = np.cumsum(inside, dtype=np.int32) - inside  # bytes other than white space before each place
+    offsets = np.append(before[starts], inside.sum()).astype(np.int32)
+    if not len(starts):
+        return [], np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
+    all_chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    coded = all_chunks.dictionary_encode()
+    _, ends, raw = coded.dictionary.buffers()
+    ends, raw = np.frombuffer(ends, np.int32)[: len(coded.dictionary) + 1].tolist(), raw.to_pybytes()
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], coded.indices.to_numpy(), np.searchsorted(starts, bounds)
+
+
+def _encoded(path: str, chunks: list[bytes]) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """The chunks and their ids as bytes. Short Latin words, which are one pre-token each and need no normalizing, are
+    encoded as one text and told apart by the ids that end words; all other chunks are encoded one by one."""
+    model, plain, ends = _tokenizers(path)
+    words = [c for c in chunks if len(c) <= 64 and c.isalpha()]
+    other = [(c, c.decode()) for c in chunks if len(c) > 64 or not c.isalpha()]
+    latin = [len(c) <= 64 and t.isalpha() and max(t) < "\u0250" and t == t.lower() for c, t in other]
+    words += [c for (c, _), plainly in zip(other, latin, strict=True) if plainly]
+    alone = [x for x, plainly in zip(other, latin, strict=True) if not plainly]
+    for k in range(0, len(words), TOGETHER):
+        part = words[k : k + TOGETHER]
+        ids = np.array(plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        stop = 4 * (np.flatnonzero(ends[ids]) + 1)
+        if len(stop) != len(part):
+            raise ValueError("the vocabulary at " + path + " does not end words as a vocabulary with word ends does")
+        raw, stop = ids.tobytes(), stop.tolist()
+        yield part, [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)]
+    for k in range(0, len(alone), TOGETHER):
+        part = alone[k : k + TOGETHER]
+        coded = model.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+        yield [c for c, _ in part], [array.array("I", x.ids).tobytes() for x in coded]
 
 
 def _pieces(path: str, end_id: int, size: int):
-    """Ids of chunks between ASCII white space are joined: this vocabulary drops white space and merges nothing across it."""
-    known: dict[bytes, bytes] = {}
-    basic: dict[bytes, bytes] = {b"": b""}
-    end = np.uint32(end_id).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _tokenizer(path)
+        known: dict[bytes, bytes] = {}
+        end, held = np.uint32(end_id).tobytes(), 0
         for batch in batches:
             for ids, raw in common.steps(batch.column(0), batch.column(1)):
-                split = [b.split() for b in raw]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                if len(basic) > REMEMBERED:
-                    basic.clear()
-                    basic[b""] = b""
-                new = [(w, *_parts(w)) for w in set().union(*split) if w not in known]
-                strange = [w for w in {x for _, *both in new for x in both} if w not in basic]
-                coded = model.encode_batch_fast([w.decode() for w in strange], add_special_tokens=False)
-                basic.update((w, array.array("I", c.ids).tobytes()) for w, c in zip(strange, coded, strict=True))
-                known.update((w, basic[a] + basic[b]) for w, a, b in new)
+                distinct, place, bounds = _chunks(raw)
+                if held > REMEMBERED:
+                    known = {w: known[w] for w in distinct if w in known}
+                    held = sum(map(len, known)) + sum(map(len, known.values())) + ENTRY * len(known)
+                for chunks, coded in _encoded(path, [w for w in distinct if w not in known]):
+                    known.update(zip(chunks, coded, strict=True))
+                    held += sum(map(len, chunks)) + sum(map(len, coded)) + ENTRY * len(chunks)
+                coded = [*map(known.__getitem__, distinct)]
+                size_of = np.array([*map(len, coded)], np.int64) // 4
+                vocabulary = np.frombuffer(b"".join(coded), np.uint32)
+                many = size_of[place]
+                until = np.concatenate([[0], np.cumsum(many)])
+                tokens = vocabulary[np.repeat((np.cumsum(size_of) - size_of)[place] - until[:-1], many) + np.arange(until[-1])].tobytes()
+                at = (4 * until[bounds]).tolist()
                 out: list[list] = [[], [], [], [], []]
-                for doc_id, words in zip(ids.to_pylist(), split, strict=True):
-                    tokens = b"".join([*map(known.__getitem__, words), end])
-                    for k, at in enumerate(range(0, len(tokens), 4 * size)):
-                        part = tokens[at : at + 4 * size]
-                        for column, x in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                for doc_id, a, b in zip(ids.to_pylist(), at[:-1], at[1:], strict=True):
+                    for k, c in enumerate(range(a, b + 4, 4 * size)):  # the end id follows the text's
+                        part = tokens[c : min(b, c + 4 * size)]
+                        if c + 4 * size > b:
+                            part += end
+                        for column, x in zip(out, (doc_id, k, (c - a) // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                             column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
 
-def patterns(lengths: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[int, ...]]:
-    """Multisets of one to three of the lengths that sum to size."""
-    there = set(lengths.tolist())
-    found: set[tuple[int, ...]] = {(size,)} if size in there else set()
-    found |= {(size - a, a) for a in there if 2 * a <= size and size - a in there}
-    common_ones = lengths[np.argsort(-counts, kind="stable")][: TRIPLE_LENGTHS * 4]
-    middle = sorted(common_ones.tolist())[:: max(1, len(common_ones) // TRIPLE_LENGTHS)]
-    for b in middle:
-        for a in there:
-            c = size - a - b
-            if a <= b and c > 0 and c in there:
-                found.add(tuple(sorted((a, b, c), reverse=True)))
-    return sorted(found, reverse=True)
-
-
-def fit(lengths: np.ndarray, counts: np.ndarray, found: list[tuple[int, ...]]) -> np.ndarray:
+def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
+    """Rows (a, times a, b, c): multisets of the lengths that sum to size, c and b zero where absent.
+
+    All of up to three lengths, and all of one length repeated with one other: about size squared / 12 and size log size."""
+    there = np.zeros(size + 1, bool)
+    there[lengths[lengths <= size]] = True
+    found = [np.array([(size, 1, 0, 0)], np.int64)] if there[size] else []
+    for c in np.flatnonzero(there[: size // 3 + 1]).tolist():
+        b = np.arange(c, (size - c) // 2 + 1)
+        b = b[there[b] & there[size - c - b]]
+        found.append(np.stack([size - c - b, np.ones_like(b), b, np.full_like(b, c)], 1))
+    for a in np.flatnonzero(there[: size // 2 + 1]).tolist():
+        times = np.arange(1, size // a + 1)
+        rest = size - a * times
+        # three and fewer documents are listed above, but for the pairs
+        ok = there[rest] | (rest == 0)
+        ok &= np.where(times == 1, True, times + (rest > 0) > 3) & ~((times == 1) & (rest < a))
+        found.append(np.stack([np.full_like(times, a), times, rest, np.zeros_like(times)], 1)[ok])
+    return np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Repeat counts x >= 0 with the least squares of (documents used - histogram), by accelerated projected gradients."""
-    at = {n: k for k, n in enumerate(lengths.tolist())}
-    row = np.array([at[n] for p in found for n in p], np.int64)
-    column = np.repeat(np.arange(len(found)), [len(p) for p in found])
+    many = len(found)
+    row = np.concatenate([found[:, 0], found[:, 2], found[:, 3]])
+    column, each = np.tile(np.arange(many), 3), np.concatenate([found[:, 1], np.ones(2 * many, np.int64)])
+    column, each = column[row > 0], each[row > 0]
+    row = np.searchsorted(lengths, row[row > 0])
     weight = 1 / np.sqrt(np.maximum(counts, 1.0))
     target = counts * weight
-    per_row = np.bincount(row, weights=weight[row] ** 2, minlength=len(lengths))
-    scale = 1 / np.maximum(np.bincount(column, weights=per_row[row], minlength=len(found)), 1e-12)  # by Gershgorin's bound
-    x = np.zeros(len(found))
+    entry = weight[row] * each
+    per_row = np.bincount(row, weights=entry, minlength=len(lengths))
+    scale = 1 / np.maximum(np.bincount(column, weights=entry * per_row[row], minlength=many), 1e-12)  # by Gershgorin's bound
+    x = np.zeros(many)
     y, t = x, 1.0
     for _ in range(ROUNDS):
-        short = np.bincount(row, weights=weight[row] * y[column], minlength=len(lengths)) - target
-        new = np.maximum(0, y - scale * np.bincount(column, weights=weight[row] * short[row], minlength=len(found)))
+        short = np.bincount(row, weights=entry * y[column], minlength=len(lengths)) - target
+        new = np.maximum(0, y - scale * np.bincount(column, weights=entry * short[row], minlength=many))
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         x, y = new, new + (last - 1) / t * (new - x)
     return x
 
 
+def rounded(repeats: np.ndarray) -> np.ndarray:
+    """Whole repeats whose sums along the patterns follow those of repeats: each takes what its forerunners' rounding left."""
+    return np.diff(np.floor(np.cumsum(repeats) + 1e-9), prepend=0.0).astype(np.int64)
+
+
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, end rank, first sequence, offset) that place every piece of the histogram once."""
     lengths = np.array(sorted(histogram), np.int64)
@@ -143,15 +212,18 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
             offset += n
         sequence += times
 
-    found = patterns(lengths, counts, size)
-    if found:
-        repeats = fit(lengths, counts.astype(float), found)
-        for k in np.argsort(-repeats, kind="stable"):
-            times = int(repeats[k] + 1e-9)
-            for n in set(found[k]):
-                times = min(times, left[n] // found[k].count(n))
+    found = patterns(lengths, size)
+    if len(found):
+        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+        repeats = rounded(fit(lengths, counts.astype(float), found))
+        for k in np.flatnonzero(repeats).tolist():
+            a, many, b, c = found[k].tolist()
+            pattern = (a,) * many + tuple(n for n in (b, c) if n)
+            times = int(repeats[k])
+            for n in set(pattern):
+                times = min(times, left[n] // pattern.count(n))
             if times > 0:
-                place(found[k], times)
+                place(pattern, times)
     # best fit of what is left, longest first; open sequences with equal contents are one entry (room, contents): count
     open_: dict[int, list[list]] = defaultdict(list)
     rooms: list[int] = []
