@@ -23,8 +23,9 @@ from tessella.llm import common
 
 #: Pre-tokens of more symbols take the same merges one at a time from a heap: a round for each would cost their square.
 LONG = 256
-#: Pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Bytes that the pre-tokens a worker remembers may take (with ENTRY for each); beyond, only those that occur again at once
+#: are kept.
+REMEMBERED, ENTRY = 24 << 20, 200
 MARK = "▁"
 
 
@@ -141,19 +142,23 @@ def pre_tokens(text: str) -> list[str]:
 
 
 def _counted(path: str):
-    known: dict[str, int] = {}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = sentencepiece_merges(path)
+        known: dict[str, int] = {}
+        held = 0
         for batch in batches:
             for ids, raw in common.steps(batch.column(0), batch.column(1)):
                 split = [pre_tokens(b.decode()) for b in raw]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                new = [w for w in set().union(*split) if w not in known]
+                distinct = set().union(*split)
+                if held > REMEMBERED:
+                    known = {w: known[w] for w in distinct.intersection(known)}
+                    held = sum(map(len, known)) + ENTRY * len(known)
+                new = list(distinct.difference(known))
+                del distinct
                 # a word without its space has one space before it; a run from the slow way begins with its own
                 counts = merges.count([(w if w[:1] == " " else " " + w).replace(" ", MARK) for w in new])
                 known.update(zip(new, counts.tolist(), strict=True))
+                held += sum(map(len, new)) + ENTRY * len(new)
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(b) for b in raw], pa.int64()), pa.array([sum(map(known.__getitem__, s)) for s in split], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
