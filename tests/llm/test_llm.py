@@ -174,6 +174,37 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
+def test_packed_ids_equal_the_library_on_odd_texts(spark):
+    from tokenizers import Tokenizer
+
+    path, rng = queries.tokenizer_path("word_bpe_49k.json"), random.Random(5)
+    model = Tokenizer.from_file(path)
+    bits = ["\u0130", "\u00df", "\u00e9", "e\u0301", "\u0391\u03a3", "\u03c3\u03c2", "'s", "don't", "I'LL", "...", "?!", "<|endoftext|>", "<|EndOfText|>", "a<|startoftext|>b", "\u00a0", "\u2003", "\u200b", "\u65e5\u672c", "\ud55c", "\u1100", "\u1161", "\u01c5", "\ufb01", "\u00b2", "1", "23", "_", "-", "\U0001f600", "&&&", "|", "\x1c", "\x85", "Hello", "World", "ab", "zzqx", "\u060c", "\u0640", "\u093e", "\u0915", "K", "\u212b", " ", "  ", "\n", "\t", ".", ",", ";", "'"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["x" * 300_000, "ab " * 200_000]
+    got = {}
+    for r in packing.pack(docs(spark, list(enumerate(texts))), path).select("doc_id", "piece", "length", "ids_crc32").collect():
+        got.setdefault(r["doc_id"], {})[r["piece"]] = (r["length"], r["ids_crc32"])
+    for k, t in enumerate(texts):
+        ids = np.array([*model.encode(t, add_special_tokens=False).ids, 0], np.uint32)
+        assert [got[k][p] for p in range(len(got[k]))] == [(len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for a in range(0, len(ids), 2048)]
+
+
+def test_packing_patterns_fill_and_the_plan_places_all():
+    rng = np.random.default_rng(1)
+    for lengths in (rng.integers(1, 2049, 3000), np.clip(rng.lognormal(5.5, 1, 20000).astype(int), 1, 2048), rng.integers(20, 60, 5000), np.array([2048, 2048, 1])):
+        values, counts = np.unique(lengths, return_counts=True)
+        found = packing.patterns(values, 2048)
+        assert ((found[:, 0] * found[:, 1] + found[:, 2] + found[:, 3]) == 2048).all()
+        runs = packing.plan(dict(zip(values.tolist(), counts.tolist(), strict=True)), 2048)
+        placed, filled = Counter(), Counter()
+        for n, a, b, sequence, _ in runs:
+            placed[n] += b - a
+            for k in range(b - a):
+                filled[sequence + k] += n
+        assert placed == dict(zip(values.tolist(), counts.tolist(), strict=True)) and max(filled.values()) <= 2048
+        assert len(filled) <= -(-int(lengths.sum()) // 2048) * 1.06 + 1
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     items = [(k, words(rng, 30)) for k in range(5)] + [(9, None), (10, "too short")]
@@ -233,6 +264,8 @@ def test_toxicity_on_held_out_labels(spark):
     held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    again = toxicity.classified(docs(spark, rows), spark.createDataFrame(labels * 2, "doc_id long, toxic int")).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))  # several labels of one id count once
     empty = toxicity.classified(docs(spark, rows), spark.createDataFrame([], "doc_id long, toxic int"))
     assert empty.count() == 602
 
