@@ -55,28 +55,57 @@ def _joined(table: str, where: str = "true") -> str:
     return f"(SELECT doc_id, string_agg({names}[kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind) AS s FROM {table} WHERE {where} GROUP BY doc_id)"
 
 
+def _tested(name: str, source: str) -> str:
+    """Tables that add size and score to the rows of source (text, enc and more), as the battery does."""
+    return f"""
+{name}1 AS (SELECT *, length(text)::BIGINT AS n, string_split(text, '') AS chars FROM ({source}) WHERE enc IS NOT NULL),
+{name}2 AS (SELECT *, {_case(0)} AS k, {_case(1)} AS share, list_transform(chars, lambda x: ascii(x)::BIGINT) AS codes,
+  list_sum(list_transform(list_distinct(chars), lambda x: pow(n - length(replace(text, x, '')), 2)::BIGINT))::BIGINT AS squares,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[a-z]', 'l', 'g'), '[A-Z]', 'u', 'g'), '[0-9]', 'd', 'g'), '[^lud]', 'o', 'g') AS classes FROM {name}1),
+{name}3 AS (SELECT *, list_sum(list_transform(range(2, n + 1), lambda i: CASE WHEN classes[i] <> classes[i - 1] THEN 1 ELSE 0 END))::BIGINT AS changes,
+  list_sum(codes)::BIGINT AS total, list_sum(list_transform(codes, lambda x: x * x))::BIGINT AS squared,
+  list_sum(list_transform(range(1, n + 1), lambda i: codes[i] * codes[i % n + 1]))::BIGINT AS lagged, length(bin(n)) - 1 AS power FROM {name}2),
+{name}4 AS (SELECT *, ((k - 1) - (k * squares / n - n)) / sqrt(2 * (k - 1)) AS z_chi, (changes - (n - 1) * share) / sqrt((n - 1) * share * (1 - share)) AS z_runs,
+  CASE WHEN n * squared - total * total > 0 THEN abs(n * lagged - total * total) * sqrt(n::DOUBLE) / (n * squared - total * total) ELSE 500.0::DOUBLE END AS z_serial FROM {name}3),
+{name} AS (SELECT *, least({secrets.LONGEST}, 4 * power + floor(4 * n / pow(2::DOUBLE, power)) - 4)::INT AS size,
+  floor(least(20.0::DOUBLE, greatest(-500.0::DOUBLE, z_chi + z_runs - z_serial)) * {secrets.STEPS})::INT AS score FROM {name}4)"""
+
+
+_SEED = "('0x' || substr(seed, ({}), {}))::BIGINT"
+_FORMS = {
+    "camel": "array_to_string(capital, '')",
+    "numbered": f"array_to_string(list_transform(range(1, many + 1), lambda i: capital[i] || CASE WHEN (i - 1) % 3 = 2 THEN ({_SEED.format('1 + (i - 1) % 29', 2)} % 100)::VARCHAR ELSE '' END), '')",
+    "path": "array_to_string(words, '/')",
+    "upper": "upper(array_to_string(words, ''))",
+    "decimal": "substr(array_to_string(list_transform(places, lambda k: k::VARCHAR), ''), 1, 255)",
+}
+_ARTIFICIAL = " UNION ALL ".join(f"SELECT '{f}' AS form, '{secrets.FORMS[f]}' AS enc, {x} AS text FROM a3" for f, x in _FORMS.items())
+_PRIOR = ", ".join(f"('{f}', '{e}', {size}, {m!r}::DOUBLE, {s!r}::DOUBLE)" for f, e, size, m, s in secrets.prior_laws())
+
 OP1 = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 {_spans("assign", secrets.ASSIGN, 0, 8)}, {_spans("access", secrets.ACCESS, 1, 0)}, {_spans("hex", secrets.HEX, 2, 0)}, {_spans("random", secrets.CANDIDATE, 3, 0)},
 base AS (FROM assign_spans UNION ALL FROM access_spans UNION ALL FROM hex_spans),
-c AS (SELECT * FROM random_spans r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.a < r.b AND r.a < b.b)),
-c1 AS (SELECT *, length(text)::BIGINT AS n, string_split(text, '') AS chars,
-  CASE WHEN regexp_matches(text, '^([0-9a-f]+|[0-9A-F]+)$') THEN 'hex' WHEN regexp_matches(text, '^[A-Z2-7]+=*$') THEN 'base32'
-       WHEN regexp_matches(text, '^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$') THEN 'base64' END AS enc FROM c),
-c2 AS (SELECT *, {_case(0)} AS k, {_case(1)} AS excess, list_transform(chars, lambda x: ascii(x)::BIGINT) AS codes,
-  list_sum(list_transform(list_distinct(chars), lambda x: pow(n - length(replace(text, x, '')), 2)::BIGINT))::BIGINT AS squares,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[a-z]', 'l', 'g'), '[A-Z]', 'u', 'g'), '[0-9]', 'd', 'g'), '[^lud]', 'o', 'g') AS classes FROM c1 WHERE enc IS NOT NULL),
-c3 AS (SELECT *, k * squares / n - n AS chi, list_sum(list_transform(range(2, n + 1), lambda i: CASE WHEN classes[i] <> classes[i - 1] THEN 1 ELSE 0 END))::BIGINT AS changes,
-  list_sum(codes)::BIGINT AS total, list_sum(list_transform(codes, lambda x: x * x))::BIGINT AS squared,
-  list_sum(list_transform(range(1, n + 1), lambda i: codes[i] * codes[i % n + 1]))::BIGINT AS lagged FROM c2),
-c4 AS (SELECT *, ((k - 1) + n * excess - chi) / sqrt(2 * (k - 1) + 4 * n * excess) AS z_chi,
-  (changes - (n - 1) * {secrets.CHANGES}::DOUBLE) / sqrt((n - 1) * {secrets.CHANGES * (1 - secrets.CHANGES)}::DOUBLE) AS z_runs,
-  CASE WHEN n * squared - total * total > 0 THEN abs(n * lagged - total * total) * sqrt(n::DOUBLE) / (n * squared - total * total) ELSE 99.0 END AS serial FROM c3),
-c5 AS (SELECT *, length(bin(n)) - 1 AS size, floor(least(60.0, greatest(-20.0, (z_chi + z_runs) / sqrt(2.0::DOUBLE))) * {secrets.STEPS})::INT AS score FROM c4 WHERE serial <= {secrets.SERIAL}),
-h AS (SELECT enc, size, score, count(*) AS n FROM c5 GROUP BY ALL),
-r AS (SELECT *, sum(n) OVER (PARTITION BY enc, size ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS rank, sum(n) OVER (PARTITION BY enc, size) AS everything, score / {float(secrets.STEPS)}::DOUBLE AS z FROM h),
-least_ AS (SELECT enc, size, min(score) AS least FROM r WHERE (CASE WHEN z > 0 THEN 0.5::DOUBLE * exp(-0.717::DOUBLE * z - 0.416::DOUBLE * z * z) ELSE 1.0 END) * everything <= {secrets.FDR}::DOUBLE * rank GROUP BY enc, size),
-every AS (FROM base UNION ALL SELECT doc_id, a, kind, b, text FROM c5 JOIN least_ USING (enc, size) WHERE score >= least)
+c AS (SELECT *, CASE WHEN regexp_matches(text, '^([0-9a-f]+|[0-9A-F]+)$') THEN 'hex' WHEN regexp_matches(text, '^[A-Z2-7]+=*$') THEN 'base32'
+       WHEN regexp_matches(text, '^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$') THEN 'base64' END AS enc
+  FROM random_spans r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.a < r.b AND r.a < b.b)),
+{_tested("tested", "FROM c")},
+a1 AS (SELECT md5(text) AS seed, regexp_extract_all(text, '{secrets.WORD}') AS found FROM t),
+a2 AS (SELECT *, {list(secrets.WORDS_OF)}[({_SEED.format(1, 4)} % {len(secrets.WORDS_OF)} + 1)::INT]::BIGINT AS many FROM a1 WHERE len(found) >= 3),
+a21 AS (SELECT *, list_transform(range(0, many), lambda i: ({_SEED.format("1 + i % 27", 6)} + i * 7919) % len(found) + 1) AS places FROM a2),
+a22 AS (SELECT *, list_transform(places, lambda k: lower(found[k])) AS words FROM a21),
+a3 AS (SELECT *, list_transform(words, lambda w: upper(substr(w, 1, 1)) || substr(w, 2, 20)) AS capital FROM a22),
+{_tested("null_", f"SELECT * FROM ({_ARTIFICIAL}) WHERE length(text) BETWEEN 20 AND 255")},
+prior AS (SELECT * FROM (VALUES {_PRIOR}) v(form, enc, size, m, s)),
+found_ AS (SELECT form, size, count(*) AS n, quantile_cont(score, 0.5)::DOUBLE AS a, quantile_cont(score, 0.95)::DOUBLE AS b FROM null_ GROUP BY ALL),
+law AS (SELECT form, enc, size, (coalesce(n, 0) * coalesce(a, 0) + {secrets.WEIGHT} * m) / (coalesce(n, 0) + {secrets.WEIGHT}) AS mean,
+  (coalesce(n, 0) * (coalesce(b, 0) - coalesce(a, 0)) / 1.645::DOUBLE + {secrets.WEIGHT} * s) / (coalesce(n, 0) + {secrets.WEIGHT}) AS spread FROM prior LEFT JOIN found_ USING (form, size)),
+h AS (SELECT enc, size, score, count(*) AS n FROM tested GROUP BY ALL),
+z AS (SELECT *, (score - mean) / spread AS z FROM h JOIN law USING (enc, size)),
+p AS (SELECT enc, size, score, n, max(CASE WHEN z > 0 THEN 0.5::DOUBLE * exp(-0.717::DOUBLE * z - 0.416::DOUBLE * z * z) ELSE 1.0 END) AS p FROM z GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY enc, size ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS rank, sum(n) OVER (PARTITION BY enc, size) AS everything FROM p),
+least_ AS (SELECT enc, size, min(score) AS least FROM r WHERE p * everything <= {secrets.FDR}::DOUBLE * rank GROUP BY enc, size),
+every AS (FROM base UNION ALL SELECT doc_id, a, kind, b, text FROM tested JOIN least_ USING (enc, size) WHERE score >= least)
 SELECT t.doc_id, (SELECT count(*) FROM base b WHERE b.doc_id = t.doc_id AND kind = 0) AS n_assign, (SELECT count(*) FROM base b WHERE b.doc_id = t.doc_id AND kind = 1) AS n_access,
   (SELECT count(*) FROM base b WHERE b.doc_id = t.doc_id AND kind = 2) AS n_hex, sha256(coalesce(x.s, '')) AS base_sha256, coalesce(y.s, '') AS spans
 FROM t LEFT JOIN {_joined("base")} x ON x.doc_id = t.doc_id LEFT JOIN {_joined("every")} y ON y.doc_id = t.doc_id

@@ -2,16 +2,22 @@
 
 Base spans come from three patterns (assign, access, hex). The battery looks at further runs of 20 and more encoding
 characters; a run that is of no one encoding (NAME=value, a path before a key) is cut into its longest stretches of either
-base64 alphabet, each with the '=' that end it. Of each, the encoding is inferred (hex, base32, base64) and three tests are made:
-
-* chi-squared uniformity over the encoding's alphabet: how far the statistic is below what prose would give,
-* runs of character classes (lower, upper, digit, other): how far their number is above what prose would give,
-* circular lag-1 serial correlation: a candidate that is not serially uncorrelated (|r| sqrt(n) > SERIAL) is no secret.
-
-The first two scores are added to one normal score with prose as the null hypothesis. Candidates fall into strata by
-encoding and length (powers of two), since short ones score low however random they are and would be drowned by, or ride
-on, long ones; in each stratum the Benjamini-Hochberg rule at level FDR gives the least score that counts, from a
-histogram of scores over all documents. Only that histogram's thresholds (a few dozen rows) reach the driver.
+base64 alphabet, each with the '=' that end it. Of each, the encoding is inferred (hex, base32, base64) and three tests are
+made, each a normal score that is about 0 for random characters and falls the less random they are:
+
+* chi-squared uniformity over the encoding's alphabet,
+* runs of character classes (lower, upper, digit, other),
+* circular lag-1 serial correlation of the codes, of either sign.
+
+Their sum is the candidate's score. The null hypothesis is "made of words or numbers, no secret". Its law is measured, not
+assumed: every document gives one artificial token of each of FORMS, from words and hashes of its own text (identifiers in
+camel case without and with numbers, paths, upper-case names, decimal numbers), which pass the same tests. Mean and spread of
+their scores by form, encoding and length make a p-value of a score: the largest over the forms, so the form
+that is most like a secret counts, and dependence between the three tests is in it. Few documents are helped by PRIOR, the
+same figures of a typical corpus, which count as WEIGHT tokens.
+
+Short candidates score less clearly, so each stratum of encoding and length has its own Benjamini-Hochberg threshold at level
+FDR, from a histogram of scores over all documents. Thresholds and laws (a few dozen rows) reach the driver, nothing else.
 """
 
 from __future__ import annotations
@@ -21,16 +27,25 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 
-#: False-discovery level, and the bound of the serial test.
-FDR, SERIAL = 0.01, 3.3
+#: False-discovery level.
+FDR = 0.01
 #: The kinds in their order.
 KINDS = ("assign", "access", "hex", "random")
 #: The words of an assignment.
 WORDS = ("password", "passwd", "secret", "token", "api_?key")
-#: Alphabet size, excess of the chi-squared statistic per character that prose gives (alphabet size times the sum of squared letter shares, less 1).
-ENCODINGS = {"hex": (16, 0.6), "base32": (32, 1.1), "base64": (64, 3.16)}
-#: Share of neighbouring characters of different classes in prose.
-CHANGES = 0.08
+#: Alphabet size, and share of neighbours of different classes among random characters (from the classes' sizes).
+ENCODINGS = {"hex": (16, 2 * 10 * 6 / 16**2), "base32": (32, 2 * 26 * 6 / 32**2), "base64": (64, 1 - (26**2 + 26**2 + 10**2 + 2**2) / 64**2)}
+#: Forms of the artificial tokens, with their encoding.
+FORMS = {"camel": "base64", "numbered": "base64", "path": "base64", "upper": "base32", "decimal": "hex"}
+#: Words of an artificial token, one of these by the text's hash; words are of 3 to 12 ASCII letters.
+WORDS_OF, WORD = (4, 7, 14, 28), "[A-Za-z]{3,12}"
+#: Fall of the mean score for each character, and spread for each root of the length (in 1 / STEPS), of each form in prose of
+#: four languages; and the number of artificial tokens that these count as in each stratum.
+PRIOR = {"camel": (3.0, 3.3), "numbered": (2.3, 3.2), "path": (4.4, 3.9), "upper": (3.0, 3.2), "decimal": (2.6, 2.5)}
+WEIGHT = 30
+#: Length classes are quarters of powers of two: 4 n for 2^n characters. The last holds all longer candidates, whose law
+#: lies further from random still.
+SHORTEST, LONGEST = 17, 31
 #: Scores are counted in steps of 1 / STEPS.
 STEPS = 8
 
@@ -74,26 +89,57 @@ def _found(df: DataFrame, name: str, pattern: str, kind: int, least: int = 0) ->
     return df.withColumn(name, spans).drop("_m", "_p", "_g", "_n", "_both")
 
 
-def _scored(token: Column) -> Column:
-    """encoding, length class and score (in 1 / STEPS) of a candidate; the encoding is null where the battery doesn't apply."""
+def _encoding(token: Column) -> Column:
+    return F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32").when(token.rlike(WHOLE), "base64")
+
+
+def _scored(token: Column, encoding: Column) -> Column:
+    """encoding, length class (quarters of powers of two) and score (in 1 / STEPS) of a token; the encoding is null where the battery doesn't apply."""
     n = F.char_length(token).cast("long")
-    encoding = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32").when(token.rlike(WHOLE), "base64")
-    pick = lambda i: F.when(encoding == "hex", F.lit(ENCODINGS["hex"][i])).when(encoding == "base32", F.lit(ENCODINGS["base32"][i])).otherwise(F.lit(ENCODINGS["base64"][i])).cast("double")
-    k, excess = pick(0), pick(1)
+    pick = lambda i: F.when(encoding == "hex", F.lit(float(ENCODINGS["hex"][i]))).when(encoding == "base32", F.lit(float(ENCODINGS["base32"][i]))).otherwise(F.lit(float(ENCODINGS["base64"][i])))
+    k, share = pick(0), pick(1)
     chars = F.filter(F.split(token, ""), lambda c: c != "")
     squares = _sum(F.transform(F.array_distinct(chars), lambda c: F.pow(n - F.char_length(F.replace(token, c, F.lit(""))), 2).cast("long")))
-    chi = k * squares / n - n
-    z_chi = ((k - 1) + n * excess - chi) / F.sqrt(2 * (k - 1) + 4 * n * excess)
+    z_chi = ((k - 1) - (k * squares / n - n)) / F.sqrt(2 * (k - 1))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "[^lud]", "o")
     changes = F.char_length(F.regexp_replace(classes, r"(.)\1*", "x")) - 1
-    z_runs = (changes - (n - 1) * F.lit(CHANGES)) / F.sqrt((n - 1) * F.lit(CHANGES * (1 - CHANGES)))
+    z_runs = (changes - (n - 1) * share) / F.sqrt((n - 1) * share * (1 - share))
     codes = F.transform(chars, lambda c: F.ascii(c).cast("long"))
     total, squared = _sum(codes), _sum(F.transform(codes, lambda x: x * x))
     lagged = _sum(F.zip_with(codes, F.concat(F.slice(codes, 2, F.size(codes)), F.slice(codes, 1, 1)), lambda x, y: x * y))
     spread = n * squared - total * total
-    serial = F.when(spread > 0, F.abs(n * lagged - total * total) * F.sqrt(n.cast("double")) / spread).otherwise(F.lit(99.0))
-    score = F.least(F.lit(60.0), F.greatest(F.lit(-20.0), (z_chi + z_runs) / F.sqrt(F.lit(2.0))))
-    return F.struct(F.when(serial <= SERIAL, encoding).alias("encoding"), (F.length(F.bin(n)) - 1).alias("size"), F.floor(score * STEPS).cast("int").alias("score"))
+    z_serial = F.when(spread > 0, F.abs(n * lagged - total * total) * F.sqrt(n.cast("double")) / spread).otherwise(F.lit(500.0))
+    score = F.least(F.lit(20.0), F.greatest(F.lit(-500.0), z_chi + z_runs - z_serial))
+    power = F.length(F.bin(n)) - 1
+    size = F.least(F.lit(LONGEST), (4 * power + F.floor(4 * n / F.pow(F.lit(2), power)) - 4).cast("int"))
+    return F.struct(encoding.alias("encoding"), size.alias("size"), F.floor(score * STEPS).cast("int").alias("score"))
+
+
+def _artificial(text: Column) -> Column:
+    """(form, token) of every form, from words and the hash of a text; none where it has fewer than three words."""
+    seed = F.md5(text.cast("binary"))
+    digits = lambda at, n: F.conv(F.substring(seed, at, n), 16, 10).cast("long")
+
+    def of(found: Column) -> Column:
+        many = F.element_at(F.array(*map(F.lit, WORDS_OF)), (digits(F.lit(1), F.lit(4)) % len(WORDS_OF) + 1).cast("int"))
+        places = F.transform(F.sequence(F.lit(0), many - 1), lambda i: ((digits(1 + i % 27, F.lit(6)) + i * 7919) % F.size(found) + 1).cast("int"))
+        words = F.transform(places, lambda k: F.lower(F.element_at(found, k)))
+        capital = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 20)))
+        numbered = F.transform(capital, lambda w, i: F.when(i % 3 == 2, F.concat(w, (digits(1 + i % 29, F.lit(2)) % 100).cast("string"))).otherwise(w))
+        decimal = F.substring(F.array_join(F.transform(places, lambda k: k.cast("string")), ""), 1, 255)
+        tokens = {"camel": F.array_join(capital, ""), "numbered": F.array_join(numbered, ""), "path": F.array_join(words, "/"), "upper": F.upper(F.array_join(words, "")), "decimal": decimal}
+        return F.array(*(F.struct(F.lit(f).alias("form"), tokens[f].alias("token")) for f in FORMS))
+
+    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    # the array is bound to a variable so that a text is searched once
+    return F.flatten(F.transform(F.array(found), lambda w: F.when(F.size(w) >= 3, of(w)).otherwise(F.array().cast("array<struct<form:string,token:string>>"))))
+
+
+def _null_tests(text: Column) -> Column:
+    """(form, size, score) of the artificial tokens of 20 to 255 characters."""
+    fit = F.filter(_artificial(text), lambda t: F.char_length(t["token"]).between(20, 255))
+    encoding = lambda t: F.element_at(F.create_map(*(F.lit(x) for kv in FORMS.items() for x in kv)), t["form"])
+    return F.transform(fit, lambda t: F.struct(t["form"].alias("form"), _scored(t["token"], encoding(t)).alias("t")))
 
 
 def _with_stretches(rows: DataFrame) -> DataFrame:
@@ -108,34 +154,58 @@ def _with_stretches(rows: DataFrame) -> DataFrame:
     return rows.withColumn("random", F.concat("random", within)).withColumn("text", F.col("_whole")).drop("_mixed", "_whole", "_s0", "_s1")
 
 
-def thresholds(histogram: DataFrame, fdr: float = FDR) -> DataFrame:
+def prior_laws() -> list[tuple[str, str, int, float, float]]:
+    """Form, encoding, length class, mean and spread by PRIOR at the class's least length."""
+    chars = {size: 2.0 ** (size // 4) * (4 + size % 4) / 4 for size in range(SHORTEST, LONGEST + 1)}
+    return [(f, e, size, -PRIOR[f][0] * n, PRIOR[f][1] * n**0.5) for f, e in FORMS.items() for size, n in chars.items()]
+
+
+def laws(tests: DataFrame) -> DataFrame:
+    """(form, encoding, size, mean, spread) of the scores of artificial tokens (form, size, score), PRIOR taken in.
+
+    The mean is the median and the spread that of the normal law's upper half with the same 95th percentile, since only
+    that side matters and the other has outliers. Scores are few whole numbers, so percentiles need no sorted list."""
+    prior = tests.sparkSession.createDataFrame(prior_laws(), "form string, encoding string, size int, m double, s double")
+    found = tests.groupBy("form", "size").agg(F.count("*").alias("n"), F.percentile("score", F.lit(0.5)).alias("a"), F.percentile("score", F.lit(0.95)).alias("b"))
+    both = F.broadcast(prior).join(found, ["form", "size"], "left").fillna(0, ["n", "a", "b"])
+    part = lambda x, y: (F.col("n") * x + WEIGHT * F.col(y)) / (F.col("n") + WEIGHT)
+    return both.select("form", "encoding", "size", part(F.col("a"), "m").alias("mean"), part((F.col("b") - F.col("a")) / F.lit(1.645), "s").alias("spread"))
+
+
+def thresholds(histogram: DataFrame, law: DataFrame, fdr: float = FDR) -> DataFrame:
     """(encoding, size, least): the least score that counts in each stratum of histogram (encoding, size, score, n)."""
     stratum = Window.partitionBy("encoding", "size")
     above = stratum.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    z = F.col("score") / F.lit(float(STEPS))
+    z = (F.col("score") - F.col("mean")) / F.col("spread")
     tail = F.when(z > 0, F.lit(0.5) * F.exp(F.lit(-0.717) * z - F.lit(0.416) * z * z)).otherwise(F.lit(1.0))  # of the normal law
-    ranked = histogram.withColumn("rank", F.sum("n").over(above)).withColumn("all", F.sum("n").over(stratum))
-    return ranked.where(tail * F.col("all") <= F.lit(fdr) * F.col("rank")).groupBy("encoding", "size").agg(F.min("score").alias("least"))
-
+    scored = histogram.join(F.broadcast(law), ["encoding", "size"]).groupBy("encoding", "size", "score", "n").agg(F.max(tail).alias("p"))
+    ranked = scored.withColumn("rank", F.sum("n").over(above)).withColumn("all", F.sum("n").over(stratum))
+    return ranked.where(F.col("p") * F.col("all") <= F.lit(fdr) * F.col("rank")).groupBy("encoding", "size").agg(F.min("score").alias("least"))
 
-def scan(docs: DataFrame, fdr: float = FDR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, assign, access, hex, random): arrays of spans (start, kind, end, text, value) by code points, end exclusive.
 
-    Null texts are empty and have no spans; every repeated row is scanned; other columns aren't read. A random span never
-    overlaps a base span. An empty table gives an empty table."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def _scanned(docs: DataFrame, text_col: str, columns: list[str], fdr: float) -> DataFrame:
+    """(row: struct of columns, assign, access, hex, random): the scan of every row of docs by its own text."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     for name, pattern, least in (("assign", ASSIGN, 8), ("access", ACCESS, 0), ("hex", HEX, 0), ("random", CANDIDATE, 0)):
         rows = _found(rows, name, pattern, KINDS.index(name), least)
     rows = _with_stretches(rows)
-    rows = rows.drop("text").withColumn("base", F.concat("assign", "access", "hex"))
+    rows = rows.withColumns({"base": F.concat("assign", "access", "hex"), "null": _null_tests(F.col("text"))}).drop("text")
     rows = rows.withColumn("random", F.filter("random", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))))
-    rows = rows.withColumn("random", F.transform("random", lambda r: r.withField("test", _scored(r["text"])))).drop("base")
+    rows = rows.withColumn("random", F.transform("random", lambda r: r.withField("test", _scored(r["text"], _encoding(r["text"]))))).drop("base")
     rows = common.keep(rows, "secrets")
     tests = rows.select(F.explode("random.test").alias("t")).where("t.encoding is not null").groupBy("t.encoding", "t.size", "t.score").agg(F.count("*").alias("n"))
-    least = {(r["encoding"], r["size"]): r["least"] for r in thresholds(tests, fdr).collect()}  # a row for each encoding and length class
-    counts = F.lit(False)
-    kept = F.filter("random", lambda r: _counts(r["test"], least)) if least else F.filter("random", lambda r: counts)
-    return rows.withColumn("random", F.transform(kept, lambda r: r.dropFields("test"))).withColumnRenamed("doc_id", id_col)
+    law = laws(rows.select(F.explode("null").alias("x")).select("x.form", "x.t.size", "x.t.score"))
+    least = {(r["encoding"], r["size"]): r["least"] for r in thresholds(tests, law, fdr).collect()}  # a row for each encoding and length class
+    kept = F.filter("random", lambda r: _counts(r["test"], least))
+    return rows.withColumn("random", F.transform(kept, lambda r: r.dropFields("test"))).drop("null")
+
+
+def scan(docs: DataFrame, fdr: float = FDR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, assign, access, hex, random): arrays of spans (start, kind, end, text, value) by code points, end exclusive.
+
+    Null texts are empty and have no spans; every repeated row is scanned; other columns aren't read. A random span never
+    overlaps a base span. An empty table gives an empty table."""
+    return _scanned(docs, text_col, [id_col], fdr).select(f"row.`{id_col}`", *KINDS)
 
 
 def _counts(test: Column, least: dict) -> Column:
@@ -157,14 +227,18 @@ def digests(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), F.sha2(_said(base), 256).alias("base_sha256"), _said(F.concat(base, "random")).alias("spans"))
 
 
-def redacted(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) -> DataFrame:
-    """docs (doc_id, text and other columns) with every span of its texts replaced by mark; touching and overlapping spans
-    are one. Null texts stay null. Every row is redacted by its own text, whatever its doc_id."""
-    rows = common.keyed(docs)
-    spans = scan(rows, fdr, "_row").select("_row", F.array_sort(F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"], s["end"]))).alias("_spans")).where(F.size("_spans") > 0)
+def redacted(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR, length_col: str | None = None) -> DataFrame:
+    """docs (text and any other columns) with every span of its texts replaced by mark; touching and overlapping spans are
+    one. Where that changes a text, length_col (if given) becomes its length in code points. Null texts stay null. Every row
+    is redacted by the spans found in it, so null and repeated ids and any column names do no harm."""
+    spans = F.array_sort(F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"], s["end"])))
+    text = F.col("row.text")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    piece = lambda text, a, b: F.substring(text, (a + 1).cast("int"), F.greatest(F.lit(0), b - a).cast("int"))
-    joined = rows.join(spans, "_row", "left")
-    step = lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], F.when(x["start"] > s["at"], F.concat(piece(F.col("text"), s["at"], x["start"]), F.lit(mark))).when(s["out"] == "", F.lit(mark)).otherwise(F.lit(""))).alias("out"))
-    done = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], piece(F.col("text"), s["at"], F.char_length("text").cast("long"))))
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text"))).select(*docs.columns)
+    piece = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(F.lit(0), b - a).cast("int"))
+    step = lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], F.when(x["start"] > s["at"], F.concat(piece(s["at"], x["start"]), F.lit(mark))).when(s["out"] == "", F.lit(mark)).otherwise(F.lit(""))).alias("out"))
+    done = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], piece(s["at"], F.char_length(text).cast("long"))))
+    any_ = text.isNotNull() & (F.size(F.concat(*KINDS)) > 0)
+    new = {"text": F.when(any_, done).otherwise(text)}
+    if length_col:
+        new[length_col] = F.when(any_, F.char_length(done).cast(docs.schema[length_col].dataType)).otherwise(F.col(f"row.`{length_col}`"))
+    return _scanned(docs, "text", docs.columns, fdr).select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -51,6 +51,51 @@ def test_secrets_edges(spark):
     assert secrets.digests(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("encoding", ["hex", "base32", "base64"])
+def test_random_keys_are_found_and_identifiers_are_not(spark, sf_dir, encoding, tmp_path):
+    """Planted keys by length, beside as many identifiers, upper-case names or decimal numbers; and the SQL finds the same."""
+    rng = random.Random(encoding)
+    alphabet = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}[encoding]
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    terms = [w for r in given.limit(60).collect() for w in (r["text"] or "").split() if w.isascii() and w.isalpha() and len(w) > 2]
+
+    def other(n):
+        if encoding == "hex":
+            return "".join(rng.choice("0123456789") for _ in range(n))
+        made = ""
+        while len(made) < n:
+            made += rng.choice(terms).capitalize()
+        return made.upper() if encoding == "base32" else made[0].lower() + made[1:]
+
+    sizes = (24, 30) if encoding == "hex" else (24, 32, 44, 64)
+    keys = {n: ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(60)] for n in sizes}
+    plain = [other(n) for n in sizes for _ in range(60)]
+    rows = [(f"{words(rng, 4)} {k} {words(rng, 3)}", n) for n in sizes for k in keys[n]] + [(f"{words(rng, 4)} {k} {words(rng, 3)}", 0) for k in plain]
+    frame = given.union(spark.createDataFrame([(10_000 + i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).repartition(4)
+    frame.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    digests = secrets.digests(frame).collect()
+    got = {r["doc_id"] - 10_000: r["spans"] for r in digests}
+    flagged = [i for i in range(len(rows)) if "random" in got[i]]
+    for n in sizes:
+        mine = [i for i, (_, m) in enumerate(rows) if m == n]
+        assert sum(i in flagged for i in mine) >= 0.85 * len(mine), n
+    found = sum(rows[i][1] > 0 for i in flagged)
+    assert found >= 0.9 * len(sizes) * 60 and len(flagged) - found <= 0.02 * len(flagged)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL["op1_secret_scans"])
+    assert Counter(tuple(r[c] for c in want.columns) for r in digests) == Counter(want.fetchall())
+
+
+def test_secrets_redaction_is_by_row_with_any_columns(spark):
+    key = hashlib.sha256(b"k").hexdigest()
+    frame = spark.createDataFrame([(1, f"a {key} b", 1, 68), (1, "plain", 2, 5), (None, f"{key}", 3, 64), (None, None, 4, None), (2, "", 5, 0)], "doc_id long, text string, _id long, n_chars long")
+    frame = frame.withColumn("_spans", F.lit(1)).withColumn("row", F.lit("r")).withColumn("random", F.lit(2))
+    got = {r["_id"]: (r["doc_id"], r["text"], r["n_chars"]) for r in secrets.redacted(frame, length_col="n_chars").collect()}
+    assert got == {1: (1, "a [secret] b", 12), 2: (1, "plain", 5), 3: (None, "[secret]", 8), 4: (None, None, None), 5: (2, "", 0)}
+    assert secrets.redacted(frame.limit(0)).columns == frame.columns
+
+
 def test_secrets_within_mixed_runs(spark):
     """A value after its name and '=', in a query string and after a path is reported and redacted; prose in such runs isn't."""
     rng = random.Random(12)
