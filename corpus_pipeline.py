@@ -33,10 +33,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, the secrets in them replaced by a mark and n_chars set anew where there were any."""
-    length = F.when(F.col("text").isNotNull() & (F.char_length("text") != F.col("_was")), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    marked = secrets.redacted(docs.withColumn("_was", F.char_length("text")))
-    return marked.withColumn("n_chars", length).select(*docs.columns)
+    """All documents, the secrets in them replaced by a mark and n_chars set anew where there were any. A null text stays
+    null; rows with null or repeated ids are each redacted by their own text."""
+    return secrets.redacted(docs, length_col="n_chars")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
