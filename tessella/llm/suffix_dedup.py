@@ -13,10 +13,12 @@ at anchors (one in about 50 places), each with the windows it anchors: those tha
    the suffix array's common-prefix array: for a window that begins t bytes before its anchor, entries between which no
    neighbour shares less than SIZE - t bytes agree to the right of the anchor. Those that also agree in the t bytes to the
    left (a rolling hash of 64 bits) hold the same window.
-4. Blocks with more than HOT anchors would not fit a task. Their windows are counted one by one with Spark's aggregation,
-   by a hash of 64 bits, which works for any number of them.
+4. Blocks with more than HOT anchors would not fit a task. Their windows are compared one by one by a hash of 128 bits: a
+   task settles regions and windows that occur twice in what it holds, and sends each different window once, packed in
+   shards of the hash; a shard's windows meet in one task, SHARD of them on average.
 
-The driver sees a Bloom filter of blocks, of at most MOST_BITS bits: fuller filters let more suffixes through, no fewer.
+Hashes of 64 bits decide only among the anchors of one run or one bucket, never among those of the corpus. The driver sees a
+Bloom filter of blocks, of at most MOST_BITS bits: fuller filters let more suffixes through, no fewer.
 """
 
 from __future__ import annotations
@@ -36,16 +38,22 @@ SIZE, BLOCK = 200, 100
 #: Anchors of a block beyond which its windows are counted one by one.
 HOT = 50_000
 #: Bits of the Bloom filter: 8 for each repeated block, between these.
-LEAST_BITS, MOST_BITS = 1 << 24, 1 << 31
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 28
 HOT_BITS = 1 << 22
 #: Suffixes that a task sorts into one run, and about as many as meet in one bucket.
 RUN, BUCKET = 50_000, 10_000
+#: Buckets at least; those that one task merges, on average; anchors of hot blocks whose windows a task holds at once; windows of a shard.
+BUCKETS, BUCKETS_A_TASK, HELD, SHARD = 48, 2, 5000, 500_000
 #: Window starts of a very long text that are handled at once.
 PIECE = 4 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(77))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_OTHER = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_S = 0xD1342543DE82EF95
+_S_INV = pow(_S, -1, 1 << 64)
 _LEFT = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_WINDOW = np.dtype([("one", np.uint64), ("two", np.uint64), ("doc", np.int64), ("hash", np.int64), ("start", np.int64), ("done", np.uint8)])
 _META = np.dtype([("doc", np.int64), ("hash", np.int64), ("at", np.int64), ("first", np.uint8), ("last", np.uint8), ("done", np.uint8)])
 
 
@@ -90,6 +98,12 @@ class _Step:
         self.text = np.array([u[0] for u in units], np.int64)[unit]
         self.shift = np.array([u[1] for u in units], np.int64)[unit] - begin[unit]  # place in the text less place in data
 
+    def second(self) -> np.ndarray:
+        """Prefix sums of another polynomial."""
+        out = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(_OTHER[np.frombuffer(self.data, np.uint8)] * common._powers(_S, self.n), out=out[1:])
+        return out
+
 
 def _blocks(size: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +157,41 @@ def _common(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.minimum(first, length)
 
 
-def _suffixes(filter_, hot, buckets: int, size: int, block: int):
+def _twice(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows have an equal one among rows, and where the first of each kind stands (a done one, if any)."""
+    by = np.lexsort((1 - rows["done"], rows["two"], rows["one"]))
+    same = (rows["one"][by][1:] == rows["one"][by][:-1]) & (rows["two"][by][1:] == rows["two"][by][:-1])
+    twice = np.zeros(len(rows), bool)
+    twice[by[1:][same]] = True
+    twice[by[:-1][same]] = True
+    return twice, by[np.append(True, ~same)[: len(by)]]
+
+
+def _shards(size: int):
+    """The spans of windows that occur twice in a shard; the rows of a shard follow each other."""
+
+    def given(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.frombuffer(b"".join(parts), _WINDOW)
+        twice, _ = _twice(rows)
+        new = twice & (rows["done"] == 0)
+        yield from _spans(rows["doc"][new], rows["hash"][new], rows["start"][new], rows["start"][new] + size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts = None, []
+        for batch in batches:
+            for b, meta in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b != shard and parts:
+                    yield from given(parts)
+                    parts = []
+                shard = b
+                parts.append(meta)
+        if parts:
+            yield from given(parts)
+
+    return run
+
+
+def _suffixes(filter_, hot, buckets: int, shards: int, size: int, block: int):
     def flush(parts: list[tuple], wide: int) -> Iterator[pa.RecordBatch]:
         region = np.concatenate([p[0].region[p[1]] for p in parts])
         _, one, which, many = np.unique(region, return_index=True, return_inverse=True, return_counts=True)
@@ -185,13 +233,32 @@ def _suffixes(filter_, hot, buckets: int, size: int, block: int):
         if rows[0]:
             yield _found(kind=np.zeros(len(rows[0]), np.int8), **dict(zip(("bucket", "shared", "length", "rest", "left", "meta"), rows, strict=True)))
 
-    def windows(step: _Step, picked: np.ndarray, doc: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows of kind 2: the windows of anchors with hot blocks, one by one; bucket is the window's hash."""
+    def settled(step: _Step, picked: np.ndarray, doc: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Windows of anchors with hot blocks: spans of those met twice here (kind 1), and each different one (kind 2)."""
+        _, one, which, many = np.unique(step.region[picked], return_index=True, return_inverse=True, return_counts=True)
+        again = many[which] > 1
+        shift = step.shift[picked]
+        yield from _spans(doc[again], key[again], step.low[picked][again] + shift[again], step.high[picked][again] + shift[again] + size)
+        repeated, picked, doc, key, shift = again[one], picked[one], doc[one], key[one], shift[one]
         many = step.high[picked] - step.low[picked] + 1
         start = np.repeat(step.low[picked], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        hashes = common.mixed((step.total[start + size] - step.total[start]) * common._powers(common._R_INV, step.n)[start]).view(np.int64)
-        place = start + np.repeat(step.shift[picked], many)
-        yield _found(kind=np.full(len(start), 2, np.int8), bucket=hashes, doc_id=np.repeat(doc, many), hash=np.repeat(key, many), start=place, stop=place + size)
+        rows = np.zeros(len(start), _WINDOW)
+        rows["one"] = common.mixed((step.total[start + size] - step.total[start]) * common._powers(common._R_INV, step.n)[start])
+        total = step.second()
+        rows["two"] = common.mixed((total[start + size] - total[start]) * common._powers(_S_INV, step.n)[start])
+        rows["doc"], rows["hash"], rows["start"], rows["done"] = np.repeat(doc, many), np.repeat(key, many), start + np.repeat(shift, many), np.repeat(repeated, many)
+        del start, total
+        twice, first = _twice(rows)
+        new = twice & (rows["done"] == 0)
+        yield from _spans(rows["doc"][new], rows["hash"][new], rows["start"][new], rows["start"][new] + size)
+        rows["done"][twice] = 1
+        rows = rows[first]
+        shard = (rows["one"] % np.uint64(shards)).astype(np.int64)
+        by = np.argsort(shard, kind="stable")
+        rows, shard = rows[by], shard[by]
+        begin = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        packed = [rows[a:b].tobytes() for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(rows)], strict=True)]
+        yield _found(kind=np.full(len(begin), 2, np.int8), bucket=shard[begin], meta=packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, very = filter_.value, hot.value
@@ -208,9 +275,9 @@ def _suffixes(filter_, hot, buckets: int, size: int, block: int):
                 again = _has(some, step.block)
                 much = again & _has(very, step.block) if len(very) else np.zeros(len(again), bool)
                 picked = np.flatnonzero(much)
-                for few in np.array_split(picked, max(1, len(picked) // 5000)):
+                for few in np.array_split(picked, max(1, len(picked) // HELD)):
                     if len(few):
-                        yield from windows(step, few, doc[step.text[few]], key[step.text[few]])
+                        yield from settled(step, few, doc[step.text[few]], key[step.text[few]])
                 step.total = None  # eight times the text; only windows need it
                 picked = np.flatnonzero(again & ~much)
                 if len(picked):
@@ -386,15 +453,20 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, block: int = BLOCK, hot: i
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * (blocks or 1)).bit_length()))
     some = spark.sparkContext.broadcast(_filter(counts, bits))
     many = counts.where(F.col("n") > hot)
-    very = spark.sparkContext.broadcast(_filter(many, HOT_BITS) if not many.isEmpty() else np.zeros(0, np.uint8))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (anchors or 0) // BUCKET)
-    found = common.keep(docs.mapInArrow(_suffixes(some, very, buckets, size, block), _FOUND_DDL), "suffixes")
-    runs = found.where("kind = 0").select("bucket", "shared", "length", "rest", "left", "meta").repartition("bucket").sortWithinPartitions("bucket")
+    crowd = many.agg(F.sum("n")).first()[0] or 0
+    very = spark.sparkContext.broadcast(_filter(many, HOT_BITS) if crowd else np.zeros(0, np.uint8))
+    buckets = max(BUCKETS, (anchors or 0) // BUCKET)
+    shards = max(1, crowd * (size - block) // SHARD)
+    found = common.keep(docs.mapInArrow(_suffixes(some, very, buckets, shards, size, block), _FOUND_DDL), "suffixes")
+    # so many tasks that what one reads doesn't grow with the input
+    runs = found.where("kind = 0").select("bucket", "shared", "length", "rest", "left", "meta").repartition(buckets // BUCKETS_A_TASK, "bucket").sortWithinPartitions("bucket")
     spans = runs.mapInArrow(_merged(size, block), _FOUND_DDL).unionByName(found.where("kind = 1"))
-    windows = found.where("kind = 2")
-    twice = windows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    windows = windows.join(twice, "bucket").select(spans.columns)
-    return spans.unionByName(windows).select("doc_id", "hash", "start", "stop")
+    if crowd:
+        windows = found.where("kind = 2").select("bucket", "meta").repartition(shards, "bucket").sortWithinPartitions("bucket")
+        spans = spans.unionByName(windows.mapInArrow(_shards(size), _FOUND_DDL))
+    spans = common.keep(spans.select("doc_id", "hash", "start", "stop"), "spans")
+    common.drop(spark, found, counts)
+    return spans
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -331,11 +331,8 @@ def test_warc_edges(spark, tmp_path):
     assert [r["payload"] for r in warc.read_records(spark, str(tmp_path / "g")).where("record_type = 'resource'").collect()] == [b"hello"]
 
 
-@pytest.mark.parametrize("hot", [50_000, 20])
-def test_suffix_dedup_equals_brute_force(spark, sf_dir, hot):
-    rng = random.Random(7)
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(40).collect()]
-    rows += [(900, None), (901, ""), (902, "a" * 900), (903, "ab" * 300), (904, rows[0][1]), (905, "x" * 150 + rows[3][1][50:400] + "y" * 90), (906, "é" * 400), (907, words(rng, 200))]
+def without_repeats(rows):
+    """By brute force: bytes, removed bytes, runs and what is kept of each text."""
     counts = Counter()
     for _, t in rows:
         b = (t or "").encode()
@@ -348,10 +345,32 @@ def test_suffix_dedup_equals_brute_force(spark, sf_dir, hot):
             if counts[b[i : i + 200]] > 1:
                 gone[i : i + 200] = b"\1" * 200
         want[d] = (len(b), sum(gone), sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1])), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    return want
+
+
+@pytest.mark.parametrize("hot", [50_000, 20])
+def test_suffix_dedup_equals_brute_force(spark, sf_dir, hot):
+    rng = random.Random(7)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    rows += [(900, None), (901, ""), (902, "a" * 900), (903, "ab" * 300), (904, rows[0][1]), (905, "x" * 150 + rows[3][1][50:400] + "y" * 90), (906, "é" * 400), (907, words(rng, 200))]
+    want = without_repeats(rows)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digests(docs(spark, rows).repartition(3), hot=hot).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [10, 50_000])
+def test_suffix_dedup_of_large_groups(spark, hot):
+    """A passage that all texts share, hundreds of equal texts, and hundreds that differ in a word."""
+    rng = random.Random(8)
+    passage, text = words(rng, 60), words(rng, 150).split()
+    rows = [(k, f"{words(rng, rng.randint(0, 30))} {passage} {words(rng, rng.randint(0, 30))}") for k in range(300)]
+    rows += [(1000 + k, " ".join(text)) for k in range(300)]
+    rows += [(2000 + k, " ".join([*text[: (i := rng.randrange(150))], words(rng, 1), *text[i + 1 :]])) for k in range(300)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digests(docs(spark, rows).repartition(5), hot=hot).collect()}
+    assert got == without_repeats(rows)
+    assert suffix_dedup.digests(docs(spark, [])).count() == 0
+
+
 def test_merging_of_front_coded_runs():
     rng = random.Random(8)
     for k in (1, 2, 5, 8):
