@@ -9,6 +9,8 @@
    are aligned locally (match +2, mismatch and gap -1); the best score over twice the item's words is the pair's score, 1
    for a full copy. Edited and partly rewritten copies score in proportion to what is left of them.
 
+An item of fewer than SEED words is no evidence inside a longer text: it matches texts of just its words.
+
 Words are runs of letters, digits and marks between white space and ASCII punctuation, in lower case.
 """
 
@@ -42,6 +44,11 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, bounds
 
 
+def _whole(words: np.ndarray) -> int:
+    """The hash of a short text as a whole."""
+    return int(common.mixed((words * common.MIX[: len(words)]).sum(keepdims=True) + common.MIX[8 + len(words)])[0])
+
+
 class Items:
     """One block of test items: hashed words, and which n-gram belongs to which items."""
 
@@ -53,7 +60,9 @@ class Items:
         place = np.array([i for _, i in where], np.int64)
         self.item, self.offset = np.array([k for k, _ in where], np.int64), place - self.bounds[np.array([k for k, _ in where], np.int64)] if len(where) else place
         self.gram = grams[place] if len(where) else np.zeros(0, np.uint64)
-        self.unique, self.which = np.unique(self.gram, return_inverse=True)
+        self.short: dict[int, list[int]] = {}
+        for k in np.flatnonzero((np.diff(self.bounds) > 0) & (np.diff(self.bounds) < size)).tolist():
+            self.short.setdefault(_whole(self.words[self.bounds[k] : self.bounds[k + 1]]), []).append(k)
         self._index()
 
     def _index(self) -> None:
@@ -83,16 +92,16 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
 
     Row by row over the item's words for all pairs at once; gaps along a row are a running maximum."""
     m, w = max(map(len, items)), max(map(len, windows))
-    a, b = np.zeros((len(items), m), np.uint64), np.ones((len(windows), w), np.uint64)
-    inside = np.zeros((len(items), m), bool)
+    a, b = np.zeros((len(items), m), np.uint64), np.zeros((len(windows), w), np.uint64)
+    inside, there = np.zeros((len(items), m), bool), np.zeros((len(windows), w), bool)
     for k, (x, y) in enumerate(zip(items, windows, strict=True)):
-        a[k, : len(x)], inside[k, : len(x)], b[k, : len(y)] = x, True, y
+        a[k, : len(x)], inside[k, : len(x)], b[k, : len(y)], there[k, : len(y)] = x, True, y, True
     above = np.zeros((len(items), w + 1), np.int32)
     best = np.zeros(len(items), np.int32)
     slope = -GAP * np.arange(w + 1, dtype=np.int32)
     for i in range(m):
         here = np.zeros_like(above)
-        here[:, 1:] = np.maximum(np.maximum(above[:, :-1] + np.where(a[:, i, None] == b, MATCH, MISMATCH), above[:, 1:] + GAP), 0)
+        here[:, 1:] = np.maximum(np.maximum(above[:, :-1] + np.where(there & (a[:, i, None] == b), MATCH, MISMATCH), above[:, 1:] + GAP), 0)
         here = np.maximum.accumulate(here + slope, axis=1) - slope
         here[~inside[:, i]] = 0
         best = np.maximum(best, here.max(1))
@@ -128,6 +137,7 @@ def _counted(items, size: int):
 
 def _aligned(items, size: int, least: float):
     names = ["doc_id", "item_id", "score", "seeds", "first_word", "last_word"]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
 
     def possible(block: Items, words: np.ndarray, item: int, begin: int, end: int) -> bool:
         """Whether the words that the window shares with the item could give the least score."""
@@ -151,6 +161,12 @@ def _aligned(items, size: int, least: float):
         for batch in batches:
             for ids, texts in common.steps(batch.column(0), batch.column(1)):
                 words, bounds, grams, owner, whole = _grams_of(texts, size)
+                few = np.diff(bounds)
+                equal = [(d, k) for d in np.flatnonzero((few > 0) & (few < size)).tolist() for k in block.short.get(_whole(words[bounds[d] : bounds[d + 1]]), ())] if block.short else []
+                if equal:
+                    given = [[], [], [1.0] * len(equal), [1] * len(equal), [0] * len(equal), [int(few[d]) for d, _ in equal]]
+                    given[:2] = ids.take([d for d, _ in equal]), [int(block.ids[k]) for _, k in equal]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(given, types, strict=True)], names=names)
                 at, which = block.hits(grams)
                 at, which = at[whole[at]], which[whole[at]]
                 if not len(at):
@@ -189,7 +205,7 @@ def _aligned(items, size: int, least: float):
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SEED, rare: float = RARE, least: float = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, seeds, first_word, last_word): documents that hold a copy of a test item, with the place.
 
-    Null and empty texts and items match nothing, nor do items of fewer than size words; repeated documents give a row
+    Null and empty texts and items match nothing; items of fewer than size words match texts of just these words; repeated documents give a row
     each; equal items are matched each; columns other than doc_id, item_id and text aren't read; no items, no rows."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -264,6 +264,38 @@ def test_decontamination(spark):
     assert decontam.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.2])
+def test_decontamination_finds_copies_by_share_of_edits(spark, share):
+    """In 200 documents, copies of items of 30 words with a share of their words replaced."""
+    rng = random.Random(share)
+    items = [(k, words(rng, 30)) for k in range(100)]
+    rows = [(1000 + k, words(rng, 80)) for k in range(100)]
+    for k, t in items:
+        rows.append((k, f"{words(rng, 20)} {' '.join('other' if rng.random() < share else w for w in t.split())} {words(rng, 20)}"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(d == i for d, i in got) and len(got) >= 95
+
+
+def test_short_items_match_texts_of_just_their_words(spark):
+    bench = spark.createDataFrame([(1, "Yes, no"), (2, "yes no"), (3, "one"), (4, ""), (5, "...")], "item_id long, text string")
+    rows = [(10, "yes; NO!"), (10, "yes no"), (11, "they said yes no and more"), (12, "one"), (13, "no yes"), (14, None), (15, "..."), (None, "one")]
+    got = Counter((r["doc_id"], r["item_id"], r["score"]) for r in decontam.leaks(docs(spark, rows), bench).collect())
+    assert got == Counter({(10, 1, 1.0): 2, (10, 2, 1.0): 2, (12, 3, 1.0): 1, (None, 3, 1.0): 1})
+
+
+def test_alignment_equals_plain_smith_waterman():
+    rng = np.random.default_rng(4)
+    pairs = [(rng.integers(1, 9, rng.integers(1, 14)).astype(np.uint64), rng.integers(1, 9, rng.integers(1, 30)).astype(np.uint64)) for _ in range(200)]
+    want = []
+    for a, b in pairs:
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1, j + 1] = max(0, table[i, j] + (2 if a[i] == b[j] else -1), table[i, j + 1] - 1, table[i + 1, j] - 1)
+        want.append(table.max() / (2 * len(a)))
+    assert np.allclose(decontam.align([a for a, _ in pairs], [b for _, b in pairs]), want)
+
+
 @pytest.mark.parametrize(("copies", "others"), [(1, 60), (8, 0), (30, 400)])
 def test_decontamination_of_edited_copies(spark, copies, others):
     """Four edits destroy more than half of an item's n-grams; what is left must find one copy in few documents, and many."""
