@@ -95,7 +95,7 @@ MIX = _RNG.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
 def _powers(base: int, n: int) -> np.ndarray:
     if base not in _POWERS or len(_POWERS[base]) < n:
-        size = 1 << max(n, 1 << 16).bit_length()
+        size = ((n >> 18) + 1) << 18  # in steps, since every worker keeps them
         a = np.full(size, base, np.uint64)
         a[0] = 1
         _POWERS[base] = np.multiply.accumulate(a)

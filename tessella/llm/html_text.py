@@ -1,14 +1,15 @@
-"""HTML extraction: the main text of pages, by their elements and by differencing each page with its nearest by URL.
+"""HTML extraction: the main text of pages by differencing each with its nearest pages by URL, and by their elements.
 
 1. Every page is cut into text lines (blocks), each with what its elements say: inside an article or main element, inside a
    menu, footer, sidebar, notice, advert, form, comment section or other furniture, or neither.
-2. Pages are ordered by URL path within their host (a distributed sort of narrow keys; rows at the ends of its partitions
-   are matched up afterwards) and each is paired with the neighbour that shares more of the path.
-3. The lines outside articles are aligned with the neighbour's by longest common subsequence; shared lines are the site's
-   template and go. So do lines that the elements name as furniture.
-
-Lines inside an article are never deleted for being shared: neighbours are often copies, and the article must stay whole.
-So a page with an article is done after step 1; steps 2 and 3 run for the pages without.
+2. Pages of one host with the same main lines are copies and count as one. The different ones are ordered by URL path
+   within their host (a distributed sort of narrow keys; rows at the ends of its partitions are matched up afterwards), so
+   each has a nearest page before and after it, neither of which is a copy.
+3. Every page's lines are aligned with those of both by longest common subsequence, and shared lines go: the site's template.
+
+Elements decide where differencing can't: lines in furniture go though no other page has them. Lines inside an article go
+only if both neighbours share them, since one shared line can be a quotation, and never for a neighbour that shares half of
+the article, which is a near copy. A page outside any article keeps its lines if differencing would leave none of them.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -144,16 +145,26 @@ def _lines(page: str, any_article: bool) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def shared(a: list[int], b: list[int]) -> set[int]:
-    """Places in a of a longest common subsequence with b, by bit-parallel rows."""
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    high = 0
-    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
-        high += 1
-    found = {*range(low), *range(len(a) - high, len(a))}
-    a, b = a[low : len(a) - high], b[low : len(b) - high]
+#: Bits of the table of one alignment that is held whole; larger ones are halved first.
+CELLS = 1 << 23
+
+
+def _last_row(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequence of a with b[:j], for j from 0 to len(b), by one bit-parallel row."""
+    where: dict[int, int] = {}
+    for k, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << k
+    full = row = (1 << len(b)) - 1
+    for x in a:
+        if x in where:
+            u = row & where[x]
+            row = ((row + u) | (row - u)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _table(a: list[int], b: list[int]) -> list[int]:
+    """Places in a of a longest common subsequence with b, from the rows of the whole table."""
     where: dict[int, int] = {}
     for k, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << k
@@ -164,7 +175,7 @@ def shared(a: list[int], b: list[int]) -> set[int]:
         u = rows[-1] & where[y]
         rows.append(((rows[-1] + u) | (rows[-1] - u)) & full)
     length = lambda i, j: i - (rows[j] & ((1 << i) - 1)).bit_count()
-    i, j = len(a), len(b)
+    found, i, j = [], len(a), len(b)
     while i and j:
         here = length(i, j)
         if here == length(i - 1, j):
@@ -173,7 +184,40 @@ def shared(a: list[int], b: list[int]) -> set[int]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            found.add(low + i)
+            found.append(i)
+    return found
+
+
+def shared(a: list[int], b: list[int], cells: int = CELLS) -> set[int]:
+    """Places in a of a longest common subsequence with b.
+
+    Where the table would have more than cells bits, a is halved and b cut where the halves' lengths add up to most, so
+    memory grows with the lines, not with their product."""
+    found: set[int] = set()
+    open_ = [(0, a, b)]
+    while open_:
+        at, a, b = open_.pop()
+        low = 0
+        while low < min(len(a), len(b)) and a[low] == b[low]:
+            low += 1
+        high = 0
+        while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+            high += 1
+        found.update(range(at, at + low), range(at + len(a) - high, at + len(a)))
+        there = set(b)
+        places = [k for k in range(low, len(a) - high) if a[k] in there]
+        mine = [a[k] for k in places]
+        there = set(mine)
+        other = [y for y in b[low : len(b) - high] if y in there]
+        if not mine or not other:
+            continue
+        if len(mine) * len(other) <= cells or len(mine) == 1:
+            found.update(at + places[k] for k in _table(mine, other))
+            continue
+        half = len(mine) // 2
+        cut = int(np.argmax(_last_row(mine[:half], other) + _last_row(mine[half:][::-1], other[::-1])[::-1]))
+        turn = places[half]
+        open_ += [(at + low, a[low:turn], other[:cut]), (at + turn, a[turn : len(a) - high], other[cut:])]
     return found
 
 
@@ -181,14 +225,22 @@ def _number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-_PARSED = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("lines", pa.list_(pa.string())), ("furniture", pa.list_(pa.bool_())), ("outside", pa.list_(pa.int64()))])
-_PARSED_DDL = "row long, page_id long, url string, host string, path string, text string, lines array<string>, furniture array<boolean>, outside array<long>"
+INSIDE, FURNISHED = 1, 2
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("same", pa.binary()), ("lines", pa.list_(pa.string())), ("marks", pa.list_(pa.int8())), ("numbers", pa.list_(pa.int64()))])
+_PARSED_DDL = "page_id long, url string, host string, path string, same binary, lines array<string>, marks array<byte>, numbers array<long>"
+
+
+def _main(marks: list[int]) -> list[int]:
+    """Places of the main lines by the elements: those of the article, or all outside furniture where there is none."""
+    inside = [k for k, m in enumerate(marks) if m == INSIDE]
+    return inside or [k for k, m in enumerate(marks) if not m & FURNISHED]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    row = TaskContext.get().partitionId() << 40
+    """The lines of each page with their marks and hashes; same is a hash of the main lines."""
     for batch in batches:
         out: dict[str, list] = {f.name: [] for f in _PARSED}
+        size = 0
         for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             cut = lines(page or "")
             try:
@@ -196,78 +248,82 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host, path = at.netloc.lower(), at.path
             except ValueError:
                 host, path = "", url
-            article = [t for t, inside, furniture in cut if inside and not furniture]
-            outside = [(t, furniture) for t, inside, furniture in cut if not inside]
-            done = bool(article) or all(f for _, f in outside)
-            for c, v in zip(out.values(), (row, page_id, url, host, path, "\n\n".join(article) if done else None, None if done else [t for t, _ in outside], None if done else [f for _, f in outside], [_number(t) for t, _ in outside]), strict=True):
+            marks = [INSIDE * inside + FURNISHED * furniture for _, inside, furniture in cut]
+            numbers = [_number(t) for t, _, _ in cut]
+            same = hashlib.blake2b(repr([numbers[k] for k in _main(marks)]).encode(), digest_size=16).digest()
+            for c, v in zip(out.values(), (page_id, url, host, path, same, [t for t, _, _ in cut], marks, numbers), strict=True):
                 c.append(v)
-            row += 1
+            size += len(page or "")
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_pydict(out, schema=_PARSED)
+                out, size = {f.name: [] for f in _PARSED}, 0
         yield pa.RecordBatch.from_pydict(out, schema=_PARSED)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (host, path, row): each with the rows before and after; the first and last of a partition are
     marked, for their other neighbour lies elsewhere."""
-    schema = pa.schema([("row", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("before", pa.int64()), ("after", pa.int64()), ("common_before", pa.int32()), ("common_after", pa.int32()), ("edge", pa.bool_())])
+    schema = pa.schema([("row", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("before", pa.int64()), ("after", pa.int64()), ("edge", pa.bool_())])
     held: list[list] = []
     first = True
     for batch in batches:
         for row, host, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            new = [row, host, path, None, None, -1, -1, first]
+            new = [row, host, path, None, None, first]
             if held and held[-1][1] == host:
                 new[3], held[-1][4] = held[-1][0], row
-                new[5] = held[-1][6] = _common(held[-1][2], path)
             held.append(new)
             first = False
         if len(held) > 1:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held[:-1], strict=True), schema, strict=True)], schema=schema)
             held = held[-1:]
     if held:
-        held[-1][7] = True
+        held[-1][5] = True
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def _common(a: str | None, b: str | None) -> int:
-    n = 0
-    for x, y in zip(a or "", b or "", strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def nearest(parsed: DataFrame) -> DataFrame:
-    """(row, other): the row next to each by (host, path, row) that shares more of its path (the earlier on ties)."""
-    keys = parsed.select("row", "host", "path").repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
-    near = common.keep(keys.mapInArrow(_neighbours, "row long, host string, path string, before long, after long, common_before int, common_after int, edge boolean"), "neighbours")
+def nearest(pages: DataFrame) -> DataFrame:
+    """(row, before, after): the rows next to each row of pages (row, host, path) by path within its host, null at the ends."""
+    keys = pages.select("row", "host", "path").repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
+    near = common.keep(keys.mapInArrow(_neighbours, "row long, host string, path string, before long, after long, edge boolean"), "neighbours")
     edges = near.where("edge")  # two rows of each partition of the sort
     along = Window.orderBy("host", "path", "row")
     same = lambda shift: F.when(shift("host", 1).over(along) == F.col("host"), shift("row", 1).over(along))
     edges = edges.withColumn("before", F.coalesce("before", same(F.lag))).withColumn("after", F.coalesce("after", same(F.lead)))
-    near = near.where("not edge").unionByName(edges)
-    return near.select("row", F.when(F.col("before").isNull() | (F.col("after").isNotNull() & (F.col("common_after") > F.col("common_before")) & (F.col("common_before") >= 0)), F.coalesce("after", "before")).otherwise(F.col("before")).alias("other"))
+    return near.where("not edge").unionByName(edges).select("row", "before", "after")
+
+
+def kept(marks: list[int], numbers: list[int], others: list[list[int]]) -> list[int]:
+    """Places of the lines that stay, given the lines of the nearest pages before and after (those that exist)."""
+    main = _main(marks)
+    found = [shared(numbers, other) for other in others]
+    if main and marks[main[0]] == INSIDE:
+        templates = [f for f in found if 2 * len(f.intersection(main)) < len(main)]
+        both = templates[0] & templates[1] if len(templates) == 2 else set()
+        return [k for k in main if k not in both]
+    either = set().union(*found)
+    return [k for k in main if k not in either] or main
 
 
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        page_id, url, cut, furniture, mine, other = (c.to_pylist() for c in batch.columns)
-        text = []
-        for t, f, a, b in zip(cut, furniture, mine, other, strict=True):
-            gone = shared(a, b) if b else set()
-            text.append("\n\n".join(x for k, x in enumerate(t) if not f[k] and k not in gone))
+        page_id, url, cut, marks, mine, before, after = (c.to_pylist() for c in batch.columns)
+        text = ["\n\n".join([t[k] for k in kept(m, x, [y for y in others if y is not None])]) for t, m, x, *others in zip(cut, marks, mine, before, after, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(page_id, pa.int64()), pa.array(url, pa.string()), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html): the main text, blocks joined by a blank line.
 
-    Null and empty html give an empty text; null urls are one host; a page that is alone on its host loses only what its
-    elements name; repeated rows stay; other columns aren't read; an empty table gives an empty table."""
+    Null and empty html give an empty text; null urls are one host; a page whose host has no other text loses only what its
+    elements name; repeated rows stay, each with the same text; among equal paths the order is that of the line hashes; other columns aren't read; an empty table gives an empty table."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = common.keep(rows.mapInArrow(_parse, _PARSED_DDL), "parsed")
-    done = parsed.where("text is not null").select("page_id", "url", "text")
-    open_ = parsed.where("text is null").select("row", "page_id", "url", "lines", "furniture", F.col("outside").alias("mine"))
-    if not open_.isEmpty():
-        pairs = nearest(parsed).join(open_, "row").join(parsed.select(F.col("row").alias("other"), "outside"), "other", "left")
-        done = done.unionByName(pairs.select("page_id", "url", "lines", "furniture", "mine", "outside").mapInArrow(_differenced, "page_id long, url string, text string"))
+    parsed = rows.mapInArrow(_parse, _PARSED_DDL)
+    # copies within a host are one; texts stay out of this table
+    unlike = parsed.select("host", "same", F.struct("path", "numbers").alias("first")).groupBy("host", "same").agg(F.min("first").alias("first"))
+    unlike = common.keep(unlike.select("host", "same", "first.*").withColumn("row", F.monotonically_increasing_id()), "unlike")
+    lines_of = lambda name: unlike.select(F.col("row").alias(name), F.col("numbers").alias(f"{name}_lines"))
+    near = nearest(unlike).join(lines_of("before"), "before", "left").join(lines_of("after"), "after", "left")
+    near = near.join(unlike.select("row", "host", "same"), "row").select("host", "same", "before_lines", "after_lines")
+    pairs = parsed.join(near, ["host", "same"], "left").select("page_id", "url", "lines", "marks", "numbers", "before_lines", "after_lines")
+    done = pairs.mapInArrow(_differenced, "page_id long, url string, text string")
     return done.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -449,9 +449,46 @@ def test_longest_common_subsequences():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        found = html_text.shared(a, b)
-        it = iter(b)
-        assert len(found) == table[-1][-1] and all(a[k] in it for k in sorted(found))
+        for cells in (1 << 20, 6, 1):
+            found = html_text.shared(a, b, cells)
+            it = iter(b)
+            assert len(found) == table[-1][-1] and all(a[k] in it for k in sorted(found))
+    many = [rng.randrange(1000) for _ in range(20_000)]
+    assert len(html_text.shared(many, many[5:9000] + many[9100:], 1 << 20)) == len(many) - 105
+
+
+def test_html_differencing_without_telling_names(spark):
+    """Pages of meaningless elements: lines shared with a neighbour by path go, copies don't empty each other, hosts don't mix."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for host in range(4):
+        top, end = [words(rng, 4) for _ in range(3)], [words(rng, 5) for _ in range(4)]
+        for k in range(12):
+            own = [words(rng, rng.randint(2, 30)) for _ in range(rng.randint(1, 6))]
+            page = 100 * host + k
+            rows.append((page, f"http://h{host}.x/p/{k:02}?q={rng.random()}", "".join(f"<div class='c{rng.randrange(99)}'><span>{t}</span></div>" for t in [*top, *own, *end])))
+            want[page] = "\n\n".join(own)
+        rows.append((100 * host + 50, f"http://h{host}.x/p/03/copy", rows[-9][2]))  # of page 3
+        want[100 * host + 50] = want[100 * host + 3]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == want
+    alone = [(1, "http://a/1", "<div>x</div><div>y</div>"), (2, "http://a/2", "<div>x</div><div>y</div>"), (3, "http://b/1", "<div>x</div>")]
+    assert {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(alone, "page_id long, url string, html string")).collect()} == {1: "x\n\ny", 2: "x\n\ny", 3: "x"}
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string, lines int")).count() == 0
+
+
+def test_html_differencing_inside_articles(spark):
+    """A line of both neighbours' articles goes, one of a single neighbour is a quotation, near copies keep theirs."""
+    rng = random.Random(16)
+    quote, notice = words(rng, 20), words(rng, 9)
+    own = {k: [words(rng, 12) for _ in range(4)] for k in range(1, 7)}
+    own[2] = own[2][:2] + [quote] + own[2][2:]
+    own[3] = own[3][:1] + [quote] + own[3][1:]
+    own[6] = own[5][:3] + [words(rng, 12)]  # a near copy of its neighbour
+    rows = [(k, f"http://a/{k}", "<article>" + "".join(f"<p>{t}</p>" for t in [*x[:1], notice, *x[1:]]) + "</article>") for k, x in own.items()]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == own[k] for k in (2, 3, 4))
+    assert all(set(own[k]) <= set(got[k]) for k in (1, 5, 6))  # pages with one neighbour that isn't a near copy keep all
 
 
 def test_stages_with_null_and_repeated_ids(spark, sf_dir):
