@@ -22,9 +22,9 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tessella.llm import common
 
@@ -226,8 +226,8 @@ def _number(text: str) -> int:
 
 
 INSIDE, FURNISHED = 1, 2
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("same", pa.binary()), ("lines", pa.list_(pa.string())), ("marks", pa.list_(pa.int8())), ("numbers", pa.list_(pa.int64()))])
-_PARSED_DDL = "page_id long, url string, host string, path string, same binary, lines array<string>, marks array<byte>, numbers array<long>"
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("same", pa.binary()), ("lines", pa.binary()), ("marks", pa.list_(pa.int8())), ("numbers", pa.list_(pa.int64()))])
+_PARSED_DDL = "page_id long, url string, host string, path string, same binary, lines binary, marks array<byte>, numbers array<long>"
 
 
 def _main(marks: list[int]) -> list[int]:
@@ -237,7 +237,8 @@ def _main(marks: list[int]) -> list[int]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of each page with their marks and hashes; same is a hash of the main lines."""
+    """Of each page its main lines, packed (they hold no line ends), marks and hashes of all lines, and a hash of the main ones."""
+    packed = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         out: dict[str, list] = {f.name: [] for f in _PARSED}
         size = 0
@@ -250,8 +251,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host, path = "", url
             marks = [INSIDE * inside + FURNISHED * furniture for _, inside, furniture in cut]
             numbers = [_number(t) for t, _, _ in cut]
-            same = hashlib.blake2b(repr([numbers[k] for k in _main(marks)]).encode(), digest_size=16).digest()
-            for c, v in zip(out.values(), (page_id, url, host, path, same, [t for t, _, _ in cut], marks, numbers), strict=True):
+            main = _main(marks)
+            same = hashlib.blake2b(repr([numbers[k] for k in main]).encode(), digest_size=16).digest()
+            for c, v in zip(out.values(), (page_id, url, host, path, same, packed("\n".join([cut[k][0] for k in main]).encode()), marks, numbers), strict=True):
                 c.append(v)
             size += len(page or "")
             if size > 4 << 20:
@@ -305,9 +307,13 @@ def kept(marks: list[int], numbers: list[int], others: list[list[int]]) -> list[
 
 
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpacked = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        page_id, url, cut, marks, mine, before, after = (c.to_pylist() for c in batch.columns)
-        text = ["\n\n".join([t[k] for k in kept(m, x, [y for y in others if y is not None])]) for t, m, x, *others in zip(cut, marks, mine, before, after, strict=True)]
+        page_id, url, packed, marks, mine, before, after = (c.to_pylist() for c in batch.columns)
+        text = []
+        for p, m, x, *others in zip(packed, marks, mine, before, after, strict=True):
+            line = dict(zip(_main(m), unpacked(p).decode().split("\n"), strict=False))
+            text.append("\n\n".join([line[k] for k in kept(m, x, [y for y in others if y is not None])]))
         yield pa.RecordBatch.from_arrays([pa.array(page_id, pa.int64()), pa.array(url, pa.string()), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
 
