@@ -12,7 +12,8 @@ The product of the sparse document-by-shingle matrix with its transpose, in bloc
    so a large group of near copies costs rows in proportion to its size and a hot shingle is spread over many tasks.
 4. Each set also has a parity sketch of about one bit a shingle. The bits in which two sketches differ are a lower bound of
    the shingles in which the sets differ, so pairs too far apart go before any set moves.
-5. Overlaps of the pairs left are counted exactly on the full sets, 100 * both >= 75 * either.
+5. Overlaps of the pairs left are counted exactly on the full sets, 100 * both >= 75 * either: first of one pair for each
+   node, then of those pairs whose nodes these links haven't connected.
 
 Nothing of the corpus reaches the driver but the count-min sketch (SKETCH counters) and a Bloom filter of fixed size that
 spares sets no pair needs. Set equality and shingle equality are 64-bit hash equality.
@@ -304,15 +305,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     stars = large.join(large.groupBy("shingle").agg(F.min("node").alias("centre")), "shingle").where("node <> centre")
     pairs = met.where("b is not null").select("a", "b").unionByName(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))).distinct()
     pairs = common.keep(_near(pairs, classes, percent), "pairs")
-    links = _verified(pairs, docs, size, percent)
+    # first one pair for each node; of the others only those that these links haven't connected
+    forest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _verified(forest, docs, size, percent)
     found = common.components(links)
+    label = lambda c: found.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+    apart = pairs.join(forest, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    apart = apart.where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
 
     labelled = large.join(found, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     open_ = labelled.groupBy("shingle").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", F.ceil(F.col("m") / cell).cast("int").alias("sides"))
     cells = labelled.join(open_, "shingle").join(classes.select("node", "parity"), "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
     more = cells.groupBy("shingle", "i", "j").applyInArrow(_cells(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = common.keep(more, "pairs")
+    more = common.keep(more.unionByName(apart), "pairs")
     if not more.isEmpty():
         found = common.components(links.unionByName(_verified(more, docs, size, percent)))
 
