@@ -108,7 +108,7 @@ class WarcReader(DataSourceReader):
         size = 0
         for path in partition.paths:
             with at.open_input_file(path) as raw:
-                source = _Zipped(raw) if path.endswith(".gz") else _Plain(raw)
+                source = _source(raw, path.endswith(".gz"))
                 while (header := source.header()) is not None:
                     length = int(header["content-length"])
                     if not self._wanted(header):
@@ -118,7 +118,8 @@ class WarcReader(DataSourceReader):
                     if self.payload:
                         payload = source.block(length)
                         if header.get("content-type", "").startswith("application/http"):
-                            payload = payload[payload.index(b"\r\n\r\n") + 4 :]
+                            _, blank, body = payload.partition(b"\r\n\r\n")
+                            payload = body if blank else payload  # a block without a header's end is all payload
                     else:
                         source.skip_block(length)
                     rows.append((*(header.get(f) for f in _FIELDS.values()), int(full) if full else None, payload))
@@ -180,12 +181,16 @@ class _Plain(_Buffered):
 
     def header(self) -> dict[str, str] | None:
         head = [self.line()]
+        while head == [b"\r\n"]:  # more blank lines than two after a record
+            head = [self.line()]
         while head[-1] not in (b"", b"\r\n"):
             head.append(self.line())
         return _fields(b"".join(head)) if head[0] else None
 
     def block(self, length: int) -> bytes:
         out = self.take(length)
+        if len(out) < length:
+            raise ValueError(f"a WARC record ends after {len(out)} of {length} bytes")
         self.skip(4)
         return out
 
@@ -210,31 +215,60 @@ def zipped(head: bytes, block: bytes) -> bytes:
     return _member(head, _LENGTHS + struct.pack("<HQQ", 16, size, len(second))) + second
 
 
+class _Inflated:
+    """The bytes of gzip members one after the other, however records are laid out in them; seeks forward only."""
+
+    def __init__(self, raw):
+        self.raw, self.unpacker, self.data, self.place = raw, zlib.decompressobj(31), b"", 0
+
+    def read(self, n: int) -> bytes:
+        out, have = [], 0
+        while have < n:
+            if self.unpacker.eof:
+                self.data, self.unpacker = self.unpacker.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+            data = self.data or self.raw.read(1 << 16)
+            if not data:
+                break
+            out.append(self.unpacker.decompress(data, n - have))
+            self.data = self.unpacker.unconsumed_tail
+            have += len(out[-1])
+        self.place += have
+        return b"".join(out)
+
+    def tell(self) -> int:
+        return self.place
+
+    def seek(self, place: int) -> None:
+        while self.place < place and self.read(min(1 << 20, place - self.place)):
+            pass
+
+
+def _source(raw, gzip: bool) -> _Buffered:
+    """Reader of a file: records of our own lengths are sought over, any other gzip file is one stream of records."""
+    if not gzip:
+        return _Plain(raw)
+    start = raw.read(14)
+    raw.seek(0)
+    return _Zipped(raw) if start[:10] == _GZIP and start[12:14] == _LENGTHS else _Plain(_Inflated(raw))
+
+
 class _Zipped(_Buffered):
-    """Records of a file of gzip members."""
+    """Records of a file of gzip members that give their lengths; a file that was joined from such and other members fails."""
 
     def header(self) -> dict[str, str] | None:
         start = self.take(32)
         if not start:
             return None
-        self.whole = None
-        if start[:10] == _GZIP and start[12:14] == _LENGTHS:
-            size, self.second = struct.unpack_from("<QQ", start, 16)
-            return _fields(zlib.decompress(start + self.take(size - 32), 31))
-        unpacker, parts, data = zlib.decompressobj(31), [], start
-        while data and not unpacker.eof:
-            parts.append(unpacker.decompress(data))
-            data = b"" if unpacker.eof else self.take(1 << 16)
-        self.buffer, self.at = unpacker.unused_data + self.buffer[self.at :], 0
-        head, _, self.whole = b"".join(parts).partition(b"\r\n\r\n")
-        return _fields(head)
+        if start[:10] != _GZIP or start[12:14] != _LENGTHS:
+            raise ValueError("a gzip member without lengths after members with them")
+        size, self.second = struct.unpack_from("<QQ", start, 16)
+        return _fields(zlib.decompress(start + self.take(size - 32), 31))
 
     def block(self, length: int) -> bytes:
-        return (zlib.decompress(self.take(self.second), 31) if self.whole is None else self.whole)[:length]
+        return zlib.decompress(self.take(self.second), 31)[:length]
 
     def skip_block(self, length: int) -> None:
-        if self.whole is None:
-            self.skip(self.second)
+        self.skip(self.second)
 
 
 class WarcWriter(DataSourceArrowWriter):

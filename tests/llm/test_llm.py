@@ -417,6 +417,24 @@ def test_merging_of_front_coded_runs():
             assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    """Many records in one gzip member, one in each, plain files, extra blank lines, long blocks, blocks without a HTTP header."""
+    import gzip
+
+    def record(k, block, end=b"\r\n\r\n"):
+        return b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:x:%d>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % (b"response" if k % 2 else b"request", k, len(block)) + block + end
+
+    blocks = [b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody", b"no header end", b"HTTP/1.1 200 OK\r\n\r\n" + b"x\r\n\r\n" * 300_000, b"", b"HTTP/1.1 200 OK\r\n\r\nlast"]
+    payloads = [b"body", b"no header end", b"x\r\n\r\n" * 300_000, b"", b"last"]
+    records = [record(k, b, b"\r\n\r\n\r\n" if k == 1 else b"\r\n\r\n") for k, b in enumerate(blocks)]
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    got = warc.read_records(spark, str(tmp_path))
+    assert Counter((r["record_id"], bytes(r["payload"])) for r in got.collect()) == Counter({(f"<urn:x:{k}>", p): 3 for k, p in enumerate(payloads)})
+    assert warc.read_records(spark, str(tmp_path), payload=False).where("record_type = 'response'").count() == 6
+
+
 def test_html(spark):
     chrome = "<div>Site A</div><nav><a>Home</a></nav>{}<p>Imprint</p>"
     rows = [
