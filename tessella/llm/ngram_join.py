@@ -271,12 +271,16 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return one.where(F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets overlap enough, counted exactly."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets_of(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, set) of the nodes of pairs (a, b), from one pass over docs."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     bloom = pairs.sparkSession.sparkContext.broadcast(_bloom(wanted))
     sets = docs.mapInArrow(_sets(size, bloom), "node long, set array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = common.keep(sets, "sets")
+    return common.keep(sets, "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets overlap enough, counted exactly."""
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
     one = one.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("total"))
@@ -307,20 +311,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     pairs = common.keep(_near(pairs, classes, percent), "pairs")
     # first one pair for each node; of the others only those that these links haven't connected
     forest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _verified(forest, docs, size, percent)
+    sets = _sets_of(pairs, docs, size)
+    links = _verified(forest, sets, percent)
     found = common.components(links)
     label = lambda c: found.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
     apart = pairs.join(forest, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
     apart = apart.where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
+    links = links.unionByName(_verified(apart, sets, percent))
+    found = common.components(links)
 
     labelled = large.join(found, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     open_ = labelled.groupBy("shingle").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", F.ceil(F.col("m") / cell).cast("int").alias("sides"))
     cells = labelled.join(open_, "shingle").join(classes.select("node", "parity"), "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
     more = cells.groupBy("shingle", "i", "j").applyInArrow(_cells(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = common.keep(more.unionByName(apart), "pairs")
+    more = common.keep(more, "pairs")
     if not more.isEmpty():
-        found = common.components(links.unionByName(_verified(more, docs, size, percent)))
+        found = common.components(links.unionByName(_verified(more, _sets_of(more, docs, size), percent)))
 
     least = classes.join(found, "node", "left").withColumn("group", F.coalesce("label", "node"))
     ids = least.groupBy("group").agg(F.min("least").alias("component_id"))
