@@ -7,11 +7,13 @@ The product of the sparse document-by-shingle matrix with its transpose, in bloc
 2. Shingles are put in one global order, rare first by the sketch, then by hash (any order is right, rare first keeps
    blocks small). A pair that links shares one of the first n - ceil(0.75 n) + 1 shingles of either text, so only those
    are shuffled by shingle. Within a block, pairs whose size or position bounds rule the threshold out are discarded.
-3. A block of up to BLOCK nodes gives its pairs. A larger one first gives a star (each node with its least node); only
-   pairs of nodes that verified stars have not yet connected are formed afterwards, in cells of CELL x CELL nodes,
-   so a large group of near copies costs rows in proportion to its size and a hot shingle is spread over many tasks.
-4. Each set also has a parity sketch of about one bit a shingle. The bits in which two sketches differ are a lower bound of
-   the shingles in which the sets differ, so pairs too far apart go before any set moves.
+3. A block of up to BLOCK nodes gives its pairs. A larger one first gives a star (each node with the one that is in most
+   large blocks, as the origin of edited copies is); only nodes that verified stars have not yet connected are compared
+   afterwards, in cells of CELL x CELL nodes: first each node with its closest one of another component, then, where
+   these links leave components apart, all pairs between them. A pair is given by the first of its common blocks only.
+   So a large group of near copies costs rows in proportion to its size and a hot shingle is spread over many tasks.
+4. Each set also has a parity sketch of BITS bits a shingle or more. The bits in which two sketches differ are a lower bound
+   of the shingles in which the sets differ, so pairs too far apart go before any set moves.
 5. Overlaps of the pairs left are counted exactly on the full sets, 100 * both >= 75 * either.
 
 Nothing of the corpus reaches the driver but the count-min sketch (SKETCH counters) and a Bloom filter of fixed size that
@@ -39,6 +41,10 @@ BLOCK = 48
 HOT = 20_000
 #: Side of a cell of a large block.
 CELL = 1024
+#: Bits of a parity sketch for each shingle, a power of two: at one bit, pairs at two thirds often look like three quarters.
+BITS = 4
+#: Earlier large blocks of a node that a row carries to tell which pairs were met before; with others a pair is met again.
+EARLIER = 8
 #: Bits of the Bloom filter.
 BLOOM = 1 << 24
 
@@ -55,8 +61,8 @@ def _node(s: np.ndarray) -> int:
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    """A power of two of 64-bit words, a bit or more for each shingle: how often each bit is drawn, modulo 2."""
-    words = 1 << max(0, (len(s) - 1).bit_length() - 6)
+    """A power of two of 64-bit words, BITS bits or more for each shingle: how often each bit is drawn, modulo 2."""
+    words = 1 << max(0, (BITS * len(s) - 1).bit_length() - 6)
     odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -235,15 +241,23 @@ def _far(a: list, b: list) -> np.ndarray:
         w = min(m, n)
         if max(m, n) <= 2 * w:
             fold = lambda z: z if z.shape[1] == w else z[:, :w] ^ z[:, w:]  # noqa: E731, B023
-            out[at] = np.bitwise_count(fold(x) ^ fold(y)).sum(1, dtype=np.int64)
+            out[at] = np.bitwise_count((fold(x) ^ fold(y)).view(np.uint64)).sum(1, dtype=np.int64)  # of signed numbers it counts the bits of the absolute value
     return out
 
 
-def _cells(percent: int):
+def _cells(percent: int, closest: bool):
+    """Pairs of a cell that can link: all, or for each node the closest only. A pair with an earlier common block is left to it."""
+
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         node, label, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "label", "n", "pos"))
         parity = [np.array(x, np.int64) for x in table.column("parity").to_pylist()]
+        before = [[s for p, s in zip(at, blocks, strict=True) if p < own] for at, blocks, own in zip(table.column("at").to_pylist(), table.column("blocks").to_pylist(), pos.tolist(), strict=True)]
+        held = np.array([len(x) for x in before])
+        earlier = np.zeros((len(node), EARLIER), np.int64)
+        for k, x in enumerate(before):
+            earlier[k, : len(x)] = x
+        filled = np.arange(EARLIER) < held[:, None]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         one, two = np.flatnonzero(side == i), np.flatnonzero(side == j)
         out = []
@@ -253,14 +267,39 @@ def _cells(percent: int):
                 ok &= part[:, None] < two[None, :]
             x, y = np.nonzero(ok)
             x, y = part[x], two[y]
-            near = (100 + percent) * _far([parity[k] for k in x], [parity[k] for k in y]).clip(max=1 << 40) <= (100 - percent) * (n[x] + n[y])
-            out.append(np.stack([node[x[near]], node[y[near]]]))
-        a, b = np.concatenate(out, axis=1)
+            far = _far([parity[k] for k in x], [parity[k] for k in y]).clip(max=1 << 40)
+            near = (100 + percent) * far <= (100 - percent) * (n[x] + n[y])
+            x, y, far = x[near], y[near], far[near]
+            met = np.zeros(len(x), bool)
+            for p in range(EARLIER):
+                for q in range(EARLIER):
+                    met |= (earlier[x, p] == earlier[y, q]) & filled[x, p] & filled[y, q]
+            out.append(np.stack([x, y, far])[:, ~met])
+        x, y, far = np.concatenate(out, axis=1)
+        if closest and len(x):
+            both, at = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
+            order = np.lexsort((at, far[at], both))
+            first = np.unique(both[order], return_index=True)[1]
+            take = np.unique(at[order[first]])
+            x, y = x[take], y[take]
+        a, b = node[x], node[y]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=_CELL)
 
     return run
 
 
+def _apart(large: DataFrame, found: DataFrame, classes: DataFrame, percent: int, cell: int, closest: bool) -> DataFrame:
+    """Pairs (a, b) of large blocks (shingle, node, n, pos) that can link and that found (node, label) doesn't connect."""
+    labelled = large.join(found, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+    open_ = labelled.groupBy("shingle").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", F.ceil(F.col("m") / cell).cast("int").alias("sides"))
+    members = common.keep(labelled.join(open_, "shingle"), "open")
+    first = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "shingle"))), 1, EARLIER).alias("first"))
+    first = first.select("node", F.col("first.pos").alias("at"), F.col("first.shingle").alias("blocks"))
+    cells = members.join(classes.select("node", "parity").join(first, "node"), "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+    return cells.groupBy("shingle", "i", "j").applyInArrow(_cells(percent, closest), "a long, b long").distinct()
+
+
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that parity sketches don't rule out."""
     fold = lambda c, other: F.when(F.size(c) > F.size(other), F.zip_with(F.slice(c, 1, F.size(other)), F.slice(c, F.size(other) + 1, F.size(other)), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
@@ -301,20 +340,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     entries = entries.repartition(F.when(F.col("hot"), F.col("node")).otherwise(F.col("shingle"))).sortWithinPartitions("shingle")
     met = common.keep(entries.mapInArrow(_blocks(percent, block), "shingle long, a long, b long, n int, pos int"), "blocks")
     large = met.where("b is null").select("shingle", F.col("a").alias("node"), "n", "pos").distinct()
-    stars = large.join(large.groupBy("shingle").agg(F.min("node").alias("centre")), "shingle").where("node <> centre")
+    shared = large.join(large.groupBy("node").agg(F.count("*").alias("blocks")), "node")
+    centres = shared.groupBy("shingle").agg(F.max(F.struct("blocks", "node"))["node"].alias("centre"))
+    stars = large.join(centres, "shingle").where("node <> centre")
     pairs = met.where("b is not null").select("a", "b").unionByName(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))).distinct()
     pairs = common.keep(_near(pairs, classes, percent), "pairs")
     links = _verified(pairs, docs, size, percent)
     found = common.components(links)
 
-    labelled = large.join(found, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
-    open_ = labelled.groupBy("shingle").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", F.ceil(F.col("m") / cell).cast("int").alias("sides"))
-    cells = labelled.join(open_, "shingle").join(classes.select("node", "parity"), "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
-    more = cells.groupBy("shingle", "i", "j").applyInArrow(_cells(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = common.keep(more, "pairs")
-    if not more.isEmpty():
-        found = common.components(links.unionByName(_verified(more, docs, size, percent)))
+    tried = pairs
+    for closest in (True, False):
+        more = common.keep(_apart(large, found, classes, percent, cell, closest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links, tried = links.unionByName(_verified(more, docs, size, percent)), tried.unionByName(more)
+            found = common.components(links)
 
     least = classes.join(found, "node", "left").withColumn("group", F.coalesce("label", "node"))
     ids = least.groupBy("group").agg(F.min("least").alias("component_id"))

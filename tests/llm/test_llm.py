@@ -135,6 +135,37 @@ def test_ngram_join_equals_brute_force(spark):
         assert got == {i: (len(s), label[i]) for i, s in sets.items()}
 
 
+def test_parity_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (3, 40, 150, 700):
+        one = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for _ in range(20)]
+        two = [np.union1d(s[len(s) // 5 :], rng.integers(0, 2**64, len(s) // 5, dtype=np.uint64)) for s in one]
+        far = ngram_join._far([ngram_join._parity(s) for s in one], [ngram_join._parity(s) for s in two])
+        assert all(f <= len(np.setxor1d(s, t)) for f, s, t in zip(far.tolist(), one, two, strict=True) if f < 1 << 40)
+
+
+def test_ngram_join_of_a_group_of_edited_copies(spark):
+    """Copies with edits at random places share shingles in large blocks; many pairs are close to the threshold."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for k in rng.sample(range(150), rng.randrange(1, 7)):
+            words[k] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    for how in ({}, {"block": 4, "cell": 16}):
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs(spark, rows), **how).collect()}
+        assert [got[i] for i in range(len(rows))] == label
+
+
 def test_gif_round_trip(spark):
     rng = random.Random(1)
     rows = [(1, None), (2, ""), (3, "é" * 500), (4, words(rng, 30_000)), (4, "x" * 192)]
