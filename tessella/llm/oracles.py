@@ -111,4 +111,15 @@ SELECT t.doc_id, (SELECT count(*) FROM base b WHERE b.doc_id = t.doc_id AND kind
 FROM t LEFT JOIN {_joined("base")} x ON x.doc_id = t.doc_id LEFT JOIN {_joined("every")} y ON y.doc_id = t.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_secret_scans": OP1, "op2_ngram_join": OP2, "op8_warc": OP8}
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP11 = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d),
+k AS (SELECT *, translate(trim(line, {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, line, place, (r.key IS NOT NULL AND k.doc_id <> r.last) AS gone FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_secret_scans": OP1, "op2_ngram_join": OP2, "op8_warc": OP8, "op11_line_dedup": OP11}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import common, decontam, gif_media, html_text, ngram_join, packing, secrets, suffix_dedup, token_counts, toxicity, warc
+from tessella.llm import common, conversations, decontam, gif_media, html_text, line_dedup, ngram_join, packing, secrets, spelling, suffix_dedup, token_counts, toxicity, warc
 from tessella.llm.oracles import ORACLE_SQL
 
 
@@ -57,7 +57,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(common.table(spark, sf_dir, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(common.table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(common.table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_secret_scans, op2_ngram_join, op3_media_gif, op4_packing, op5_decontamination, op6_token_counts, op7_toxicity, op8_warc, op9_suffix_dedup, op10_html_text)
+    q.__name__: q
+    for q in (op1_secret_scans, op2_ngram_join, op3_media_gif, op4_packing, op5_decontamination, op6_token_counts, op7_toxicity, op8_warc, op9_suffix_dedup, op10_html_text, op11_line_dedup, op12_conversation_repair, op13_spelling_variants)
 }
 __all__ = ["ORACLE_SQL", "QUERIES"]
