@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import expr
 from tessella.operators import bins, blades, calculus, compare, cycles, filters, modal, nearest, slices, topology, trace
-from tessella.plans import views
+from tessella.plans import scratch, views
 from tessella.plans.views import table
 from tessella.sources import datasets, ingest
 from tessella.streaming import monitor
@@ -750,20 +750,31 @@ def r3_pathlines(spark, sf):
 # ---------------------------------------------------------------- text ingest: rendered from the views and read back
 
 
+def filed(text: DataFrame) -> DataFrame:
+    """Lines (line_no, text) written as text files in their order and read back by splits."""
+    at = scratch.path(text.sparkSession, "text")
+    text.select("line_no", "text").repartitionByRange("line_no").sortWithinPartitions("line_no").select("text").write.text(at)
+    return ingest.lines(text.sparkSession, at, joined=True)
+
+
+def body(df: DataFrame, order: str, text: Column, head: list[str] = (), tail: list[str] = ()) -> DataFrame:
+    """Lines (line_no, text): head, a line for each row, tail."""
+    out = df.select((F.col(order).cast("long") + len(head)).alias("line_no"), text.alias("text"))
+    more = [(k, t) for k, t in enumerate(head)] + [(2**40 + k, t) for k, t in enumerate(tail)]
+    return out.unionByName(df.sparkSession.createDataFrame(more, "line_no long, text string")) if more else out
+
+
 def rendered(df: DataFrame, order: str, text: Column, head: list[str] = (), tail: list[str] = ()) -> DataFrame:
-    """Lines (file, line_no, text) of one file: head, a line for each row, tail."""
-    body = df.select(F.lit("f").alias("file"), (F.col(order).cast("long") + len(head)).alias("line_no"), text.alias("text"))
-    spark = df.sparkSession
-    more = [("f", k, t) for k, t in enumerate(head)] + [("f", 2**40 + k, t) for k, t in enumerate(tail)]
-    return body.unionByName(spark.createDataFrame(more, "file string, line_no long, text string")) if more else body
+    """Lines (file, line_no, text) of one text, written and read back."""
+    return filed(body(df, order, text, head, tail))
 
 
 @query("SELECT node_id AS raw, x, y, z FROM lat_node", "lat_node")
 def s12_bulk_data_nodes(spark, sf):
     n, c = table(spark, sf, "lat_node"), table(spark, sf, "lat_cell")
-    grid = rendered(n, "node_id", F.concat_ws(",", F.lit("GRID"), "node_id", F.lit(""), "x", "y", "z"), ["$ nodes", "GRID,bad,,1,2"])
-    hexa = c.select(F.lit("f").alias("file"), (F.col("cell_id") + 10**8).alias("line_no"), F.concat_ws(",", F.lit("CHEXA"), "cell_id", F.lit("1"), F.concat_ws(",", F.transform("nodes", lambda x: x.cast("string")))).alias("text"))
-    nodes, _ = ingest.bulk_data(grid.unionByName(hexa))
+    grid = body(n, "node_id", F.concat_ws(",", F.lit("GRID"), "node_id", F.lit(""), "x", "y", "z"), ["$ nodes", "GRID,bad,,1,2"])
+    hexa = c.select((F.col("cell_id") + 10**8).alias("line_no"), F.concat_ws(",", F.lit("CHEXA"), "cell_id", F.lit("1"), F.concat_ws(",", F.transform("nodes", lambda x: x.cast("string")))).alias("text"))
+    nodes, _ = ingest.bulk_data(filed(grid.unionByName(hexa)))
     return nodes.select("raw", "x", "y", "z")
 
 
@@ -773,6 +784,49 @@ def s13_obj_nodes(spark, sf):
     return nodes.select("node_id", "x", "y", "z")
 
 
+@query("SELECT 3 * node_id + m AS node_id, x + m AS x, y, z - m AS z FROM lat_node, (SELECT unnest(range(3)) AS m)", "lat_node")
+def s14_stl_nodes(spark, sf):
+    n = table(spark, sf, "lat_node").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    corner = F.concat_ws(" ", F.lit("  vertex"), F.col("x") + F.col("k") - 1, "y", F.col("z") - F.col("k") + 1)
+    text = F.when(F.col("k") == 0, "facet normal 0 0 1").when(F.col("k") == 4, "endfacet").otherwise(corner)
+    nodes, _ = ingest.stl(rendered(n.withColumn("at", F.col("node_id") * 5 + F.col("k")), "at", text, ["solid s"], ["endsolid s"]))
+    return nodes.select("node_id", "x", "y", "z")
+
+
+@query("SELECT node_id AS face_id, 3 * node_id AS a, 3 * node_id + 2 AS c FROM lat_node", "lat_node")
+def s14_stl_faces(spark, sf):
+    n = table(spark, sf, "lat_node").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    _, faces = ingest.stl(rendered(n.withColumn("at", F.col("node_id") * 3 + F.col("k")), "at", F.concat_ws(" ", F.lit("vertex"), "x", "y", "z")))
+    return faces.select(F.col("face_id").cast("long").alias("face_id"), F.get("nodes", F.lit(0)).alias("a"), F.get("nodes", F.lit(2)).alias("c"))
+
+
+def temporal_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of inline data: a frame for each cycle with its values; the first has the lattice's nodes as its mesh."""
+    tags = lambda at, *rows: F.explode(F.array(*(F.struct((F.col("cycle").cast("long") * 10**9 + k).alias("line_no"), F.concat_ws("", *t).alias("text")) for k, t in zip(at, rows, strict=True))))
+    f = table(spark, sf, "cyc_field").withColumn("value", F.round("value", 6))
+    times = f.groupBy("cycle").agg(F.max("time").alias("time"))
+    open_, close = "<Attribute Name='P' Center='Node'><DataItem>", "</DataItem></Attribute>"
+    frames = times.select(tags([0, 10**8, 10**8 + 100], [F.lit("<Grid Name='f'><Time Value='"), "time", F.lit("'/>")], [F.lit(open_)], [F.lit(close + "</Grid>")]).alias("r")).select("r.*")
+    values = f.select((F.col("cycle").cast("long") * 10**9 + 10**8 + 1 + F.col("entity_id")).alias("line_no"), F.concat_ws(" ", "value").alias("text"))
+    low = times.agg(F.min("cycle").alias("cycle"))
+    mesh = low.select(tags([1, 10**8 - 1], [F.lit("<Geometry GeometryType='XYZ'> <DataItem Format='XML'>")], [F.lit("</DataItem></Geometry>")]).alias("r")).select("r.*")
+    nodes = table(spark, sf, "lat_node").join(F.broadcast(low)).select((F.col("cycle").cast("long") * 10**9 + 2 + F.col("node_id")).alias("line_no"), F.concat_ws(" ", "x", "y", "z").alias("text"))
+    head = spark.createDataFrame([(0, "<Xdmf><Domain>"), (1, "<Grid GridType='Collection' CollectionType='Temporal'>"), (2**60, "</Grid></Domain></Xdmf>")], "line_no long, text string")
+    return frames.unionByName(values).unionByName(mesh).unionByName(nodes).unionByName(head)
+
+
+@query("""SELECT c.cycle - 1 AS frame, time, 'Attribute' AS item, 'P' AS name, entity_id AS place, round(value, 6) AS value FROM cyc_field c
+UNION ALL SELECT 0, 0.1, 'Geometry', NULL, 3 * node_id + m, CASE m WHEN 0 THEN x WHEN 1 THEN y ELSE z END FROM lat_node, (SELECT unnest(range(3)) AS m)""", "cyc_field", "lat_node")
+def s23_xdmf_values(spark, sf):
+    v = ingest.xdmf_values(filed(temporal_collection(spark, sf)))
+    return v.select(F.col("frame").cast("long").alias("frame"), "time", "item", "name", "place", "value")
+
+
+@query("SELECT DISTINCT CAST(cycle - 1 AS BIGINT) AS frame, 0::BIGINT AS mesh_frame FROM cyc_field", "cyc_field")
+def s23_mesh_frames(spark, sf):
+    return ingest.xdmf_mesh_frames(ingest.xdmf_values(filed(temporal_collection(spark, sf)))).select("frame", "mesh_frame")
+
+
 @query("SELECT node_id, x, y, z, pres FROM lat_node", "lat_node")
 def s15_ply_nodes(spark, sf):
     n = table(spark, sf, "lat_node")
@@ -825,8 +879,8 @@ def s20_j26_time_series(spark, sf):
 @query("SELECT cycle AS block, 'PRES' AS name, round(least(a, b), 6) AS lo, round(greatest(a, b), 6) AS hi, cycle = (SELECT max(cycle) FROM w) AS current FROM w", "cyc_field", extra=_WIDE)
 def s21_minmax_blocks(spark, sf):
     w = wide(spark, sf)
-    text = w.select(F.lit("f").alias("file"), (F.col("cycle") * 10).cast("long").alias("line_no"), F.concat_ws(" ", F.lit("PRES"), "a", "b").alias("text")).unionByName(w.select(F.lit("f"), (F.col("cycle") * 10 + 1).cast("long"), F.lit("/")).toDF("file", "line_no", "text"))
-    return ingest.minmax_blocks(text).drop("file")
+    text = w.select((F.col("cycle") * 10).cast("long").alias("line_no"), F.concat_ws(" ", F.lit("PRES"), "a", "b").alias("text")).unionByName(w.select((F.col("cycle") * 10 + 1).cast("long"), F.lit("/")).toDF("line_no", "text"))
+    return ingest.minmax_blocks(filed(text)).drop("file")
 
 
 @query("SELECT event_type AS name, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY event_type")

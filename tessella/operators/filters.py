@@ -78,12 +78,12 @@ def in_rectangle(df: DataFrame, centre, u, v, width: float, height: float) -> Da
     return df.where((F.abs(along(u)) <= width / 2) & (F.abs(along(v)) <= height / 2))
 
 
-def beside_surface(points: DataFrame, face_points: DataFrame, side: int = 1, h: float | None = None) -> DataFrame:
+def beside_surface(points: DataFrame, face_points: DataFrame, side: int = 1) -> DataFrame:
     """Points on one side of the nearest face of a surface given by centres and normals (face_id, x, y, z, nx, ny, nz) (F12):
     the sign of (p - c) . n. Approximate near edges."""
     from tessella.operators import nearest
 
-    near = nearest.knn(points.select("point_id", "x", "y", "z"), face_points.select(F.col("face_id").alias("source_id"), "x", "y", "z"), 1, h=h)
+    near = nearest.knn(points.select("point_id", "x", "y", "z"), face_points.select(F.col("face_id").alias("source_id"), "x", "y", "z"), 1)
     n = face_points.select(F.col("face_id").alias("source_id"), *(F.col(c).alias("_" + c) for c in ("x", "y", "z", "nx", "ny", "nz")))
     joined = points.join(near.select("point_id", "source_id"), "point_id").join(n, "source_id")
     dot = sum(((F.col(c) - F.col("_" + c)) * F.col("_n" + c) for c in "xyz"), F.lit(0.0))

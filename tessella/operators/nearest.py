@@ -1,8 +1,11 @@
-"""Nearest neighbours and inverse-distance remapping by voxels, probes, and location of points in cells.
+"""Nearest neighbours and inverse-distance remapping, probes, and location of points in cells.
 
-Points hash to voxels; each query meets the sources of its 27 voxels in an equi-join; a query is final when its k-th distance
-is within the voxel's size, others go on with voxels twice as large. The k least are
-kept by aggregation; AQE splits the join of a crowded voxel."""
+Sources are dealt to the leaves of a k-d tree that follows their density: it is built from a bounded sample (SAMPLE rows,
+which only says where to cut), every source goes to its leaf, and each leaf keeps the true box of its sources. A point is
+first compared with the sources of its own leaf, which gives a radius, and then with those leaves whose boxes its ball
+meets, so the result is exact. Leaves are met as streams: one leaf's sources in memory, its points passing by; a leaf that
+many points ask is copied to several tasks. Sources at one place beyond the k lowest ids can't be among the k nearest, so
+crowds at one place shrink before anything else."""
 
 from __future__ import annotations
 
@@ -10,82 +13,209 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.expr import NAN, num
 from tessella.plans.scratch import keep
 
-#: Passes at most; the voxel doubles in each, so the last covers any box.
-PASSES = 64
-
-
-def _d2():
-    return sum(((F.col(c) - F.col("s" + c)) * (F.col(c) - F.col("s" + c)) for c in "xyz"), F.lit(0.0))
-
-
-def knn(points: DataFrame, sources: DataFrame, k: int = 1, h: float | None = None) -> DataFrame:
+#: Sources that the tree is built from at most (about), those of a leaf, and leaves at most.
+SAMPLE, LEAF, LEAVES = 1 << 16, 2048, 1 << 14
+#: Points of a leaf that one task meets.
+ASKED = 100_000
+#: Distances that one numpy step holds.
+STEP = 1 << 20
+
+
+class Tree:
+    """Cuts of space: node i splits axis[i] at cut[i] (less goes to left[i]); axis -1 is a leaf, whose number is left[i]."""
+
+    def __init__(self, sample: np.ndarray, leaves: int) -> None:
+        self.axis, self.cut, self.left, self.right, self.leaves = [], [], [], [], 0
+        self._build(sample, max(1, -(-len(sample) // leaves)))
+        self.axis, self.cut, self.left, self.right = (np.array(a) for a in (self.axis, self.cut, self.left, self.right))
+
+    def _build(self, p: np.ndarray, most: int) -> int:
+        at = len(self.axis)
+        for a in (self.axis, self.cut, self.left, self.right):
+            a.append(0)
+        size = p.max(0) - p.min(0) if len(p) else np.zeros(3)
+        axis = int(size.argmax())
+        cut = float(np.median(p[:, axis])) if len(p) > most and size[axis] > 0 else None
+        if cut is not None and cut == p[:, axis].min():
+            cut = float(p[p[:, axis] > cut, axis].min())
+        if cut is None:
+            self.axis[at], self.left[at] = -1, self.leaves
+            self.leaves += 1
+            return at
+        low = p[:, axis] < cut
+        self.axis[at], self.cut[at] = axis, cut
+        self.left[at], self.right[at] = self._build(p[low], most), self._build(p[~low], most)
+        return at
+
+    def leaf(self, p: np.ndarray) -> np.ndarray:
+        """The leaf of each point."""
+        node = np.zeros(len(p), np.int64)
+        inner = np.flatnonzero(self.axis[node] >= 0)
+        while len(inner):
+            n = node[inner]
+            node[inner] = np.where(p[inner, self.axis[n]] < self.cut[n], self.left[n], self.right[n])
+            inner = inner[self.axis[node[inner]] >= 0]
+        return self.left[node]
+
+    def boxed(self, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Gives every node the box of the sources of its leaves; lo > hi where there are none."""
+        self.lo, self.hi = np.full((len(self.axis), 3), np.inf), np.full((len(self.axis), 3), -np.inf)
+        for i in reversed(range(len(self.axis))):  # children come after their parents
+            if self.axis[i] < 0:
+                self.lo[i], self.hi[i] = lo[self.left[i]], hi[self.left[i]]
+            else:
+                a, b = self.left[i], self.right[i]
+                self.lo[i], self.hi[i] = np.minimum(self.lo[a], self.lo[b]), np.maximum(self.hi[a], self.hi[b])
+
+    def met(self, p: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, leaf) for every leaf whose box a point's ball meets."""
+        who, node, out = np.arange(len(p)), np.zeros(len(p), np.int64), []
+        while len(who):
+            gap = np.maximum(0, np.maximum(self.lo[node] - p[who], p[who] - self.hi[node]))
+            near = (gap * gap).sum(1) <= radius[who] ** 2 * (1 + 1e-9) + 1e-300
+            who, node = who[near], node[near]
+            end = self.axis[node] < 0
+            out.append((who[end], self.left[node[end]]))
+            who, node = np.concatenate([who[~end]] * 2), np.concatenate([self.left[node[~end]], self.right[node[~end]]])
+        return tuple(np.concatenate([o[k] for o in out]) for k in range(2))
+
+
+def least_of(points: np.ndarray, sources: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, source, squared distance) of the k nearest sources of each point; ties go to sources that come first."""
+    out = []
+    for a in range(0, len(points), max(1, STEP // max(1, len(sources)))):
+        part = points[a : a + max(1, STEP // max(1, len(sources)))]
+        d = [part[:, None, c] - sources[None, :, c] for c in range(3)]
+        d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+        if k == 1:
+            best = d2.argmin(1)
+            out.append((a + np.arange(len(part)), best, d2[np.arange(len(part)), best]))
+            continue
+        n = min(k, len(sources))
+        bound = np.partition(d2, n - 1, axis=1)[:, n - 1]
+        i, j = np.nonzero(d2 <= bound[:, None])
+        order = np.lexsort((j, d2[i, j], i))
+        i, j = i[order], j[order]
+        first = np.searchsorted(i, np.arange(len(part)))
+        ok = np.arange(len(i)) - first[i] < n
+        out.append((a + i[ok], j[ok], d2[i[ok], j[ok]]))
+    return tuple(np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(3))
+
+
+_XYZ = ("x", "y", "z")
+_FOUND = pa.schema([("point_id", pa.int64()), ("source_id", pa.int64()), ("d2", pa.float64())])
+
+
+def _columns(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _XYZ])
+
+
+def _dealt(df: DataFrame, key: str, tree) -> DataFrame:
+    """df (key, x, y, z) with the leaf of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.value.leaf(_columns(batch)).astype(np.int32))], names=[key, *_XYZ, "leaf"])
+
+    return df.select(key, *_XYZ).mapInArrow(run, f"{key} long, x double, y double, z double, leaf int")
+
+
+def _meet(points: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+    """(point_id, source_id, d2): the k nearest within one leaf, for points and sources with a leaf."""
+    asked = points.groupBy("leaf").agg(F.ceil(F.count("*") / ASKED).alias("copies"))
+    s = sources.join(asked, "leaf").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    p = points.join(asked, "leaf").withColumn("copy", F.pmod(F.xxhash64("point_id"), F.col("copies")) + 1)
+    both = s.select("leaf", "copy", F.lit(0).alias("kind"), F.col("source_id").alias("id"), *_XYZ).unionByName(p.select("leaf", "copy", F.lit(1).alias("kind"), F.col("point_id").alias("id"), *_XYZ))
+    both = both.repartition("leaf", "copy").sortWithinPartitions("leaf", "copy", "kind", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ids, at = None, [], [], None
+        for batch in batches:
+            key = np.column_stack([batch.column(c).to_numpy() for c in ("leaf", "copy", "kind")])
+            xyz, id_ = _columns(batch), batch.column("id").to_numpy()
+            for part in np.split(np.arange(len(key)), np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1):
+                if not len(part):
+                    continue
+                leaf, kind = tuple(key[part[0], :2]), key[part[0], 2]
+                if kind == 0:
+                    if leaf != now:
+                        now, held, ids = leaf, [], []
+                    held.append(xyz[part])
+                    ids.append(id_[part])
+                    at = None
+                elif leaf == now:
+                    if at is None:
+                        at, names = np.concatenate(held), np.concatenate(ids)
+                    i, j, d2 = least_of(xyz[part], at, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(id_[part][i]), pa.array(names[j]), pa.array(d2)], schema=_FOUND)
+
+    return both.mapInArrow(run, "point_id long, source_id long, d2 double")
+
+
+def knn(points: DataFrame, sources: DataFrame, k: int = 1, leaf: int = LEAF) -> DataFrame:
     """(point_id, rank, source_id, distance): the k nearest of sources (source_id, x, y, z) to points (point_id, x, y, z).
 
     Ties go to the lowest source id; with fewer than k sources all are given; rows with a NULL or NaN coordinate are left
-    out (J9)."""
-    clean = lambda df: df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in "xyz"))
-    left = clean(points).select("point_id", "x", "y", "z")
-    src = clean(sources).select("source_id", *(F.col(c).alias("s" + c) for c in "xyz"))
-    b = src.agg(F.count("*").alias("n"), *(f("s" + c).alias(c + n) for c in "xyz" for f, n in ((F.min, "0"), (F.max, "1")))).first()
-    total = min(k, b["n"])
-    empty = left.sparkSession.createDataFrame([], "point_id long, rank int, source_id long, distance double")
-    if not total:
-        return empty
-    size = [b[c + "1"] - b[c + "0"] for c in "xyz"]
-    if h is None:
-        flat = [s for s in size if s > 0]
-        h = (float(np.prod(flat)) / b["n"] * 8) ** (1 / len(flat)) if flat else 1.0
-    q = left.agg(*(f(c).alias(c + n) for c in "xyz" for f, n in ((F.min, "0"), (F.max, "1")))).first()
-    if q["x0"] is None:
-        return empty
-    span = max(max(b[c + "1"], q[c + "1"]) - min(b[c + "0"], q[c + "0"]) for c in "xyz")
-    out = None
-    for _ in range(PASSES):
-        last = h > span  # 27 voxels cover everything
-        voxel = {c: lambda v, c=c, h=h: F.floor((v - F.lit(float(b[c + "0"]))) / F.lit(h)).cast("long") for c in "xyz"}
-        near = left
-        for c in "xyz":
-            at = voxel[c](F.col(c))
-            near = near.withColumn("v" + c, F.explode(F.array(at - 1, at, at + 1)))
-        voxels = src.withColumns({"v" + c: voxel[c](F.col("s" + c)) for c in "xyz"})
-        met = near.join(voxels, ["vx", "vy", "vz"]).select("point_id", "source_id", _d2().alias("d2"))
-        # the k least by partial aggregation: a point's candidates never meet as rows
-        best = met.groupBy("point_id").agg(_least(total).alias("b"))
-        found = best.select("point_id", F.posexplode("b").alias("rank", "e")).select("point_id", (F.col("rank") + 1).alias("rank"), "e.source_id", F.sqrt("e.d2").alias("distance"))
-        done = found.groupBy("point_id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") >= total) & (F.lit(last) | (F.col("far") <= h))).select("point_id")
-        found = keep(found.join(done, "point_id", "left_semi"), "knn")
-        out = found if out is None else out.unionByName(found)
-        if last:
-            break
-        left = keep(left.join(found.select("point_id").distinct(), "point_id", "left_anti"), "knn-left")
-        if left.isEmpty():
-            break
-        h *= 2
-    return out
-
-
-def _least(k: int):
-    """The k candidates of least (distance, id)."""
-    if k == 1:
-        return F.array(F.min(F.struct("d2", "source_id")))
-    return F.slice(F.array_sort(F.collect_set(F.struct("d2", "source_id"))), 1, k)
-
-
-def nearest(points: DataFrame, sources: DataFrame, values: list[str], h: float | None = None) -> DataFrame:
+    out (J9). Ids are integers, point ids distinct. leaf: sources of a leaf, about."""
+    spark = points.sparkSession
+    clean = lambda df, key: df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in _XYZ)).select(F.col(key).cast("long").alias(key), *(F.col(c).cast("double").alias(c) for c in _XYZ))
+    place = Window.partitionBy(*_XYZ).orderBy("source_id")
+    src = keep(clean(sources, "source_id").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k).drop("_n"), "knn-sources")
+    left = clean(points, "point_id")
+    n = src.count()
+    if not n:
+        return spark.createDataFrame([], "point_id long, rank int, source_id long, distance double")
+    leaves = min(LEAVES, -(-n // max(leaf, 4 * k)))
+    if leaves == 1:
+        found = _meet(left.withColumn("leaf", F.lit(0)), src.withColumn("leaf", F.lit(0)), k)
+    else:
+        share = min(1.0, SAMPLE / n)
+        sample = src.select(*_XYZ).sample(share, 7).limit(2 * SAMPLE).toArrow() if share < 1 else src.select(*_XYZ).toArrow()
+        tree = Tree(np.column_stack([sample.column(c).to_numpy() for c in _XYZ]), leaves)
+        cuts = spark.sparkContext.broadcast(tree)
+        src = keep(_dealt(src, "source_id", cuts), "knn-leaves")
+        left = keep(_dealt(left, "point_id", cuts), "knn-points")
+        boxes = src.groupBy("leaf").agg(*(f(c) for c in _XYZ for f in (F.min, F.max))).toArrow()  # LEAVES rows at most
+        lo, hi = np.full((tree.leaves, 3), np.inf), np.full((tree.leaves, 3), -np.inf)
+        of = boxes.column("leaf").to_numpy()
+        for c in range(3):
+            lo[of, c], hi[of, c] = boxes.column(1 + 2 * c).to_numpy(), boxes.column(2 + 2 * c).to_numpy()
+        tree.boxed(lo, hi)
+        boxed = spark.sparkContext.broadcast(tree)
+        near = keep(_meet(left, src, k), "knn-near")
+        radius = near.groupBy("point_id").agg(F.count("*").alias("n"), F.max("d2").alias("far"))
+        balls = left.join(radius.where(F.col("n") >= k), "point_id", "left").select("point_id", *_XYZ, "leaf", F.coalesce(F.sqrt("far"), F.lit(float("inf"))).alias("far"))
+
+        def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p, id_, own = _columns(batch), batch.column("point_id").to_numpy(), batch.column("leaf").to_numpy()
+                i, at = boxed.value.met(p, batch.column("far").to_numpy())
+                ok = at != own[i]
+                i, at = i[ok], at[ok]
+                yield pa.RecordBatch.from_pydict({"point_id": id_[i], "x": p[i, 0], "y": p[i, 1], "z": p[i, 2], "leaf": at.astype(np.int32)})
+
+        more = keep(balls.mapInArrow(others, "point_id long, x double, y double, z double, leaf int"), "knn-balls")
+        found = near.unionByName(_meet(more, src, k))
+    rank = F.row_number().over(Window.partitionBy("point_id").orderBy("d2", "source_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("point_id", "rank", "source_id", F.sqrt("d2").alias("distance"))
+
+
+def nearest(points: DataFrame, sources: DataFrame, values: list[str]) -> DataFrame:
     """points with source_id, distance and values of the nearest source."""
-    n = knn(points, sources, 1, h).select("point_id", "source_id", "distance")
+    n = knn(points, sources, 1).select("point_id", "source_id", "distance")
     return points.join(n, "point_id").join(sources.select("source_id", *values), "source_id")
 
 
-def idw(points: DataFrame, sources: DataFrame, value: str, k: int = 4, h: float | None = None) -> DataFrame:
+def idw(points: DataFrame, sources: DataFrame, value: str, k: int = 4) -> DataFrame:
     """(point_id, value): inverse squared distances of the k nearest; a hit within 1e-15 is taken as it is."""
-    n = knn(points, sources, k, h).join(sources.select("source_id", num(value).alias("v")), "source_id")
+    n = knn(points, sources, k).join(sources.select("source_id", num(value).alias("v")), "source_id")
     w = F.lit(1.0) / F.when(F.col("distance") <= 1e-15, F.lit(1.0)).otherwise(F.col("distance") * F.col("distance"))
     g = n.groupBy("point_id").agg(F.sum(w * F.col("v")).alias("s"), F.sum(w).alias("w"), F.min_by("v", F.struct("distance", "source_id")).alias("near"), F.min("distance").alias("d"))
     return g.select("point_id", F.when(F.col("d") <= 1e-15, F.col("near")).otherwise(F.col("s") / F.col("w")).alias(value))
@@ -97,11 +227,11 @@ def probe(points: DataFrame, sources: DataFrame, names: list[str], location: str
     return n.select("point_id", F.lit(location).alias("location"), F.col("source_id").alias("entity_id"), *names).unpivot(["point_id", "location", "entity_id"], names, "var", "value")
 
 
-def wall_distance(points: DataFrame, walls: DataFrame, h: float | None = None) -> DataFrame:
+def wall_distance(points: DataFrame, walls: DataFrame) -> DataFrame:
     """points with dst, the distance to the nearest wall node, and the unit vector from it (nx, ny, nz); a length under 1e-12
     divides by 1 (C7, C8). walls: (node_id, x, y, z)."""
     src = walls.select(F.col("node_id").alias("source_id"), "x", "y", "z")
-    n = knn(points, src, 1, h).select("point_id", "source_id", F.col("distance").alias("dst"))
+    n = knn(points, src, 1).select("point_id", "source_id", F.col("distance").alias("dst"))
     j = points.join(n, "point_id").join(src.select("source_id", *(F.col(c).alias("s" + c) for c in "xyz")), "source_id")
     by = F.when(F.col("dst") < 1e-12, F.lit(1.0)).otherwise(F.col("dst"))
     return j.withColumns({"n" + c: (F.col(c) - F.col("s" + c)) / by for c in "xyz"}).drop("sx", "sy", "sz")

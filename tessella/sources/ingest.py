@@ -1,5 +1,8 @@
-"""Text formats as tables. Files come whole, one row each (path, text), so lines keep their order; carried-forward values are
-windows by file. All take lines (file, line_no, text), as ``lines`` gives them."""
+"""Text formats as tables. All take lines (file, line_no, text), as ``lines`` gives them.
+
+A file is read in splits by many tasks. Line numbers come from the number of lines in the splits before; what a line carries
+forward from lines above (sections, blocks, running numbers) is found in chunks of CHUNK lines and then over the chunks, so
+no file is one task's."""
 
 from __future__ import annotations
 
@@ -7,16 +10,68 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NAN = float("nan")
+#: Lines of a chunk: what one window sorts.
+CHUNK = 1 << 16
+
+
+def lines(spark: SparkSession, path: str, joined: bool = False) -> DataFrame:
+    """(file, line_no, text) of text files, split as Spark's text source splits them; a line ends at \\n or \\r\\n.
+
+    joined: the files of a folder, in the order of their names, are one text (file is the path): so Spark writes a large text.
+    A split's rows come in order and their ids rise by one, so a line's number is its id, less the split's first, plus the
+    lines of the splits before; only one row for each split is summed in order."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("text")
+    )
+    file = F.lit(path) if joined else F.col("part")
+    splits = raw.groupBy("part", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy(file).orderBy("part", "start").rowsBetween(Window.unboundedPreceding, -1)
+    base = splits.select("part", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    return raw.join(base, ["part", "start"]).select(file.alias("file"), (F.col("id") + F.col("base")).alias("line_no"), "text")
+
+
+def _chunked(df: DataFrame) -> DataFrame:
+    return df.withColumn("_chunk", F.floor(F.col("line_no") / CHUNK))
+
+
+def _in_chunk() -> Window:
+    return Window.partitionBy("file", "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _chunks_before() -> Window:
+    return Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def carried(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with the last value that isn't NULL up to each line of its file."""
+    df = _chunked(df)
+    marks = df.where(F.col(value).isNotNull()).groupBy("file", "_chunk").agg(F.max_by(value, "line_no").alias("_v"))
+    # chunks without a mark need a row too
+    chunks = df.select("file", "_chunk").distinct().join(marks, ["file", "_chunk"], "left")
+    into = chunks.select("file", "_chunk", F.last("_v", ignorenulls=True).over(_chunks_before()).alias("_into"))
+    out = df.withColumn(name, F.last(value, ignorenulls=True).over(_in_chunk())).join(into, ["file", "_chunk"])
+    return out.withColumn(name, F.coalesce(name, "_into")).drop("_chunk", "_into")
+
+
+def counted(df: DataFrame, many: Column, name: str) -> DataFrame:
+    """df with the sum of a number over the lines of its file up to each, itself included."""
+    df = _chunked(df).withColumn("_many", many.cast("long"))
+    sums = df.groupBy("file", "_chunk").agg(F.sum("_many").alias("_v"))
+    into = sums.select("file", "_chunk", F.coalesce(F.sum("_v").over(_chunks_before()), F.lit(0)).alias("_into"))
+    out = df.withColumn(name, F.sum("_many").over(_in_chunk())).join(into, ["file", "_chunk"])
+    return out.withColumn(name, F.col(name) + F.col("_into")).drop("_chunk", "_many", "_into")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, text) of text files."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
-    return raw.select("file", F.col("line_no").cast("long").alias("line_no"), "text")
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with 0-based numbers of its lines in each file."""
+    return counted(df, F.lit(1), name).withColumn(name, F.col(name) - 1)
 
 
-def _by_file(*more: str) -> Window:
-    return Window.partitionBy("file", *more).orderBy("line_no")
+def _headed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first line of each file, and the others."""
+    first = df.groupBy("file").agg(F.min("line_no").alias("_first"))
+    j = df.join(first, "file")
+    return j.where("line_no = _first").drop("_first"), j.where("line_no > _first").drop("_first")
 
 
 def _fields(text: Column, pattern: str = ",") -> Column:
@@ -52,15 +107,15 @@ def bulk_data(text: DataFrame) -> tuple[DataFrame, DataFrame]:
 def obj(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and faces of v and f lines; f takes the first number of a/b/c, 1-based."""
     f = text.withColumn("f", F.split(F.trim("text"), r"\s+"))
-    v = f.where(F.get("f", F.lit(0)) == "v").withColumn("node_id", (F.row_number().over(_by_file()) - 1).cast("long"))
+    v = numbered(f.where(F.get("f", F.lit(0)) == "v"), "node_id")
     nodes = v.select("file", "node_id", *(F.get("f", F.lit(k + 1)).try_cast("double").alias(c) for k, c in enumerate("xyz")))
-    face = f.where(F.get("f", F.lit(0)) == "f").withColumn("face_id", (F.row_number().over(_by_file()) - 1).cast("long"))
+    face = numbered(f.where(F.get("f", F.lit(0)) == "f"), "face_id")
     return nodes, face.select("file", "face_id", F.transform(F.slice("f", F.lit(2), F.size("f") - 1), lambda x: F.split(x, "/")[0].try_cast("long") - 1).alias("nodes"))
 
 
 def stl(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and triangles of an ASCII file: three vertices a facet, none shared."""
-    f = text.withColumn("f", F.split(F.trim("text"), r"\s+")).where(F.lower(F.get("f", F.lit(0))) == "vertex").withColumn("node_id", (F.row_number().over(_by_file()) - 1).cast("long"))
+    f = numbered(text.withColumn("f", F.split(F.trim("text"), r"\s+")).where(F.lower(F.get("f", F.lit(0))) == "vertex"), "node_id")
     nodes = f.select("file", "node_id", *(F.get("f", F.lit(k + 1)).try_cast("double").alias(c) for k, c in enumerate("xyz")))
     facet = F.floor(F.col("node_id") / 3)
     faces = f.groupBy("file", facet.alias("face_id")).agg(F.array_sort(F.collect_list("node_id")).alias("nodes"), F.count("*").alias("n")).where("n = 3")
@@ -70,10 +125,14 @@ def stl(text: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ply(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (file, node_id, values by property name) and faces of an ASCII file, split by its header's counts."""
     f = text.withColumn("f", F.split(F.trim("text"), r"\s+"))
-    key, w = F.get("f", F.lit(0)), Window.partitionBy("file")
-    f = f.withColumns({"end": F.min(F.when(key == "end_header", F.col("line_no"))).over(w), "nv": F.max(F.when((key == "element") & (F.get("f", F.lit(1)) == "vertex"), F.get("f", F.lit(2)).try_cast("long"))).over(w), "nf": F.max(F.when((key == "element") & (F.get("f", F.lit(1)) == "face"), F.get("f", F.lit(2)).try_cast("long"))).over(w)})
-    f = f.withColumn("element", F.last(F.when(key == "element", F.get("f", F.lit(1))), ignorenulls=True).over(_by_file()))
-    names = f.where((F.col("line_no") < F.col("end")) & (key == "property") & (F.col("element") == "vertex")).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.element_at("f", -1).alias("n")))), lambda e: e["n"]).alias("names"))
+    key = F.get("f", F.lit(0))
+    ends = f.where(key == "end_header").groupBy("file").agg(F.min("line_no").alias("end"))
+    f = f.join(ends, "file")
+    head = f.where("line_no < end")  # a few lines
+    count = lambda kind: F.max(F.when((key == "element") & (F.get("f", F.lit(1)) == kind), F.get("f", F.lit(2)).try_cast("long")))
+    element = F.last(F.when(key == "element", F.get("f", F.lit(1))), ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no"))
+    prop = F.when((key == "property") & (F.col("element") == "vertex"), F.struct("line_no", F.element_at("f", -1).alias("n")))
+    names = head.withColumn("element", element).groupBy("file").agg(count("vertex").alias("nv"), count("face").alias("nf"), F.transform(F.array_sort(F.collect_list(prop)), lambda e: e["n"]).alias("names"))
     at = F.col("line_no") - F.col("end") - 1
     body = f.where("line_no > end").join(names, "file")
     nodes = body.where((at >= 0) & (at < F.col("nv"))).select("file", at.alias("node_id"), F.map_from_arrays("names", F.transform(F.slice("f", F.lit(1), F.size("names")), lambda x: x.try_cast("double"))).alias("v"))
@@ -94,7 +153,7 @@ def comma_deck(text: DataFrame) -> tuple[DataFrame, DataFrame]:
 def sectioned_deck(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and cells of a deck with sections coordinates and connectivity; numbers may be Fortran's."""
     word = F.lower(F.split(F.trim("text"), r"[\s,]+")[0])
-    s = text.withColumn("marker", F.when(word.rlike("^[a-z]"), word)).withColumn("section", F.last("marker", ignorenulls=True).over(_by_file()))
+    s = carried(text.withColumn("marker", F.when(word.rlike("^[a-z]"), word)), "marker", "section")
     s = s.where("marker is null").withColumn("f", F.filter(F.split(F.trim("text"), r"[\s,]+"), lambda x: x != ""))
     nodes = s.where((F.col("section") == "coordinates") & (F.size("f") == 4)).select("file", F.get("f", F.lit(0)).try_cast("long").alias("node_id"), *(marc_float(F.get("f", F.lit(k + 1))).alias(c) for k, c in enumerate("xyz"))).where("node_id is not null and x is not null and y is not null and z is not null")
     many = F.size("f") - 2
@@ -114,21 +173,21 @@ def probe_table(text: DataFrame) -> DataFrame:
     """(file, cycle, time, var, probe, value) of a table whose header names VAR@probe after cycle and time.
 
     A name that comes again is VAR[place]; short rows and blanks are NaN in place."""
-    f = text.where("trim(text) <> ''").withColumn("f", _fields(F.col("text"))).withColumn("n", F.row_number().over(_by_file()))
-    head = f.where("n = 1").select("file", F.posexplode("f").alias("place", "name"))
+    first, others = _headed(text.where("trim(text) <> ''").withColumn("f", _fields(F.col("text"))))
+    head = first.select("file", F.posexplode("f").alias("place", "name"))
     again = Window.partitionBy("file", "name").orderBy("place")
     head = head.withColumn("nth", F.row_number().over(again)).where("place >= 2")
     head = head.select("file", "place", F.when(F.col("nth") > 1, F.concat(F.split("name", "@")[0], F.lit("["), F.col("place").cast("string"), F.lit("]"))).otherwise(F.split("name", "@")[0]).alias("var"), F.get(F.split("name", "@"), F.lit(1)).alias("probe"))
-    rows = f.where("n > 1").select("file", F.get("f", F.lit(0)).try_cast("int").alias("cycle"), F.get("f", F.lit(1)).try_cast("double").alias("time"), "f")
-    return rows.join(F.broadcast(head), "file").select("file", "cycle", "time", "var", "probe", F.coalesce(F.get("f", F.col("place")).try_cast("double"), F.lit(NAN)).alias("value"))
+    rows = others.select("file", F.get("f", F.lit(0)).try_cast("int").alias("cycle"), F.get("f", F.lit(1)).try_cast("double").alias("time"), "f")
+    return rows.join(head, "file").select("file", "cycle", "time", "var", "probe", F.coalesce(F.get("f", F.col("place")).try_cast("double"), F.lit(NAN)).alias("value"))
 
 
 def time_series(text: DataFrame) -> DataFrame:
     """(file, cycle, time, var, value) of CSV rows cycle,time,...; bad values are NaN, rows without a cycle or time go."""
-    f = text.where("trim(text) <> ''").withColumn("f", _fields(F.col("text"))).withColumn("n", F.row_number().over(_by_file()))
-    head = f.where("n = 1").select("file", F.posexplode("f").alias("place", "var")).where("place >= 2")
-    rows = f.where("n > 1").select("file", F.get("f", F.lit(0)).try_cast("int").alias("cycle"), F.get("f", F.lit(1)).try_cast("double").alias("time"), "f").where("cycle is not null and time is not null")
-    return rows.join(F.broadcast(head), "file").select("file", "cycle", "time", "var", F.coalesce(F.get("f", F.col("place")).try_cast("double"), F.lit(NAN)).alias("value"))
+    first, others = _headed(text.where("trim(text) <> ''").withColumn("f", _fields(F.col("text"))))
+    head = first.select("file", F.posexplode("f").alias("place", "var")).where("place >= 2")
+    rows = others.select("file", F.get("f", F.lit(0)).try_cast("int").alias("cycle"), F.get("f", F.lit(1)).try_cast("double").alias("time"), "f").where("cycle is not null and time is not null")
+    return rows.join(head, "file").select("file", "cycle", "time", "var", F.coalesce(F.get("f", F.col("place")).try_cast("double"), F.lit(NAN)).alias("value"))
 
 
 def minmax_blocks(text: DataFrame) -> DataFrame:
@@ -136,11 +195,13 @@ def minmax_blocks(text: DataFrame) -> DataFrame:
     are swapped; the last block is the current one (S21, W8)."""
     first = F.upper(F.split(F.trim("text"), r"[\s,]+")[0])
     stop = first.isin("/", "LAST", "CRDL")
-    b = text.withColumn("stop", stop.cast("int")).withColumn("raw", F.coalesce(F.sum("stop").over(_by_file().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    b = counted(text.withColumn("stop", F.coalesce(stop.cast("int"), F.lit(0))), F.col("stop"), "raw")
     f = b.where("stop = 0").withColumn("f", F.filter(F.split(F.trim("text"), r"[\s,]+"), lambda x: x != ""))
     v = f.select("file", "raw", F.get("f", F.lit(0)).alias("name"), F.get("f", F.lit(1)).try_cast("double").alias("a"), F.get("f", F.lit(2)).try_cast("double").alias("b")).where("a is not null and b is not null")
-    v = v.withColumn("block", F.dense_rank().over(Window.partitionBy("file").orderBy("raw")))
-    return v.select("file", "block", "name", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), (F.col("block") == F.max("block").over(Window.partitionBy("file"))).alias("current"))
+    blocks = numbered(v.select("file", F.col("raw").alias("line_no")).distinct(), "block")  # those with a row
+    last = blocks.groupBy("file").agg(F.max("block").alias("_last"))
+    v = v.join(blocks.withColumnRenamed("line_no", "raw"), ["file", "raw"]).join(last, "file")
+    return v.select("file", (F.col("block") + 1).cast("int").alias("block"), "name", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), (F.col("block") == F.col("_last")).alias("current"))
 
 
 def minmax_csv(text: DataFrame) -> DataFrame:
@@ -165,6 +226,60 @@ def xdmf(spark: SparkSession, path: str) -> DataFrame:
     return g.withColumn("a", F.explode_outer("attributes")).select("file", "frame", "time", "mesh_frame", "xyz", "connectivity", F.col("a._Name").alias("name"), F.col("a._Center").alias("center"), num(F.col("a.DataItem._VALUE")).alias("values"))
 
 
+#: Elements whose text is data, and those that name what follows.
+_TAG = r"<(/?)([A-Za-z]+)([^<>]*?)(/?)>"
+
+
+def xdmf_values(text: DataFrame) -> DataFrame:
+    """(file, frame, time, item, name, center, place, value): every number of inline data of a temporal collection, one row
+    each; item is Topology, Geometry or Attribute (S23).
+
+    Lines may break anywhere but within a tag or a number. Each line is cut into tags and texts; the grid, its time, the open
+    element and the attribute are carried forward over lines and chunks, and numbers are counted within their element."""
+    cut = F.filter(F.split(F.regexp_replace("text", r"(<[^<>]*>)", "\n$1\n"), "\n"), lambda x: F.trim(x) != "")
+    parts = text.select("file", F.col("line_no").alias("_line"), F.posexplode(cut).alias("_at", "part"))
+    # a line has fewer than 2^20 parts: the order within it goes into the number
+    s = parts.select("file", (F.col("_line") * (1 << 20) + F.col("_at")).alias("line_no"), F.trim("part").alias("part"))
+    attribute = lambda key: F.nullif(F.regexp_extract("part", key + r"\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
+    tag = F.regexp_extract("part", _TAG, 2)
+    opens = F.col("part").startswith("<") & ~F.col("part").startswith("</") & ~F.col("part").startswith("<?") & ~F.col("part").startswith("<!")
+    s = s.withColumns({"tag": F.when(opens, tag), "kind": F.when(opens, attribute("GridType"))})
+    grid = (F.col("tag") == "Grid") & F.coalesce(F.col("kind") != "Collection", F.lit(True))
+    s = _counted_wide(s.withColumn("_grid", F.coalesce(grid.cast("int"), F.lit(0))), "_grid", "frame").where("frame > 0")
+    item = F.when(F.col("tag").isin("Topology", "Geometry", "Attribute", "Time"), F.struct("tag", attribute("Name").alias("name"), attribute("Center").alias("center"), F.col("line_no").alias("begin")))
+    s = _carried_wide(s.withColumn("_item", item), "_item", "item")
+    times = s.where("tag = 'Time'").groupBy("file", "frame").agg(F.min(attribute("Value").try_cast("double")).alias("time"))
+    texts = s.where(~F.col("part").startswith("<") & F.col("item.tag").isin("Topology", "Geometry", "Attribute"))
+    numbers = texts.withColumn("v", F.filter(F.split("part", r"\s+"), lambda x: x != "")).withColumn("_n", F.size("v"))
+    # within an element: the count up to a part, less the count up to the element's first part
+    numbers = _counted_wide(numbers, "_n", "upto").withColumn("before", F.col("upto") - F.col("_n"))
+    first = numbers.groupBy("file", F.col("item.begin").alias("begin")).agg(F.min("before").alias("base"))
+    n = numbers.withColumn("begin", F.col("item.begin")).join(first, ["file", "begin"]).join(times, ["file", "frame"], "left")
+    frame = F.col("frame") - 1
+    out = n.select("file", frame.alias("frame"), F.coalesce("time", frame.cast("double")).alias("time"), F.col("item.tag").alias("item"), F.col("item.name").alias("name"), F.col("item.center").alias("center"), (F.col("before") - F.col("base")).alias("base"), F.posexplode("v").alias("k", "x"))
+    return out.select("file", "frame", "time", "item", "name", "center", (F.col("base") + F.col("k")).alias("place"), F.col("x").try_cast("double").alias("value"))
+
+
+def _wide(df: DataFrame, how) -> DataFrame:
+    """how() over rows whose line numbers leave room for the places in a line: chunks of as many lines."""
+    return how(df.withColumn("_no", F.col("line_no")).withColumn("line_no", F.col("line_no") / F.lit(1 << 20))).withColumn("line_no", F.col("_no")).drop("_no")
+
+
+def _counted_wide(df: DataFrame, many: str, name: str) -> DataFrame:
+    return _wide(df, lambda d: counted(d, F.col(many), name)).drop(many) if many == "_grid" else _wide(df, lambda d: counted(d, F.col(many), name))
+
+
+def _carried_wide(df: DataFrame, value: str, name: str) -> DataFrame:
+    return _wide(df, lambda d: carried(d, value, name)).drop(value)
+
+
+def xdmf_mesh_frames(values: DataFrame) -> DataFrame:
+    """(file, frame, mesh_frame): the last frame up to each that has coordinates, NULL before any (S23); frames, not values."""
+    f = values.groupBy("file", "frame").agg(F.max((F.col("item") == "Geometry").cast("int")).alias("own"))
+    w = Window.partitionBy("file").orderBy("frame")
+    return f.select("file", "frame", F.last(F.when(F.col("own") == 1, F.col("frame")), ignorenulls=True).over(w).alias("mesh_frame"))
+
+
 def particle_frames(blocks: DataFrame, velocities: DataFrame | None = None) -> DataFrame:
     """(frame, particle_id, x, y, z, vx, vy, vz) of blocks (block_no, values): three of one length make a frame, a rest is
     dropped; velocities (frame, particle_id, vx, vy, vz) join by frame and particle, else 0 (S24)."""
