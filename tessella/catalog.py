@@ -733,18 +733,73 @@ def m3_m6_mode_and_cluster_fields(spark, sf):
 # ---------------------------------------------------------------- tracing
 
 
-@query()
+
+def rk4_sql(seeds: str, step: float, steps: int, signs: str = "(1)", method: str = "rk4", more: str = "true") -> str:
+    """Recursive rows l (point_id, sg, place, x, y, z, arc) of lines in the lattice's velocity (6.75 - y, x - 4.5, 1), which is linear, so
+    that cells give it exactly."""
+    h = f"(sg * {step}::DOUBLE)"
+    u, v = "(6.75 - {y})", "({x} - 4.5)"
+    k = [(u.format(y="y"), v.format(x="x"))]
+    for part in {"rk4": (0.5, 0.5, 1.0), "rk2": (0.5,), "euler": ()}[method]:
+        a, b = k[-1]
+        k.append((u.format(y=f"(y + {part} * {h} * {b})"), v.format(x=f"(x + {part} * {h} * {a})")))
+    du, dv = (f"({k[0][c]} + 2 * {k[1][c]} + 2 * {k[2][c]} + {k[3][c]}) / 6" if method == "rk4" else k[-1][c] for c in range(2))
+    return f"""l AS (SELECT point_id, sg, 0 AS place, x, y, z, 0.0::DOUBLE AS arc FROM ({seeds}), (SELECT unnest([{signs.strip("()")}]) AS sg)
+UNION ALL SELECT point_id, sg, place + 1, x + {h} * {du}, y + {h} * {dv}, z + {h}, arc + {step}::DOUBLE * sqrt(pow({du}, 2) + pow({dv}, 2) + 1) FROM l WHERE place < {steps} AND {more})"""
+
+
+_SEEDS = "SELECT s_suppkey AS point_id, (3 + s_suppkey % 4 + 0.25)::DOUBLE AS x, (5 + s_suppkey % 5 * 0.7)::DOUBLE AS y, (0.25 + s_suppkey % 3 * 0.01)::DOUBLE AS z FROM supplier"
+
+
+def line_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(k.cast("long").alias("point_id"), (3 + k % 4 + F.lit(0.25)).cast("double").alias("x"), (5 + k % 5 * F.lit(0.7)).cast("double").alias("y"), (F.lit(0.25) + k % 3 * F.lit(0.01)).cast("double").alias("z"))
+
+
+_VELOCITY = ("velx", "vely", "velz")
+_LINE = "point_id, place, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z"
+
+
+@query(f"SELECT {_LINE}, CASE WHEN sg = 1 THEN 'forward' ELSE 'backward' END AS direction, round(arc, 6) + 0.0 AS arc, round(x, 6) + 0.0 AS xs FROM l", extra=rk4_sql(_SEEDS, 0.001, 200, "(1, -1)"), recursive=True)
 def r1_r2_streamlines(spark, sf):
-    n = table(spark, sf, "lat_node")
-    seeds = nearest.plane_grid(spark, (2.0, 4.0, 0.1), (4.0, 0, 0), (0, 4.0, 0), 2, 2)
-    return rounded(trace.streamlines(seeds, table(spark, sf, "lat_cell"), n, ("velx", "vely", "velz"), 0.05, 2, scalar="pres"))
+    n = table(spark, sf, "lat_node").withColumn("xs", F.col("x"))
+    return rounded(trace.streamlines(line_seeds(spark, sf), table(spark, sf, "lat_cell"), n, _VELOCITY, 0.001, 200, "both", scalar="xs"))
 
 
-@query()
+@query(f"SELECT {_LINE}, round(arc, 6) + 0.0 AS arc FROM l", extra=rk4_sql(_SEEDS, 0.002, 100, method="euler", more="arc < 0.3"), recursive=True)
+def r2_euler_to_a_length(spark, sf):
+    return rounded(trace.streamlines(line_seeds(spark, sf), table(spark, sf, "lat_cell"), table(spark, sf, "lat_node"), _VELOCITY, 0.002, 100, method="euler", length=0.3).drop("direction"))
+
+
+# above the lattice the nearest node's velocity, upward, goes on to half the box beyond it
+@query("""SELECT p.s_suppkey AS point_id, place::INT AS place, round(4.5 + 0.01::DOUBLE, 6) AS x, round(0.1 * 0.5 + (SELECT max(z) FROM lat_node) + place * (SELECT max(z) FROM lat_node) * 0.125, 6) + 0.0 AS z
+FROM supplier p, (SELECT unnest(range(4)) AS place)""", "lat_node")
+def r2_leaves_the_box(spark, sf):
+    n = table(spark, sf, "lat_node").withColumns({"velx": F.lit(0.0), "vely": F.lit(0.0)})
+    top = n.agg(F.max("z")).first()[0]
+    seeds = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("point_id"), F.lit(4.51).alias("x"), F.lit(6.7).alias("y"), F.lit(top + 0.05).alias("z"))
+    got = trace.streamlines(seeds, table(spark, sf, "lat_cell"), n, _VELOCITY, top / 8, 200)
+    return rounded(got.where("place < 4").select("point_id", "place", "x", "z"))
+
+
+@query(f"SELECT 0 AS cycle_place, {_LINE} FROM l UNION ALL SELECT 1, {_LINE} FROM l2", extra=rk4_sql(_SEEDS, 0.001, 50) + ", " + rk4_sql("SELECT point_id, x, y, z FROM l WHERE place = 50", 0.001, 50, "(-1)").replace("l AS (", "l2 AS (", 1).replace("FROM l WHERE place <", "FROM l2 WHERE place <"), recursive=True)
 def r3_pathlines(spark, sf):
     n = table(spark, sf, "lat_node")
-    seeds = nearest.plane_grid(spark, (2.0, 4.0, 0.1), (4.0, 0, 0), (0, 4.0, 0), 2, 1)
-    return rounded(trace.pathlines(seeds, table(spark, sf, "lat_cell"), [n, n.withColumn("velx", -F.col("velx"))], ("velx", "vely", "velz"), 0.05, 1, method="euler"))
+    back = n.withColumns({v: -F.col(v) for v in _VELOCITY})
+    return rounded(trace.pathlines(line_seeds(spark, sf), table(spark, sf, "lat_cell"), [n, back], _VELOCITY, 0.001, 50))
+
+
+@query(f"SELECT {_LINE} FROM l", "lat_node", "lat_face", extra=rk4_sql("SELECT face_id AS point_id, n.x, (n.y + 0.75)::DOUBLE AS y, (n.z + 0.25)::DOUBLE AS z FROM lat_face f JOIN lat_node n ON f.n0 = n.node_id WHERE region IS NULL AND face_id < 10000000 AND i BETWEEN 3 AND 6 AND n.y BETWEEN 5 AND 8", 0.01, 5, method="rk2"), recursive=True)
+def r4_surface_lines(spark, sf):
+    n = table(spark, sf, "lat_node")
+    f = table(spark, sf, "lat_face").where("region is null and face_id < 10000000").join(n.where("i between 3 and 6 and y between 5 and 8").select(F.col("node_id").alias("face_id")), "face_id", "left_semi")
+    return rounded(trace.surface_lines(f, n, table(spark, sf, "lat_cell"), _VELOCITY, 0.01, 5, "midpoint").select("point_id", "place", "x", "y", "z"))
+
+
+@query("""SELECT i * 37 + j AS point_id, round(4.5 + (i - 39 / 2.0) * 0.3375 + 0.0, 6) + 0.0 AS x, round(6 + (j - 18.0) * 0.3375 * 0.9, 6) + 0.0 AS y, 1.0::DOUBLE AS z
+FROM (SELECT unnest(range(40)) AS i), (SELECT unnest(range(37)) AS j), (SELECT max(x) FROM lat_node)""".replace("range(40)", "range(26)").replace("39 / 2.0", "25 / 2.0").replace("range(37)", "range(44)").replace("i * 37", "i * 44").replace("18.0", "43 / 2.0"), "lat_node")
+def r1_spacing_grid(spark, sf):
+    return rounded(trace.spacing_grid(table(spark, sf, "lat_node"), (4.5, 6, 1), (0, 0, 2), 1.0, 0.9))
 
 
 # ---------------------------------------------------------------- text ingest: rendered from the views and read back

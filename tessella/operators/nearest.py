@@ -276,13 +276,20 @@ def plane_grid(spark, origin, u, v, nu: int, nv: int) -> DataFrame:
 # ---------------------------------------------------------------- points in cells
 
 
-def hexahedra(cells: DataFrame, nodes: DataFrame, values: list[str]) -> DataFrame:
-    """(cell_id, p, v, box): corner coordinates and values of 8-node cells, and their bounding boxes."""
-    from tessella.operators.topology import cell_nodes
+#: Where the corners of each cell type stand in the eight-corner cell that it is a limit of.
+EIGHT = {10: (0, 1, 2, 2, 3, 3, 3, 3), 12: (0, 1, 2, 3, 4, 5, 6, 7), 13: (0, 1, 2, 2, 3, 4, 5, 5), 14: (0, 1, 2, 3, 4, 4, 4, 4)}
+
 
-    j = cell_nodes(cells.where("cell_type = 12")).join(nodes.select("node_id", "x", "y", "z", *values), "node_id")
-    g = j.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y", "z", *values))).alias("c"), *(f(c).alias(c + n) for c in "xyz" for f, n in ((F.min, "0"), (F.max, "1"))))
-    return g.select("cell_id", F.flatten(F.transform("c", lambda e: F.array(e["x"], e["y"], e["z"]))).alias("p"), F.flatten(F.transform("c", lambda e: F.array(*(e[v] for v in values)))).alias("v"), *(c + n for c in "xyz" for n in "01"))
+def hexahedra(cells: DataFrame, nodes: DataFrame, values: list[str]) -> DataFrame:
+    """(cell_id, nodes, p, v, box): eight corners' ids, coordinates and values of each cell, and its bounding box; the corners of
+    tetrahedra, wedges and pyramids are repeated."""
+    eight = F.lit(None).cast("array<long>")
+    for kind, corners in EIGHT.items():
+        eight = F.when(F.col("cell_type") == kind, F.array(*(F.get("nodes", F.lit(k)) for k in corners))).otherwise(eight)
+    c = cells.select("cell_id", F.posexplode(eight).alias("place", "node_id"))
+    j = c.join(nodes.select("node_id", "x", "y", "z", *values), "node_id")
+    g = j.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("place", "node_id", "x", "y", "z", *values))).alias("c"), *(f(c).alias(c + n) for c in "xyz" for f, n in ((F.min, "0"), (F.max, "1"))))
+    return g.where(F.size("c") == 8).select("cell_id", F.transform("c", lambda e: e["node_id"]).alias("nodes"), F.flatten(F.transform("c", lambda e: F.array(e["x"], e["y"], e["z"]))).alias("p"), F.flatten(F.transform("c", lambda e: F.array(*(e[v].cast("double") for v in values)))).alias("v"), *(c + n for c in "xyz" for n in "01"))
 
 
 def voxel_size(hexes: DataFrame) -> float:
@@ -294,8 +301,11 @@ def voxel_size(hexes: DataFrame) -> float:
 _SIGNS = np.array([[-1, -1, -1], [1, -1, -1], [1, 1, -1], [-1, 1, -1], [-1, -1, 1], [1, -1, 1], [1, 1, 1], [-1, 1, 1]], float)
 
 
-def trilinear(points: np.ndarray, corners: np.ndarray, steps: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of 8 corners at points inside cells, by Newton's method on all pairs at once; and whether each is inside."""
+def trilinear(points: np.ndarray, corners: np.ndarray, steps: int = 24, own: bool = False) -> tuple[np.ndarray, ...]:
+    """Weights of 8 corners at points inside cells, by Newton's method on all pairs at once; and whether each is inside. own: the
+    cell's own coordinates too."""
+    base, size = corners.mean(1), np.maximum((corners.max(1) - corners.min(1)).max(1), 1e-300)
+    points, corners = (points - base) / size[:, None], (corners - base[:, None]) / size[:, None, None]
     s = np.zeros_like(points)
     for _ in range(steps):
         f = 1 + s[:, None, :] * _SIGNS
@@ -309,7 +319,10 @@ def trilinear(points: np.ndarray, corners: np.ndarray, steps: int = 24) -> tuple
         jac[bad] = np.eye(3)
         s = np.clip(s - np.linalg.solve(jac, miss[:, :, None])[:, :, 0], -4, 4)
     f = 1 + s[:, None, :] * _SIGNS
-    return f.prod(2) / 8, (np.abs(s) <= 1 + 1e-9).all(1)
+    w = f.prod(2) / 8
+    # at repeated corners coordinates are free: there a point counts as inside by where the weights put it
+    inside = (np.abs(s) <= 1 + 1e-9).all(1) & (np.abs(np.einsum("nk,nkd->nd", w, corners) - points).max(1, initial=0) <= 1e-6)
+    return (w, inside, s) if own else (w, inside)
 
 
 def interpolate(points: DataFrame, cells: DataFrame, nodes: DataFrame, values: list[str], h: float | None = None, outside: str = "nearest", hexes: DataFrame | None = None) -> DataFrame:

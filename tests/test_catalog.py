@@ -11,7 +11,7 @@ from tessella.plans import views
 
 #: Empty on the smallest tables, whose lattice has two layers.
 MAY_BE_EMPTY = {"f21_disk", "c4_c5_divergence_and_rotation"}
-SLOW = {"r1_r2_streamlines", "r3_pathlines", "c7_c8_wall_distance"}
+SLOW = set()
 
 
 def plain(v):
