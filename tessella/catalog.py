@@ -150,6 +150,23 @@ def e19_code_names(spark, sf):
     return expr.code_names(table(spark, sf, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_size").alias("code")), names).select("node_id", "code", "name")
 
 
+@query("""SELECT node_id, CASE WHEN label LIKE 'l%' THEN replace(label, ' ', '_') WHEN code BETWEEN 1 AND 6 THEN 'Strain_' || ['XX', 'YY', 'ZZ', 'XY', 'YZ', 'ZX'][code] WHEN code BETWEEN 11 AND 16 THEN 'Stress_' || ['XX', 'YY', 'ZZ', 'XY', 'YZ', 'ZX'][code - 10]
+WHEN code BETWEEN 21 AND 26 THEN 'Plastic_Strain_' || ['XX', 'YY', 'ZZ', 'XY', 'YZ', 'ZX'][code - 20] WHEN code IN (7, 8, 9, 10, 17, 20, 38, 47, 48) THEN map {7: 'Equiv_Plastic_Strain', 8: 'Equiv_Creep_Strain', 9: 'Total_Temperature', 10: 'Temperature_Increment', 17: 'Equiv_Mises', 20: 'Thickness', 38: 'Swelling_Strain', 47: 'Equiv_Cauchy', 48: 'Strain_Energy_Density'}[code]
+ELSE 'POST_' || code END AS name FROM (SELECT p_partkey AS node_id, p_size AS code, CASE p_partkey % 7 WHEN 0 THEN 'label of ' || p_size WHEN 1 THEN ' 12 ' ELSE '' END AS label FROM part)""")
+def e19_post_names(spark, sf):
+    p, k = table(spark, sf, "part"), F.col("p_partkey") % 7
+    label = F.when(k == 0, F.concat(F.lit("label of "), F.col("p_size").cast("string"))).when(k == 1, F.lit(" 12 ")).otherwise(F.lit(""))
+    return p.select(F.col("p_partkey").alias("node_id"), expr.post_name("p_size", label).alias("name"))
+
+
+@query("SELECT 'run' AS series_id, c AS cycle, node_id AS entity_id, 'both' AS var, round(pres * c + temp, 6) + 0.0 AS value FROM lat_node, (SELECT unnest([1, 2, 3]) AS c)", "lat_node")
+def e15_on_every_cycle(spark, sf):
+    """Cycles of unlike variables; the new one comes on each."""
+    n = table(spark, sf, "lat_node").withColumn("cycle", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    long_ = n.select(F.lit("run").alias("series_id"), "cycle", F.col("node_id").alias("entity_id"), F.explode(F.map_from_arrays(F.array(F.lit("pres"), F.lit("temp"), F.concat(F.lit("only"), F.col("cycle").cast("string"))), F.array(F.col("pres") * F.col("cycle"), "temp", "velx"))).alias("var", "value"))
+    return rounded(cycles.on_every_cycle(long_, "both", ["pres", "temp"], F.col("pres") + F.col("temp")))
+
+
 @query("SELECT node_id, CASE WHEN i < 5 THEN round(sqrt(velx * velx + vely * vely + velz * velz), 6) + 0.0 ELSE 0.0 END AS disp FROM lat_node", "lat_node")
 def e18_result_magnitude(spark, sf):
     n = table(spark, sf, "lat_node")
@@ -208,6 +225,16 @@ def f21_disk(spark, sf):
     return filters.in_disk(table(spark, sf, "lat_node").where("z = 1.0"), (4, 6, 0), 3.0).select("node_id")
 
 
+# polygons of the plane through the nodes' layer, clipped: their area is between those of the cells wholly in and of those that are met
+@query("""SELECT c.cell_id, CASE WHEN n = 4 THEN 1.5::DOUBLE END AS area FROM (SELECT c.cell_id, count(*) FILTER ((n.x - 4) * (n.x - 4) + (n.y - 6) * (n.y - 6) <= 9) AS n FROM lat_cell c JOIN lat_node n ON n.k = c.k AND n.i BETWEEN c.i AND c.i + 1 AND n.j BETWEEN c.j AND c.j + 1 WHERE c.k = 0 GROUP BY c.cell_id) c
+WHERE n > 0 ORDER BY 1""", "lat_cell", "lat_node")
+def f21_disk_of_plane(spark, sf):
+    p = slices.disk(table(spark, sf, "lat_cell"), table(spark, sf, "lat_node"), (4, 6, 0.25), (0, 0, 1), 3.0, [])
+    got = slices.slice_triangles(p).withColumn("slice", F.col("cell_id"))
+    area = slices.integrate(got).select(F.col("slice").alias("cell_id"), r6("area"))
+    return area.select("cell_id", F.when(F.col("area") == 1.5, F.col("area")).alias("area"))
+
+
 @query("SELECT particle_id, x, y FROM ptcl WHERE frame = (SELECT list(DISTINCT frame ORDER BY frame)[32 % count(DISTINCT frame) + 1] FROM ptcl)", "ptcl")
 def f23_frame_of_step(spark, sf):
     return filters.frame_of_step(table(spark, sf, "ptcl"), 32).select("particle_id", "x", "y")
@@ -241,6 +268,49 @@ def j6_across_face(spark, sf):
     return topology.across_face(f.select(F.col("owner").alias("cell_id"), "face_id"), f)
 
 
+_LOCAL = "lf AS (SELECT cell_id, face_id, row_number() OVER (PARTITION BY cell_id ORDER BY face_id) - 1 AS local FROM (SELECT owner AS cell_id, face_id FROM lat_face UNION ALL SELECT neighbour, face_id FROM lat_face WHERE neighbour IS NOT NULL))"
+
+
+@query("SELECT cell_id, CAST(local AS INTEGER) AS local, face_id, coalesce(CASE WHEN owner = cell_id THEN neighbour ELSE owner END, -1) AS other FROM lf JOIN lat_face USING (face_id) UNION ALL SELECT cell_id, 6, NULL, -1 FROM lat_cell", "lat_face", "lat_cell", extra=_LOCAL)
+def j6_across_local_face(spark, sf):
+    q = table(spark, sf, "lat_cell").select("cell_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("local"))
+    return topology.across_local_face(q, table(spark, sf, "lat_face"))
+
+
+# the six faces of a cell look down, up, and to lower y, higher x, higher y and lower x
+@query("""SELECT cell_id, l.local::INT AS local, coalesce((SELECT d.cell_id FROM lat_cell d WHERE d.i = c.i + [0, 0, 0, 1, 0, -1][l.local + 1] AND d.j = c.j + [0, 0, -1, 0, 1, 0][l.local + 1] AND d.k = c.k + [-1, 1, 0, 0, 0, 0][l.local + 1]), -1) AS other
+FROM lat_cell c, (SELECT unnest(range(6)) AS local) l""", "lat_cell")
+def j3_j6_across_cell_face(spark, sf):
+    c = table(spark, sf, "lat_cell")
+    return topology.across_cell_faces(c.select("cell_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("local")), c)
+
+
+_TURN = ", ".join("(" + ", ".join(str(v) for v in (k, *f)) + ")" for k, f in enumerate(topology.FACES[12]))
+
+
+@query(f"SELECT cell_id, v.m AS local, [n0, n1, n2, n3, n4, n5, n6, n7][v.a + 1] AS first, [n0, n1, n2, n3, n4, n5, n6, n7][v.b + 1] AS second FROM lat_cell, (VALUES {_TURN}) v(m, a, b, c, d)", "lat_cell")
+def j3_local_faces(spark, sf):
+    return topology.cell_faces(table(spark, sf, "lat_cell")).select("cell_id", "local", F.get("nodes", F.lit(0)).alias("first"), F.get("nodes", F.lit(1)).alias("second"))
+
+
+@query("SELECT l_orderkey AS id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_linenumber) - 1 AS INTEGER) AS place, l_partkey AS value FROM lineitem")
+def h1_slices(spark, sf):
+    """Lines of orders as the rows of a CSR structure whose offsets are the running counts of lines."""
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    at = topology.dense_index(l.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linenumber"), ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linenumber"], "position")
+    offsets = at.groupBy(F.col("l_orderkey").alias("id")).agg(F.min("position").alias("start"), (F.max("position") + 1).alias("stop"))
+    return topology.slices(at.select("position", F.col("l_partkey").alias("value")), offsets)
+
+
+@query("SELECT cell_id, face_id, n AS position, min(n) OVER (PARTITION BY cell_id) AS start, max(n) OVER (PARTITION BY cell_id) + 1 AS stop FROM (SELECT cell_id, face_id, row_number() OVER (ORDER BY cell_id, face_id) - 1 AS n FROM lf WHERE cell_id < (SELECT count(*) - 5 FROM lat_cell))", "lat_face", "lat_cell", extra=_LOCAL)
+def h2_faces_by_cell(spark, sf):
+    pairs = topology.faces_of_cells(table(spark, sf, "lat_face")).withColumn("place", F.col("face_id"))
+    values, offsets = topology.grouped_faces(pairs, table(spark, sf, "lat_cell").count() - 5)
+    rows = topology.slices(values.withColumnRenamed("face_id", "value"), offsets.withColumnRenamed("cell_id", "id"))
+    j = rows.join(offsets.withColumnRenamed("cell_id", "id"), "id")
+    return j.select(F.col("id").alias("cell_id"), F.col("value").alias("face_id"), (F.col("start") + F.col("place")).alias("position"), "start", "stop")
+
+
 @query("SELECT cell_id, count(DISTINCT node_id) AS nodes, (SELECT count(*) FROM lat_face f WHERE f.owner = cn.cell_id OR f.neighbour = cn.cell_id) AS faces FROM cn GROUP BY cell_id", "lat_cell", "lat_face", extra=_CELL_NODES)
 def j2_j3_counts_of_cells(spark, sf):
     f = table(spark, sf, "lat_face")
@@ -648,13 +718,31 @@ def b4_b5_loading_of_volume(spark, sf):
     return rounded(got).where("not isnan(ps)")
 
 
-@query()
+@query("""SELECT round(CASE WHEN r > 0.35 THEN lag * 2 * pi() / 720 ELSE 2 * pi() END, 6) + 0.0 AS pitch FROM (
+SELECT a.lag, sum(x.v * y.v) / (SELECT sum(v * v) FROM h) AS r FROM (SELECT unnest(range(22, 720)) AS lag) a JOIN h x ON true JOIN h y ON y.bin = x.bin + a.lag GROUP BY a.lag) ORDER BY round(r, 12) DESC, lag LIMIT 1""", "cloud",
+extra="""t AS (SELECT line % 4 * 1.5707963267948966::DOUBLE + 0.2::DOUBLE + density * 0.05::DOUBLE AS t FROM cloud), c AS (SELECT CAST(least(719, floor(t / 6.283185307179586::DOUBLE * 720)) AS BIGINT) AS bin, count(*) AS n FROM t WHERE t BETWEEN 0 AND 6.283185307179586::DOUBLE GROUP BY 1),
+h AS (SELECT g.bin, coalesce(n, 0) - (SELECT sum(n) FROM c) / 720.0::DOUBLE AS v FROM (SELECT unnest(range(720)) AS bin) g LEFT JOIN c USING (bin))""")
 def b6_pitch(spark, sf):
     t = table(spark, sf, "cloud")
     theta = F.pmod(F.col("line"), F.lit(4)) * F.lit(1.5707963267948966) + F.lit(0.2) + F.col("density") * 0.05
     return rounded(blades.pitch(t, theta))
 
 
+@query("SELECT face_id, 'named' AS rule FROM lat_face WHERE region = 'Zmax' UNION ALL SELECT face_id, 'word' FROM lat_face WHERE region = 'Xmin' UNION ALL SELECT f.face_id, 'part' FROM lat_face f JOIN lat_cell c ON f.owner = c.cell_id AND c.material = 2 LEFT JOIN lat_cell d ON f.neighbour = d.cell_id WHERE d.cell_id IS NULL OR d.material <> 2", "lat_face", "lat_cell")
+def b1_three_rules(spark, sf):
+    """Regions by name, by words, and none of either, with parts of which one has a rotating word in its name."""
+    f, c = scratch.keep(table(spark, sf, "lat_face"), "faces"), scratch.keep(table(spark, sf, "lat_cell").withColumn("cvol_id", F.col("material")), "cells")
+    plain = f.where("region is not null").select(F.col("region").alias("name"), "face_id")
+    names = plain.withColumn("name", F.when(F.col("name") == "Xmin", "Fan_Wing_1").when(F.col("name") == "Ymin", "Rotor_Hub").otherwise(F.col("name")))
+    parts = c.select(F.when(F.col("material") == 2, "ImpellerZone").otherwise(F.concat(F.lit("Case"), F.col("material").cast("string"))).alias("part_name"), "cvol_id").distinct()
+    ways = {"named": blades.wall_faces(f, names, c, ["Zmax"], parts), "word": blades.wall_faces(f, names, c, ["absent"], parts), "part": blades.wall_faces(f, plain, c, None, parts)}
+    out = None
+    for rule, df in ways.items():
+        one = df.select("face_id", F.lit(rule).alias("rule"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT c.copy, count(*) AS n, round(sum(sqrt(x * x + y * y) * (t - floor(t / 1.5) * 1.5 + c.copy * 1.5)), 2) + 0.0 AS arc FROM (SELECT *, atan2(y, x) AS t FROM cloud), (SELECT 0 AS copy UNION ALL SELECT 1) c GROUP BY c.copy", "cloud")
 def b7_unwrapped(spark, sf):
     return blades.unwrapped(table(spark, sf, "cloud"), 1.5, 2).groupBy("copy").agg(F.count("*").alias("n"), (F.round(F.sum("arc"), 2) + 0.0).alias("arc"))

@@ -139,6 +139,36 @@ def code_names(codes: DataFrame, names: DataFrame, code: str = "code") -> DataFr
     return joined.withColumn("name", label).drop("_b", "_n", "_w")
 
 
+#: Names of post codes; first codes and stems of tensor families, and the names of a tensor's six parts.
+POST_NAMES = {
+    7: "Equiv_Plastic_Strain", 8: "Equiv_Creep_Strain",
+    9: "Total_Temperature", 10: "Temperature_Increment",
+    17: "Equiv_Mises", 20: "Thickness", 38: "Swelling_Strain",
+    47: "Equiv_Cauchy", 48: "Strain_Energy_Density", 58: "Elastic_SED",
+    78: "Volume",
+}
+TENSORS = [
+    (1, "Strain"), (11, "Stress"), (21, "Plastic_Strain"),
+    (301, "Total_Strain"), (311, "Stress"), (321, "Plastic_Strain"),
+    (331, "Creep_Strain"), (341, "Cauchy"), (391, "Cauchy_Preferred"),
+    (411, "Stress_Global"), (681, "Cauchy"),
+]
+SIX = ("XX", "YY", "ZZ", "XY", "YZ", "ZX")
+
+
+def post_name(code: Column | str, label: Column | str | None = None) -> Column:
+    """The variable's name for a post code: its label if that has a letter, blanks as underscores; else the code's name, or its
+    tensor's and part's; else POST_<n> (E19). The tables are small maps in the expression, no join."""
+    code = (F.col(code) if isinstance(code, str) else code).cast("int")
+    names = POST_NAMES | {base + k: f"{stem}_{part}" for base, stem in TENSORS for k, part in enumerate(SIX) if base + k not in POST_NAMES}
+    known = F.try_element_at(F.create_map(*(F.lit(x) for item in names.items() for x in item)), code)
+    out = F.coalesce(known, F.concat(F.lit("POST_"), code.cast("string")))
+    if label is None:
+        return out
+    label = F.regexp_replace(F.trim(F.col(label) if isinstance(label, str) else label), " ", "_")
+    return F.when(label.rlike("[A-Za-z]"), label).otherwise(out)
+
+
 # ---------------------------------------------------------------- coordinates
 
 

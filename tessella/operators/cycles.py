@@ -135,3 +135,46 @@ def with_mesh(datasets: DataFrame) -> DataFrame:
     w = Window.partitionBy("stem")
     first = F.min_by(F.when(F.col("has_mesh"), F.col("ds_id")), F.when(F.col("has_mesh"), F.col("path"))).over(w)
     return datasets.withColumn("mesh_id", F.when(F.col("has_mesh"), F.col("ds_id")).otherwise(first))
+
+
+def on_every_cycle(field: DataFrame, name: str, needed: list[str], value) -> DataFrame:
+    """(series_id, cycle, entity_id, var, value): one expression on every cycle of a series, under a new name; all or nothing.
+
+    field is long (series_id, cycle, entity_id, var, value), so cycles can have unlike variables; value is a Column over the needed
+    ones. An error, before any row is given, if a cycle has the new variable already, or has entities that lack a needed one
+    or give NULL; a cycle counts for each series by itself."""
+    from tessella.functions.expr import add_variable
+
+    key = ["series_id", "cycle", "entity_id"]
+    own = field.where(F.col("var").isin(needed))
+    # entities of a cycle: those that have any of the needed variables
+    wide = own.groupBy(*key).pivot("var", needed).agg(F.first("value"))
+    out = add_variable(wide, name, value)
+    faults = out.groupBy("series_id", "cycle").agg(F.count_if(F.coalesce(F.col(name).isNull(), F.lit(True)) | F.exists(F.array(*(F.col(f"`{v}`").isNull() for v in needed)), lambda x: x)).alias("bad"))
+    taken = field.groupBy("series_id", "cycle").agg(F.count_if(F.col("var") == name).alias("there"))
+    wrong = taken.join(faults, ["series_id", "cycle"], "left").where("there > 0 or bad is null or bad > 0").orderBy("series_id", "cycle").limit(5).collect()
+    if wrong:
+        raise ValueError(f"{name!r} can't be made on every cycle: " + ", ".join(f"{r['series_id']} {r['cycle']}" for r in wrong))
+    return out.select(*key, F.lit(name).alias("var"), F.col(name).cast("double").alias("value"))
+
+
+def on_every_member(members_: list[tuple[int, DataFrame]], name: str, value) -> list[tuple[int, DataFrame]]:
+    """The tables (cycle, table) of a series with unlike schemas, each with a new variable; an error if any can't have it: its table
+    lacks a variable, has the name, or gives NULL for a row (E15)."""
+    from pyspark.errors import AnalysisException
+
+    from tessella.functions.expr import add_variable
+
+    out, checks = [], None
+    for cycle, df in members_:
+        try:
+            made = add_variable(df, name, value)
+        except (AnalysisException, ValueError) as e:
+            raise ValueError(f"cycle {cycle}: {str(e).splitlines()[0]}") from e
+        out.append((cycle, made))
+        one = made.agg(F.count_if(F.col(name).isNull()).alias("bad")).withColumn("cycle", F.lit(cycle)) if name in made.columns else None
+        checks = one if checks is None else checks.unionByName(one) if one is not None else checks
+    wrong = [r["cycle"] for r in checks.where("bad > 0").collect()] if checks is not None else []  # a row a cycle
+    if wrong:
+        raise ValueError(f"no value on cycles {sorted(wrong)}")
+    return out

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.plans import prefix
+
 #: Corners of the edges and faces of each cell type.
 EDGES = {
     10: [(0, 1), (1, 2), (2, 0), (0, 3), (1, 3), (2, 3)],
@@ -17,10 +19,10 @@ EDGES = {
     14: [(0, 1), (1, 2), (2, 3), (3, 0), (0, 4), (1, 4), (2, 4), (3, 4)],
 }
 FACES = {
-    10: [(0, 1, 2), (0, 1, 3), (1, 2, 3), (2, 0, 3)],
-    12: [(0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7)],
+    12: [(0, 3, 2, 1), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7)],
+    10: [(0, 1, 2), (0, 3, 1), (1, 3, 2), (2, 3, 0)],
     13: [(0, 1, 2), (3, 4, 5), (0, 1, 4, 3), (1, 2, 5, 4), (2, 0, 3, 5)],
-    14: [(0, 1, 2, 3), (0, 1, 4), (1, 2, 4), (2, 3, 4), (3, 0, 4)],
+    14: [(0, 1, 2, 3), (0, 3, 4), (3, 2, 4), (2, 1, 4), (1, 0, 4)],
 }
 #: Nodes of each cell type; element family and node count of cell types for classification.
 CORNERS = {10: 4, 12: 8, 13: 6, 14: 5}
@@ -85,6 +87,29 @@ def across_face(queries: DataFrame, faces: DataFrame) -> DataFrame:
     return queries.join(f, "face_id").select("cell_id", "face_id", F.coalesce(other, F.lit(-1).cast("long")).alias("other"))
 
 
+def local_faces(faces: DataFrame) -> DataFrame:
+    """(cell_id, local, face_id): 0-based numbers of a polyhedral cell's faces, in order of face id."""
+    w = Window.partitionBy("cell_id").orderBy("face_id")
+    return faces_of_cells(faces).withColumn("local", (F.row_number().over(w) - 1).cast("int")).select("cell_id", "local", "face_id")
+
+
+def across_local_face(queries: DataFrame, faces: DataFrame) -> DataFrame:
+    """queries (cell_id, local) with face_id and the cell on the other side of the local face, -1 if there is none or no such face
+    (J6)."""
+    named = queries.join(local_faces(faces), ["cell_id", "local"], "left")
+    known = across_face(named.where("face_id is not null").select("cell_id", "face_id"), faces).distinct()
+    return named.join(known, ["cell_id", "face_id"], "left").select("cell_id", "local", "face_id", F.coalesce("other", F.lit(-1).cast("long")).alias("other"))
+
+
+def across_cell_faces(queries: DataFrame, cells: DataFrame) -> DataFrame:
+    """queries (cell_id, local) with the cell across a local face of cells of the four types, found by the face's nodes; -1 if none
+    (J6)."""
+    f = cell_faces(cells).withColumn("key", F.array_sort("nodes")).select("cell_id", "local", "key")
+    asked = queries.join(f, ["cell_id", "local"], "left")
+    other = asked.where("key is not null").join(f.select("key", F.col("cell_id").alias("other")), "key").where("other <> cell_id").groupBy("cell_id", "local").agg(F.min("other").alias("other"))
+    return queries.join(other, ["cell_id", "local"], "left").select("cell_id", "local", F.coalesce("other", F.lit(-1).cast("long")).alias("other"))
+
+
 def node_neighbours(cells: DataFrame) -> DataFrame:
     """(node_id, other): nodes joined by a cell edge, both ways."""
     e = edges(cells)
@@ -288,9 +313,30 @@ def clamp_nodes(cells: DataFrame, nodes: int) -> DataFrame:
 
 
 def slices(values: DataFrame, offsets: DataFrame) -> DataFrame:
-    """(id, place, value): rows of a CSR structure, values (array) cut at offsets (id, start, stop) (H1)."""
-    cut = offsets.join(F.broadcast(values.select("values"))).select("id", F.slice("values", F.col("start") + 1, F.col("stop") - F.col("start")).alias("v"))
-    return cut.select("id", F.posexplode("v").alias("place", "value"))
+    """(id, place, value): rows of a CSR structure: values (position, value) cut at offsets (id, start, stop) (H1).
+
+    A slice's first position is marked and carried forward over chunks of positions, so neither table is gathered or
+    broadcast. Slices that overlap are an error; positions in no slice are left out."""
+    cut = offsets.where("stop > start").select("id", "start", "stop")
+    marked = values.select("position", "value").join(cut.withColumnRenamed("start", "position").select("position", F.struct("id", F.col("position").alias("start"), "stop").alias("_cut")), "position", "left")
+    out = prefix.carried(marked.withColumn("_all", F.lit(0)), "_cut", "_in", ["_all"], "position")
+    # where a slice begins, how far the ones before reach: their marks stand just after their starts
+    marks = cut.select(F.lit(0).alias("_all"), (F.col("start") * 2 + 1).alias("at"), F.col("stop").alias("_stop"))
+    reach = prefix.carried(cut.select(F.lit(0).alias("_all"), (F.col("start") * 2).alias("at"), F.lit(None).cast("long").alias("_stop")).unionByName(marks), "_stop", "_upto", ["_all"], "at")
+    clash = reach.where("at % 2 = 0 and _upto > at / 2")
+    if not clash.isEmpty() or cut.count() != cut.select("start").distinct().count():
+        raise ValueError("slices overlap")
+    return out.where("_in is not null and position < _in.stop").select("_in.id", (F.col("position") - F.col("_in.start")).cast("int").alias("place"), "value")
+
+
+def grouped_faces(pairs: DataFrame, cells: int) -> tuple[DataFrame, DataFrame]:
+    """The CSR structure of faces by cell (H2): values (position, face_id) in order of cell and then of place, and offsets (cell_id, start,
+    stop) of the cells that have any, for pairs (cell_id, face_id, place); ids outside 0 .. cells - 1 are left out.
+
+    Positions are ranks in a range-partitioned order plus the counts of the partitions before."""
+    ranked = dense_index(pairs.where((F.col("cell_id") >= 0) & (F.col("cell_id") < cells)).select("cell_id", "place", "face_id"), ["cell_id", "place", "face_id"], "position")
+    offsets = ranked.groupBy("cell_id").agg(F.min("position").alias("start"), (F.max("position") + 1).alias("stop"))
+    return ranked.select("position", "face_id"), offsets
 
 
 def structured_cells(spark, ni: int, nj: int, nk: int) -> DataFrame:

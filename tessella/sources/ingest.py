@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.plans import prefix
+
 NAN = float("nan")
 #: Lines of a chunk: what one window sorts.
 CHUNK = 1 << 16
@@ -30,36 +32,14 @@ def lines(spark: SparkSession, path: str, joined: bool = False) -> DataFrame:
     return raw.join(base, ["part", "start"]).select(file.alias("file"), (F.col("id") + F.col("base")).alias("line_no"), "text")
 
 
-def _chunked(df: DataFrame) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col("line_no") / CHUNK))
-
-
-def _in_chunk() -> Window:
-    return Window.partitionBy("file", "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-
-
-def _chunks_before() -> Window:
-    return Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-
-
 def carried(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with the last value that isn't NULL up to each line of its file."""
-    df = _chunked(df)
-    marks = df.where(F.col(value).isNotNull()).groupBy("file", "_chunk").agg(F.max_by(value, "line_no").alias("_v"))
-    # chunks without a mark need a row too
-    chunks = df.select("file", "_chunk").distinct().join(marks, ["file", "_chunk"], "left")
-    into = chunks.select("file", "_chunk", F.last("_v", ignorenulls=True).over(_chunks_before()).alias("_into"))
-    out = df.withColumn(name, F.last(value, ignorenulls=True).over(_in_chunk())).join(into, ["file", "_chunk"])
-    return out.withColumn(name, F.coalesce(name, "_into")).drop("_chunk", "_into")
+    return prefix.carried(df, value, name, ["file"], "line_no", CHUNK)
 
 
 def counted(df: DataFrame, many: Column, name: str) -> DataFrame:
     """df with the sum of a number over the lines of its file up to each, itself included."""
-    df = _chunked(df).withColumn("_many", many.cast("long"))
-    sums = df.groupBy("file", "_chunk").agg(F.sum("_many").alias("_v"))
-    into = sums.select("file", "_chunk", F.coalesce(F.sum("_v").over(_chunks_before()), F.lit(0)).alias("_into"))
-    out = df.withColumn(name, F.sum("_many").over(_in_chunk())).join(into, ["file", "_chunk"])
-    return out.withColumn(name, F.col(name) + F.col("_into")).drop("_chunk", "_many", "_into")
+    return prefix.counted(df, many, name, ["file"], "line_no", CHUNK)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
