@@ -1068,6 +1068,26 @@ def z2_running_sums(spark, sf):
     return got.select("entity_id", "var", "n", r6("sum"), r6("average"), (F.round("square_sum", 4) + 0.0).alias("square_sum"))
 
 
+def streamed(spark: SparkSession, sf: str, how, keys: list[str]) -> DataFrame:
+    """Cycles that arrive as files, three batches of them, folded by a stream into a table."""
+    field = table(spark, sf, "cyc_field")
+    source, target, at = (scratch.path(spark, n) for n in ("arriving", "folded", "stream"))
+    field.repartitionByRange(3, "cycle").write.parquet(source)
+    monitor.fold(how(monitor.arriving(spark, source, field.schema, 1)), target, at)
+    return monitor.folded(spark, target, keys)
+
+
+@query("SELECT cycle, var, count(*) AS n, round(min(value), 6) + 0.0 AS lo, round(max(value), 6) + 0.0 AS hi, round(avg(value), 6) + 0.0 AS mean FROM cyc_field GROUP BY cycle, var", "cyc_field")
+def z1_streamed_ranges(spark, sf):
+    return rounded(streamed(spark, sf, monitor.cycle_ranges, ["cycle", "var"]))
+
+
+@query('SELECT entity_id, var, count(*) AS n, round(sum(value), 6) + 0.0 AS "sum", round(avg(value), 6) + 0.0 AS average, round(sum(value * value), 4) + 0.0 AS square_sum FROM cyc_field GROUP BY entity_id, var', "cyc_field")
+def z2_streamed_sums(spark, sf):
+    got = streamed(spark, sf, monitor.running_sums, ["entity_id", "var"])
+    return got.select("entity_id", "var", "n", r6("sum"), r6("average"), (F.round("square_sum", 4) + 0.0).alias("square_sum"))
+
+
 # ---------------------------------------------------------------- further look-ups and tables
 
 
