@@ -50,9 +50,13 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """df with a number of each row in column _row, written once so that it never changes: ids can be null or repeated."""
-    return keep(df.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a number of each row in a column of a name that df doesn't have, written once so that it never changes (ids can be
+    null or repeated); and that name."""
+    taken, name = {c.lower() for c in df.columns}, "_row"
+    while name in taken:
+        name += "_"
+    return keep(df.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
 
 
 def steps(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, list[bytes]]]:

@@ -234,6 +234,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SEED, rare: float =
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without the rows that hold a test item, whatever their doc_id."""
-    rows = common.keyed(docs)
-    bad = common.keep(leaks(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("_row")).distinct(), "leaks")
-    return rows.join(bad, "_row", "left_anti").select(*docs.columns)
+    rows, row = common.keyed(docs)
+    bad = common.keep(leaks(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias(row)).distinct(), "leaks")
+    return rows.join(bad, row, "left_anti").select(*docs.columns)

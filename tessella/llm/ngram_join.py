@@ -326,10 +326,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     n_shingles: distinct shingles of size words; a text with fewer words is one shingle, a null, empty or blank one has
     none and stands alone. component_id: least id reachable over links of percent or more; copies: rows with an equal set.
-    Columns of docs other than the two named are not read; rows with a null id are left out; a repeated id counts once
+    Columns of docs other than the two named are not read; a row with a null id has the least id that others of its component
+    have, null if none has one; a repeated id counts once
     per distinct set, and its component is the least of them; an empty table gives an empty table."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = common.keep(docs.mapInArrow(_sizes(size), "kind byte, doc_id long, node long, n long, parity array<long>, piece int, counts binary"), "sizes")
     rows = first.where("kind = 0").select("doc_id", "node", "n")
     sketch = spark.sparkContext.broadcast(_sketch(first.where("kind = 1").select("piece", "counts")))
