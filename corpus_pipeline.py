@@ -37,11 +37,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Of each group of rows linked by a similarity of 0.75 or more, the one with the smallest id (the first of such rows;
     one without an id only where none has one)."""
     _small_batches(spark)
-    rows = common.keyed(docs)
-    groups = ngram_join.join(rows, id_col="_row").join(rows.select("_row", "doc_id"), "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    least = common.keep(groups.groupBy("component_id").agg(first.alias("first")).select("first._row"), "least")
-    return rows.join(least, "_row", "left_semi").select(*docs.columns)
+    rows, row = common.keyed(docs)
+    groups = ngram_join.join(rows, id_col=row).join(rows.select(row, "doc_id"), row)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))
+    least = common.keep(groups.groupBy("component_id").agg(first.alias("first")).select(f"first.{row}"), "least")
+    return rows.join(least, row, "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
