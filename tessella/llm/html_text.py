@@ -33,8 +33,10 @@ FURNITURE = frozenset("nav footer aside form script style noscript template head
 RAW = "script|style|textarea|title|noscript|template|iframe|svg"
 #: Words of class, id and role that name furniture.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription sidebar menu menus navbar nav navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond share sharing social related recommended recommendations widget toolbar login signup search contentinfo complementary dialog".split())
-#: Words that go with them in compound names (site-footer, ad-slot).
-PLAIN = frozenset("bar block box btn button icons item items link links list site slot unit".split())
+#: Words that add nothing at the end of a compound name (ad-slot, related-posts), so the word before them tells.
+PLAIN = frozenset("area bar block body box btn button buttons card container content count frame group heading holder icon icons inner item items label layer link links list message module outer panel placeholder post posts region section slot text thread title unit wrap wrapper zone".split())
+#: Words by which a compound says what else is there, not what it is (has-comments, content-with-sidebar).
+ABOUT = frozenset("has have no not with without".split())
 BY_NAME, BY_ELEMENT = 1, 2
 #: Elements that begin and end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -43,16 +45,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSED_BY = {"p": (BLOCKS - {"body", "html"}, frozenset("article aside blockquote body dd details div dl fieldset figure footer form header html li main nav ol section table td th ul".split())), "li": (frozenset(["li"]), frozenset("ol ul menu dir".split())), "dt": (frozenset("dt dd".split()), frozenset(["dl"])), "dd": (frozenset("dt dd".split()), frozenset(["dl"])), "td": (frozenset("td th tr tbody".split()), frozenset(["table"])), "th": (frozenset("td th tr tbody".split()), frozenset(["table"])), "tr": (frozenset("tr tbody".split()), frozenset(["table"])), "option": (frozenset("option optgroup".split()), frozenset(["select"]))}
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|<[!?][^>]*>", re.I | re.S)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 def _named(value: str, in_article: bool) -> bool:
-    """Whether a whole token of a class, id or role names furniture, or all parts of it do; has-comments names none."""
+    """Whether a token of a class, id or role names furniture: its last word that isn't PLAIN does. Words are parts in
+    letters, camel case is cut; tokens with a word of ABOUT name none."""
     names = NAMES if in_article else NAMES | {"header"}
     for token in value.split():
-        words = _WORD.findall(token)
-        if token in names or (any(w in names for w in words) and all(w in names or w in PLAIN for w in words)):
-            return True
+        words = [w.lower() for w in _WORD.findall(token)]
+        if ABOUT.isdisjoint(words):
+            while words and words[-1] in PLAIN:
+                words.pop()
+            if words and words[-1] in names:
+                return True
     return False
 
 
@@ -64,11 +70,13 @@ def _furniture(tag: str, attributes: str, in_article: bool, exempt: bool) -> int
         return 0
     found = 0
     for name, value in _NAMED.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            if not exempt and (_named(value, in_article) or (name == "role" and value == "banner")):
+            if not exempt and (_named(value, in_article) or (name == "role" and value.lower() == "banner")):
                 found = found or BY_NAME
-        elif (name == "hidden" and value in ("", "hidden")) or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+            continue
+        value = value.lower()
+        if (name == "hidden" and value in ("", "hidden")) or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return BY_ELEMENT
     return found
 
@@ -145,6 +153,8 @@ def _lines(page: str, any_article: bool) -> list[tuple[str, bool, bool]]:
     return out
 
 
+#: Parts in which a host's pages meet the lines that most of them have.
+SALTS = 256
 #: Bits of the table of one alignment that is held whole; larger ones are halved first.
 CELLS = 1 << 23
 
@@ -294,14 +304,30 @@ def nearest(pages: DataFrame) -> DataFrame:
     return near.where("not edge").unionByName(edges).select("row", "before", "after")
 
 
-def kept(marks: list[int], numbers: list[int], others: list[list[int]]) -> list[int]:
-    """Places of the lines that stay, given the lines of the nearest pages before and after (those that exist)."""
+def usual(unlike: DataFrame) -> DataFrame:
+    """(row, usual): the lines that over half of all pages of the host of a row of unlike (row, host, marks, numbers) have
+    inside an article.
+
+    A host has at most twice as many such lines as a page has on average. They meet its pages by host and one of SALTS
+    parts of them, so a host with very many pages isn't in one task."""
+    inside = F.array_distinct(F.filter("numbers", lambda _, k: F.get("marks", k) == INSIDE))
+    pages = unlike.groupBy("host").agg(F.count("*").alias("pages")).where("pages > 2")  # fewer pages have no two neighbours
+    counts = unlike.select("host", F.explode(inside).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
+    lines_of = counts.join(pages, "host").where("2 * n > pages").groupBy("host").agg(F.collect_list("line").alias("usual"))
+    parts = unlike.select("row", "host", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("part"))
+    return parts.join(parts.select("host", "part").distinct().join(lines_of, "host"), ["host", "part"]).select("row", "usual")
+
+
+def kept(marks: list[int], numbers: list[int], others: list[list[int]], usual: list[int] | None = None) -> list[int]:
+    """Places of the lines that stay, given the lines of the nearest pages before and after (those that exist) and those
+    that most pages of the host have inside their articles."""
     main = _main(marks)
     found = [shared(numbers, other) for other in others]
     if main and marks[main[0]] == INSIDE:
         templates = [f for f in found if 2 * len(f.intersection(main)) < len(main)]
         both = templates[0] & templates[1] if len(templates) == 2 else set()
-        return [k for k in main if k not in both]
+        most = set(usual or ())
+        return [k for k in main if k not in both or numbers[k] not in most]
     either = set().union(*found)
     return [k for k in main if k not in either] or main
 
@@ -309,11 +335,11 @@ def kept(marks: list[int], numbers: list[int], others: list[list[int]]) -> list[
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpacked = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        page_id, url, packed, marks, mine, before, after = (c.to_pylist() for c in batch.columns)
+        page_id, url, packed, marks, mine, most, before, after = (c.to_pylist() for c in batch.columns)
         text = []
-        for p, m, x, *others in zip(packed, marks, mine, before, after, strict=True):
+        for p, m, x, u, *others in zip(packed, marks, mine, most, before, after, strict=True):
             line = dict(zip(_main(m), unpacked(p).decode().split("\n"), strict=False))
-            text.append("\n\n".join([line[k] for k in kept(m, x, [y for y in others if y is not None])]))
+            text.append("\n\n".join([line[k] for k in kept(m, x, [y for y in others if y is not None], u)]))
         yield pa.RecordBatch.from_arrays([pa.array(page_id, pa.int64()), pa.array(url, pa.string()), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -325,11 +351,11 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = rows.mapInArrow(_parse, _PARSED_DDL)
     # copies within a host are one; texts stay out of this table
-    unlike = parsed.select("host", "same", F.struct("path", "numbers").alias("first")).groupBy("host", "same").agg(F.min("first").alias("first"))
+    unlike = parsed.select("host", "same", F.struct("path", "numbers", "marks").alias("first")).groupBy("host", "same").agg(F.min("first").alias("first"))
     unlike = common.keep(unlike.select("host", "same", "first.*").withColumn("row", F.monotonically_increasing_id()), "unlike")
     lines_of = lambda name: unlike.select(F.col("row").alias(name), F.col("numbers").alias(f"{name}_lines"))
     near = nearest(unlike).join(lines_of("before"), "before", "left").join(lines_of("after"), "after", "left")
-    near = near.join(unlike.select("row", "host", "same"), "row").select("host", "same", "before_lines", "after_lines")
-    pairs = parsed.join(near, ["host", "same"], "left").select("page_id", "url", "lines", "marks", "numbers", "before_lines", "after_lines")
+    near = near.join(usual(unlike), "row", "left").join(unlike.select("row", "host", "same"), "row").select("host", "same", "usual", "before_lines", "after_lines")
+    pairs = parsed.join(near, ["host", "same"], "left").select("page_id", "url", "lines", "marks", "numbers", "usual", "before_lines", "after_lines")
     done = pairs.mapInArrow(_differenced, "page_id long, url string, text string")
     return done.withColumn("n_chars", F.char_length("text").cast("long"))
