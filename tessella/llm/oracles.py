@@ -79,18 +79,25 @@ _FORMS = {
     "upper": "upper(array_to_string(words, ''))",
     "decimal": "substr(array_to_string(list_transform(places, lambda k: k::VARCHAR), ''), 1, 255)",
 }
-_ARTIFICIAL = " UNION ALL ".join(f"SELECT '{f}' AS form, '{secrets.FORMS[f]}' AS enc, {x} AS text FROM a3" for f, x in _FORMS.items())
+_ARTIFICIAL = " UNION ALL ".join(f"SELECT '{f}' AS form, '{secrets.FORMS[f]}' AS enc, {x} AS text FROM a3 WHERE {_SEED.format(5, 4)} % {len(_FORMS)} = {k}" for k, (f, x) in enumerate(_FORMS.items()))
+_BARE = "translate(text, '-_=', '+/')"
+_BASE64 = f"substr({_BARE}, 1, length({_BARE}) - CASE WHEN length({_BARE}) % 4 = 1 THEN 1 ELSE 0 END)"
+_WHOLE = "'^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$'"
+_DECODED = f"""CASE WHEN regexp_matches(text, '{secrets.HEXED}') THEN try(decode(unhex(substr(text, 1, length(text) // 2 * 2))))
+  WHEN regexp_matches(text, {_WHOLE}) THEN try(decode(from_base64(rpad({_BASE64}, ((length({_BASE64}) + 3) // 4 * 4)::INT, '=')))) END"""
 _PRIOR = ", ".join(f"('{f}', '{e}', {size}, {m!r}::DOUBLE, {s!r}::DOUBLE)" for f, e, size, m, s in secrets.prior_laws())
 
 OP1 = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 {_spans("assign", secrets.ASSIGN, 0, 8)}, {_spans("access", secrets.ACCESS, 1, 0)}, {_spans("hex", secrets.HEX, 2, 0)}, {_spans("random", secrets.CANDIDATE, 3, 0)},
 base AS (FROM assign_spans UNION ALL FROM access_spans UNION ALL FROM hex_spans),
-c AS (SELECT *, CASE WHEN regexp_matches(text, '^([0-9a-f]+|[0-9A-F]+)$') THEN 'hex' WHEN regexp_matches(text, '^[A-Z2-7]+=*$') THEN 'base32'
-       WHEN regexp_matches(text, '^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$') THEN 'base64' END AS enc
+c AS (SELECT *, CASE WHEN coalesce(NOT regexp_matches({_DECODED}, '{secrets.CONTROL}'), false) THEN NULL
+       WHEN regexp_matches(text, '{secrets.HEXED}') THEN 'hex' WHEN regexp_matches(text, '^[A-Z2-7]+=*$') THEN 'base32'
+       WHEN regexp_matches(text, {_WHOLE}) THEN 'base64' END AS enc
   FROM random_spans r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.a < r.b AND r.a < b.b)),
 {_tested("tested", "FROM c")},
-a1 AS (SELECT md5(text) AS seed, regexp_extract_all(text, '{secrets.WORD}') AS found FROM t),
+a0 AS (SELECT md5(text) AS seed, text FROM t),
+a1 AS (SELECT seed, regexp_extract_all(substr(text, {_SEED.format(9, 8)} % greatest(1, length(text) - {secrets.WINDOW} + 1) + 1, {secrets.WINDOW}), '{secrets.WORD}') AS found FROM a0),
 a2 AS (SELECT *, {list(secrets.WORDS_OF)}[({_SEED.format(1, 4)} % {len(secrets.WORDS_OF)} + 1)::INT]::BIGINT AS many FROM a1 WHERE len(found) >= 3),
 a21 AS (SELECT *, list_transform(range(0, many), lambda i: ({_SEED.format("1 + i % 27", 6)} + i * 7919) % len(found) + 1) AS places FROM a2),
 a22 AS (SELECT *, list_transform(places, lambda k: lower(found[k])) AS words FROM a21),

@@ -9,9 +9,12 @@ made, each a normal score that is about 0 for random characters and falls the le
 * runs of character classes (lower, upper, digit, other),
 * circular lag-1 serial correlation of the codes, of either sign.
 
+A candidate that decodes (hex or base64) to UTF-8 without control characters is encoded text, no secret, and takes no part:
+20 random characters do so by chance in fewer than one of 3,000 cases as hex and one of 100,000 as base64.
+
 Their sum is the candidate's score. The null hypothesis is "made of words or numbers, no secret". Its law is measured, not
-assumed: every document gives one artificial token of each of FORMS, from words and hashes of its own text (identifiers in
-camel case without and with numbers, paths, upper-case names, decimal numbers), which pass the same tests. Mean and spread of
+assumed: every document gives one artificial token, of one of FORMS by its hash, from words of a window of its own text whose
+place goes by its hash (identifiers in camel case without and with numbers, paths, upper-case names, decimal numbers), which passes the same tests. Mean and spread of
 their scores by form, encoding and length make a p-value of a score: the largest over the forms, so the form
 that is most like a secret counts, and dependence between the three tests is in it. Few documents are helped by PRIOR, the
 same figures of a typical corpus, which count as WEIGHT tokens.
@@ -37,6 +40,10 @@ WORDS = ("password", "passwd", "secret", "token", "api_?key")
 ENCODINGS = {"hex": (16, 2 * 10 * 6 / 16**2), "base32": (32, 2 * 26 * 6 / 32**2), "base64": (64, 1 - (26**2 + 26**2 + 10**2 + 2**2) / 64**2)}
 #: Forms of the artificial tokens, with their encoding.
 FORMS = {"camel": "base64", "numbered": "base64", "path": "base64", "upper": "base32", "decimal": "hex"}
+#: Characters of the window that an artificial token's words are from.
+WINDOW = 512
+#: What decoded text doesn't hold: control characters that aren't white space.
+CONTROL = r"[\x00-\x08\x0E-\x1F\x7F]"
 #: Words of an artificial token, one of these by the text's hash; words are of 3 to 12 ASCII letters.
 WORDS_OF, WORD = (4, 7, 14, 28), "[A-Za-z]{3,12}"
 #: Fall of the mean score for each character, and spread for each root of the length (in 1 / STEPS), of each form in prose of
@@ -56,10 +63,16 @@ HEX = "[0-9a-f]{32,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 #: A candidate of one encoding, and the stretches of the other ones.
 WHOLE = "^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$"
+HEXED = "^([0-9a-f]+|[0-9A-F]+)$"
 STRETCHES = tuple(f"[{c}]{{20,}}(?:=++(?![A-Za-z0-9+/_-]))?" for c in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
 _NONE = "array<string>"
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) where value is evaluated once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda s, x: s + x)
 
@@ -89,8 +102,18 @@ def _found(df: DataFrame, name: str, pattern: str, kind: int, least: int = 0) ->
     return df.withColumn(name, spans).drop("_m", "_p", "_g", "_n", "_both")
 
 
+def _is_text(token: Column) -> Column:
+    """Whether a token decodes to text: hex by pairs of digits, base64 of either alphabet with or without its '='."""
+    bare = F.translate(token, "-_=", "+/")
+    whole = F.char_length(bare) - F.when(F.char_length(bare) % 4 == 1, 1).otherwise(0)
+    padded = F.rpad(F.substring(bare, F.lit(1), whole), F.ceil(whole / 4).cast("int") * 4, F.lit("="))
+    pairs = F.substring(token, F.lit(1), F.floor(F.char_length(token) / 2).cast("int") * 2)
+    decoded = F.when(token.rlike(HEXED), F.unhex(pairs)).when(token.rlike(WHOLE), F.unbase64(padded)).cast("string")
+    return _bound(decoded, lambda t: F.coalesce(F.is_valid_utf8(t) & ~t.rlike(CONTROL), F.lit(False)))
+
+
 def _encoding(token: Column) -> Column:
-    return F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32").when(token.rlike(WHOLE), "base64")
+    return F.when(_is_text(token), F.lit(None)).when(token.rlike(HEXED), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32").when(token.rlike(WHOLE), "base64")
 
 
 def _scored(token: Column, encoding: Column) -> Column:
@@ -104,11 +127,10 @@ def _scored(token: Column, encoding: Column) -> Column:
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "[^lud]", "o")
     changes = F.char_length(F.regexp_replace(classes, r"(.)\1*", "x")) - 1
     z_runs = (changes - (n - 1) * share) / F.sqrt((n - 1) * share * (1 - share))
-    codes = F.transform(chars, lambda c: F.ascii(c).cast("long"))
-    total, squared = _sum(codes), _sum(F.transform(codes, lambda x: x * x))
-    lagged = _sum(F.zip_with(codes, F.concat(F.slice(codes, 2, F.size(codes)), F.slice(codes, 1, 1)), lambda x, y: x * y))
-    spread = n * squared - total * total
-    z_serial = F.when(spread > 0, F.abs(n * lagged - total * total) * F.sqrt(n.cast("double")) / spread).otherwise(F.lit(500.0))
+    lag = lambda c: _sum(F.zip_with(c, F.concat(F.slice(c, 2, F.size(c)), F.slice(c, 1, 1)), lambda x, y: x * y))
+    sums = _bound(F.transform(chars, lambda c: F.ascii(c).cast("long")), lambda c: F.struct(_sum(c).alias("total"), _sum(F.transform(c, lambda x: x * x)).alias("squared"), lag(c).alias("lagged")))
+    spread = lambda s: n * s["squared"] - s["total"] * s["total"]
+    z_serial = _bound(sums, lambda s: F.when(spread(s) > 0, F.abs(n * s["lagged"] - s["total"] * s["total"]) * F.sqrt(n.cast("double")) / spread(s)).otherwise(F.lit(500.0)))
     score = F.least(F.lit(20.0), F.greatest(F.lit(-500.0), z_chi + z_runs - z_serial))
     power = F.length(F.bin(n)) - 1
     size = F.least(F.lit(LONGEST), (4 * power + F.floor(4 * n / F.pow(F.lit(2), power)) - 4).cast("int"))
@@ -116,27 +138,33 @@ def _scored(token: Column, encoding: Column) -> Column:
 
 
 def _artificial(text: Column) -> Column:
-    """(form, token) of every form, from words and the hash of a text; none where it has fewer than three words."""
-    seed = F.md5(text.cast("binary"))
-    digits = lambda at, n: F.conv(F.substring(seed, at, n), 16, 10).cast("long")
+    """An array of the one (form, token) of a text, its form by the text's hash, from words of a window of it; empty where
+    that has fewer than three words."""
+    digits = lambda seed, at, n: F.conv(F.substring(seed, at, n), 16, 10).cast("long")
 
-    def of(found: Column) -> Column:
-        many = F.element_at(F.array(*map(F.lit, WORDS_OF)), (digits(F.lit(1), F.lit(4)) % len(WORDS_OF) + 1).cast("int"))
-        places = F.transform(F.sequence(F.lit(0), many - 1), lambda i: ((digits(1 + i % 27, F.lit(6)) + i * 7919) % F.size(found) + 1).cast("int"))
+    def of(seed: Column, found: Column) -> Column:
+        many = F.element_at(F.array(*map(F.lit, WORDS_OF)), (digits(seed, F.lit(1), F.lit(4)) % len(WORDS_OF) + 1).cast("int"))
+        places = F.transform(F.sequence(F.lit(0), many - 1), lambda i: ((digits(seed, 1 + i % 27, F.lit(6)) + i * 7919) % F.size(found) + 1).cast("int"))
         words = F.transform(places, lambda k: F.lower(F.element_at(found, k)))
         capital = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 20)))
-        numbered = F.transform(capital, lambda w, i: F.when(i % 3 == 2, F.concat(w, (digits(1 + i % 29, F.lit(2)) % 100).cast("string"))).otherwise(w))
+        numbered = F.transform(capital, lambda w, i: F.when(i % 3 == 2, F.concat(w, (digits(seed, 1 + i % 29, F.lit(2)) % 100).cast("string"))).otherwise(w))
         decimal = F.substring(F.array_join(F.transform(places, lambda k: k.cast("string")), ""), 1, 255)
         tokens = {"camel": F.array_join(capital, ""), "numbered": F.array_join(numbered, ""), "path": F.array_join(words, "/"), "upper": F.upper(F.array_join(words, "")), "decimal": decimal}
-        return F.array(*(F.struct(F.lit(f).alias("form"), tokens[f].alias("token")) for f in FORMS))
+        which, token = digits(seed, F.lit(5), F.lit(4)) % len(FORMS), F.lit(None).cast("string")
+        for k, form in reversed(list(enumerate(FORMS))):
+            token = F.when(which == k, tokens[form]).otherwise(token)  # the others aren't evaluated
+        return F.array(F.struct(F.element_at(F.array(*map(F.lit, FORMS)), (which + 1).cast("int")).alias("form"), token.alias("token")))
+
+    def within(seed: Column) -> Column:
+        at = digits(seed, F.lit(9), F.lit(8)) % F.greatest(F.lit(1), F.char_length(text) - WINDOW + 1) + 1
+        found = F.regexp_extract_all(F.substring(text, at.cast("int"), F.lit(WINDOW)), F.lit(WORD), F.lit(0))
+        return _bound(found, lambda w: F.when(F.size(w) >= 3, of(seed, w)).otherwise(F.array().cast("array<struct<form:string,token:string>>")))
 
-    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    # the array is bound to a variable so that a text is searched once
-    return F.flatten(F.transform(F.array(found), lambda w: F.when(F.size(w) >= 3, of(w)).otherwise(F.array().cast("array<struct<form:string,token:string>>"))))
+    return _bound(F.md5(text.cast("binary")), within)
 
 
 def _null_tests(text: Column) -> Column:
-    """(form, size, score) of the artificial tokens of 20 to 255 characters."""
+    """(form, size, score) of the artificial token if it has 20 to 255 characters."""
     fit = F.filter(_artificial(text), lambda t: F.char_length(t["token"]).between(20, 255))
     encoding = lambda t: F.element_at(F.create_map(*(F.lit(x) for kv in FORMS.items() for x in kv)), t["form"])
     return F.transform(fit, lambda t: F.struct(t["form"].alias("form"), _scored(t["token"], encoding(t)).alias("t")))
