@@ -1,20 +1,24 @@
 """N-gram Jaccard join: which documents share at least three quarters of their word shingles, and the groups they form.
 
-The product of the sparse document-by-shingle matrix with its transpose, in blocks of one shingle each:
+The product of the sparse document-by-shingle matrix with its transpose, in blocks, with overlap counts summed by pair:
 
 1. One pass hashes the shingle set of each text. Equal sets become one node; a count-min sketch of fixed size estimates
    how many texts hold each shingle. Both come from tasks as partial results.
 2. Shingles are put in one global order, rare first by the sketch, then by hash (any order is right, rare first keeps
-   blocks small). A pair that links shares one of the first n - ceil(0.75 n) + 1 shingles of either text, so only those
-   are shuffled by shingle. Within a block, pairs whose size or position bounds rule the threshold out are discarded.
-3. A block of up to BLOCK nodes gives its pairs. A larger one first gives a star (each node with the one that is in most
+   blocks small). A pair that links shares one of the first n - ceil(0.75 n) + 1 shingles of either text, so the first
+   product is of these columns. Blocks are shingles; each gives partial counts of the pairs whose sizes allow a link.
+3. The partial counts are summed by pair. What two texts share is at most the sum, the columns of large blocks that both
+   have and what follows the first shingles of one of them; pairs whose sizes ask for more go.
+4. A block of up to BLOCK nodes gives its pairs. A larger one first gives a star (each node with the one that is in most
    large blocks, as the origin of edited copies is); only nodes that verified stars have not yet connected are compared
    afterwards, in cells of CELL x CELL nodes: first each node with its closest one of another component, then, where
    these links leave components apart, all pairs between them. A pair is given by the first of its common blocks only.
    So a large group of near copies costs rows in proportion to its size and a hot shingle is spread over many tasks.
-4. Each set also has a parity sketch of BITS bits a shingle or more. The bits in which two sketches differ are a lower bound
+5. Each set also has a parity sketch of BITS bits a shingle or more. The bits in which two sketches differ are a lower bound
    of the shingles in which the sets differ, so pairs too far apart go before any set moves.
-5. Overlaps of the pairs left are counted exactly on the full sets, 100 * both >= 75 * either.
+6. The second product is of all columns, masked by the pairs left: sets are cut by shingle hash into blocks of about CUT
+   shingles, each block gives a pair's partial count, and the sums decide, 100 * both >= 75 * either. So no row holds the
+   whole set of a long text.
 
 Nothing of the corpus reaches the driver but the count-min sketch (SKETCH counters) and a Bloom filter of fixed size that
 spares sets no pair needs. Set equality and shingle equality are 64-bit hash equality.
@@ -23,10 +27,11 @@ spares sets no pair needs. Set equality and shingle equality are 64-bit hash equ
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import common
@@ -43,6 +48,8 @@ HOT = 20_000
 CELL = 1024
 #: Bits of a parity sketch for each shingle, a power of two: at one bit, pairs at two thirds often look like three quarters.
 BITS = 4
+#: Shingles of a set that one row holds, about: a longer set is cut into a power of two of pieces by the leading bits.
+CUT = 8192
 #: Earlier large blocks of a node that a row carries to tell which pairs were met before; with others a pair is met again.
 EARLIER = 8
 #: Bits of the Bloom filter.
@@ -50,8 +57,10 @@ BLOOM = 1 << 24
 
 _PASS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("parity", pa.list_(pa.int64())), ("piece", pa.int32()), ("counts", pa.binary())])
 _ENTRY = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("hot", pa.bool_())])
+#: n and pos: of an entry (b is null) its set's size and its position; of a pair how many shingles it shares here and in how many
+#: of these the positions allow a link.
 _PAIR = pa.schema([("shingle", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
-_CELL = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_CELL = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64())])
 
 
 def _node(s: np.ndarray) -> int:
@@ -133,12 +142,11 @@ def _entries(size: int, sketch, percent: int, hot: int):
 def _allowed(n1, p1, n2, p2, percent: int):
     """Whether a pair whose first common shingle is at these positions can still reach the threshold."""
     low, high = np.minimum(n1, n2), np.maximum(n1, n2)
-    both = 1 + np.minimum(n1 - p1, n2 - p2) - 1
-    return (100 * low >= percent * high) & ((100 + percent) * both >= percent * (n1 + n2))
+    return (100 * low >= percent * high) & ((100 + percent) * np.minimum(n1 - p1, n2 - p2) >= percent * (n1 + n2))
 
 
 def _blocks(percent: int, block: int):
-    """Streams entries sorted by shingle: pairs of small blocks, the entries themselves of large ones (b is null)."""
+    """Streams entries sorted by shingle: partial counts of pairs of small blocks, the entries themselves of large ones."""
 
     def give(shingle, a, b, n, pos):
         return pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(a), b if isinstance(b, pa.Array) else pa.array(b), pa.array(n), pa.array(pos)], schema=_PAIR)
@@ -160,13 +168,17 @@ def _blocks(percent: int, block: int):
             i, j = np.triu_indices(m, 1)
             for part in np.array_split(at, max(1, len(at) * len(i) // 500_000)):
                 x, y = t[(part[:, None] + i).ravel()], t[(part[:, None] + j).ravel()]
-                ok = (x["v"] != y["v"]) & _allowed(x["n"].astype(np.int64), x["p"], y["n"].astype(np.int64), y["p"], percent)
-                x, y = x[ok], y[ok]
-                one = np.stack([np.minimum(x["v"], y["v"]), np.maximum(x["v"], y["v"])], 1)
-                one = np.unique(one, axis=0) if len(one) else one
-                if len(one):
-                    zero = np.zeros(len(one), np.int32)
-                    yield give(zero.astype(np.int64), one[:, 0].copy(), one[:, 1].copy(), zero, zero)
+                n_x, n_y = x["n"].astype(np.int64), y["n"].astype(np.int64)
+                ok = (x["v"] != y["v"]) & _allowed(n_x, 0, n_y, 0, percent)
+                first = _allowed(n_x, x["p"], n_y, y["p"], percent)[ok]
+                a, b = np.minimum(x["v"], y["v"])[ok], np.maximum(x["v"], y["v"])[ok]
+                if not len(a):
+                    continue
+                order = np.lexsort((b, a))
+                a, b, first = a[order], b[order], first[order]
+                start = np.concatenate([[0], np.flatnonzero((np.diff(a) != 0) | (np.diff(b) != 0)) + 1])
+                shared = np.diff(np.concatenate([start, [len(a)]])).astype(np.int32)
+                yield give(np.zeros(len(start), np.int64), a[start], b[start], shared, np.add.reduceat(first.astype(np.int32), start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = [("s", np.int64), ("v", np.int64), ("n", np.int32), ("p", np.int32)]
@@ -203,22 +215,37 @@ def _blocks(percent: int, block: int):
     return run
 
 
-def _sets(size: int, bloom):
-    schema = pa.schema([("node", pa.int64()), ("set", pa.list_(pa.int64()))])
+def _level(n: int) -> int:
+    """A set of n shingles is cut into 2 ** _level(n) pieces."""
+    return ((n - 1) // CUT).bit_length()
+
+
+def _level_of(n: str) -> Column:
+    """_level as a Column."""
+    return F.when(F.col(n) > CUT, F.length(F.bin(F.floor((F.col(n) - 1) / CUT)))).otherwise(0)
+
+
+def _sets(size: int, percent: int, bloom):
+    """Sets in pieces, at each level that a link with another set can ask for."""
+    schema = pa.schema([("node", pa.int64()), ("level", pa.int32()), ("piece", pa.int32()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = bloom.value, set()
         for batch in batches:
             for _, texts in common.steps(batch.column(0), batch.column(1)):
-                nodes, kept = [], []
+                rows: list[tuple[int, int, int, np.ndarray]] = []
                 for s in common.shingle_sets(texts, size):
                     if len(s) and (node := _node(s)) not in seen and bits[(bit := node % BLOOM) >> 3] >> (bit & 7) & 1:
                         seen.add(node)
-                        nodes.append(node)
-                        kept.append(s.view(np.int64))
-                if nodes:
+                        for level in range(_level(len(s)), _level(100 * len(s) // percent) + 1):
+                            of = s >> np.uint64(64 - level) if level else np.zeros(len(s), np.uint64)
+                            at = np.searchsorted(of, np.arange(2**level + 1, dtype=np.uint64))
+                            rows.extend((node, level, k, s[at[k] : at[k + 1]].view(np.int64)) for k in range(2**level) if at[k] < at[k + 1])
+                if rows:
+                    nodes, levels, pieces, kept = zip(*rows, strict=True)
                     ends = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept)))], schema=schema)
+                    sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept)))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(levels, pa.int32()), pa.array(pieces, pa.int32()), sets], schema=schema)
 
     return run
 
@@ -282,14 +309,15 @@ def _cells(percent: int, closest: bool):
             first = np.unique(both[order], return_index=True)[1]
             take = np.unique(at[order[first]])
             x, y = x[take], y[take]
-        a, b = node[x], node[y]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=_CELL)
+        low = node[x] < node[y]
+        a, b = np.where(low, x, y), np.where(low, y, x)
+        return pa.table({"a": node[a], "b": node[b], "n_a": n[a], "n_b": n[b]}, schema=_CELL)
 
     return run
 
 
 def _apart(large: DataFrame, found: DataFrame, classes: DataFrame, percent: int, cell: int, closest: bool) -> DataFrame:
-    """Pairs (a, b) of large blocks (shingle, node, n, pos) that can link and that found (node, label) doesn't connect."""
+    """Pairs (a, b, n_a, n_b) of large blocks (shingle, node, n, pos) that can link and that found (node, label) doesn't connect."""
     labelled = large.join(found, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     open_ = labelled.groupBy("shingle").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", F.ceil(F.col("m") / cell).cast("int").alias("sides"))
     members = common.keep(labelled.join(open_, "shingle"), "open")
@@ -297,38 +325,60 @@ def _apart(large: DataFrame, found: DataFrame, classes: DataFrame, percent: int,
     first = first.select("node", F.col("first.pos").alias("at"), F.col("first.shingle").alias("blocks"))
     cells = members.join(classes.select("node", "parity").join(first, "node"), "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
-    return cells.groupBy("shingle", "i", "j").applyInArrow(_cells(percent, closest), "a long, b long").distinct()
+    return cells.groupBy("shingle", "i", "j").applyInArrow(_cells(percent, closest), "a long, b long, n_a long, n_b long").distinct()
 
 
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that parity sketches don't rule out."""
-    fold = lambda c, other: F.when(F.size(c) > F.size(other), F.zip_with(F.slice(c, 1, F.size(other)), F.slice(c, F.size(other) + 1, F.size(other)), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
-    one = pairs.join(classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("p_b")), "b").join(classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("p_a")), "a")
+    """The pairs (a, b, n_a, n_b) of (a, b, shared) that neither the summed counts nor the parity sketches rule out.
+
+    classes has the entries of each node in large blocks (hidden), which the counts leave out."""
+
+    def side(x: str) -> DataFrame:
+        return classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}"), F.col("hidden").alias(f"hidden_{x}"))
+
+    def folded(one: str, other: str) -> Column:
+        halves = F.zip_with(F.slice(one, 1, F.size(other)), F.slice(one, F.size(other) + 1, F.size(other)), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(one) > F.size(other), halves).otherwise(F.col(one))
+
+    one = pairs.join(side("b"), "b").join(side("a"), "a")
+    total = F.col("n_a") + F.col("n_b")
+    rest = F.ceil(F.lit(percent) * F.greatest("n_a", "n_b") / 100) - 1
+    one = one.where(F.lit(100 + percent) * (F.col("shared") + F.least("hidden_a", "hidden_b") + rest) >= F.lit(percent) * total)
     one = one.where(F.greatest(F.size("p_a"), F.size("p_b")) <= 2 * F.least(F.size("p_a"), F.size("p_b")))
-    differ = F.aggregate(F.zip_with(fold("p_a", "p_b"), fold("p_b", "p_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return one.where(F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    differ = F.aggregate(F.zip_with(folded("p_a", "p_b"), folded("p_b", "p_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return one.where(F.lit(100 + percent) * differ <= F.lit(100 - percent) * total).select("a", "b", "n_a", "n_b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets overlap enough, counted exactly."""
+    """The links (a, b, n_a, n_b, both) among pairs (a, b, n_a, n_b): partial counts of blocks of all shingles, summed by pair."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     bloom = pairs.sparkSession.sparkContext.broadcast(_bloom(wanted))
-    sets = docs.mapInArrow(_sets(size, bloom), "node long, set array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = common.keep(sets, "sets")
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    one = one.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("total"))
-    return common.keep(one.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("total") - F.col("both"))).select("a", "b"), "links")
-
-
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, block: int = BLOCK, hot: int = HOT, cell: int = CELL) -> DataFrame:
-    """(id, n_shingles, component_id, copies) for every row of docs.
-
-    n_shingles: distinct shingles of size words; a text with fewer words is one shingle, a null, empty or blank one has
-    none and stands alone. component_id: least id reachable over links of percent or more; copies: rows with an equal set.
-    Columns of docs other than the two named are not read; a row with a null id has the least id that others of its component
-    have, null if none has one; a repeated id counts once
-    per distinct set, and its component is the least of them; an empty table gives an empty table."""
+    sets = docs.mapInArrow(_sets(size, percent, bloom), "node long, level int, piece int, set array<long>").join(wanted, "node", "left_semi")
+    sets = common.keep(sets.dropDuplicates(["node", "level", "piece"]), "sets")
+    one = pairs.withColumn("level", F.greatest(_level_of("n_a"), _level_of("n_b")))
+    one = one.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, level) - 1"))))
+    for x in ("b", "a"):
+        one = one.join(sets.select(F.col("node").alias(x), "level", "piece", F.col("set").alias(f"set_{x}")), [x, "level", "piece"])
+    counts = one.withColumn("both", F.size(F.array_intersect("set_a", "set_b")).cast("long")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
+    links = counts.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("both")))
+    links = common.keep(links, "links")
+    common.drop(pairs.sparkSession, sets)
+    bloom.unpersist()
+    return links
+
+
+class _Product(NamedTuple):
+    """The first product of a table: its rows (doc_id, node, n), its distinct sets, entries of large blocks and pairs that may link."""
+
+    docs: DataFrame
+    rows: DataFrame
+    classes: DataFrame
+    large: DataFrame
+    pairs: DataFrame
+    scratch: list[DataFrame]
+
+
+def _product(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, block: int, hot: int) -> _Product:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = common.keep(docs.mapInArrow(_sizes(size), "kind byte, doc_id long, node long, n long, parity array<long>, piece int, counts binary"), "sizes")
@@ -341,20 +391,53 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     entries = entries.repartition(F.when(F.col("hot"), F.col("node")).otherwise(F.col("shingle"))).sortWithinPartitions("shingle")
     met = common.keep(entries.mapInArrow(_blocks(percent, block), "shingle long, a long, b long, n int, pos int"), "blocks")
     large = met.where("b is null").select("shingle", F.col("a").alias("node"), "n", "pos").distinct()
-    shared = large.join(large.groupBy("node").agg(F.count("*").alias("blocks")), "node")
-    centres = shared.groupBy("shingle").agg(F.max(F.struct("blocks", "node"))["node"].alias("centre"))
-    stars = large.join(centres, "shingle").where("node <> centre")
-    pairs = met.where("b is not null").select("a", "b").unionByName(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))).distinct()
-    pairs = common.keep(_near(pairs, classes, percent), "pairs")
-    links = _verified(pairs, docs, size, percent)
-    found = common.components(links)
+    hidden = large.groupBy("node").agg(F.count("*").alias("hidden"))
+    centres = large.join(hidden, "node").groupBy("shingle").agg(F.max(F.struct("hidden", "node"))["node"].alias("centre"))
+    stars = large.join(centres, "shingle").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.lit(0).alias("n"), F.lit(1).alias("pos"))
+    sums = met.where("b is not null").select("a", "b", "n", "pos").unionByName(stars.distinct()).groupBy("a", "b").agg(F.sum("n").alias("shared"), F.sum("pos").alias("allowed"))
+    counted = classes.join(hidden, "node", "left").fillna(0, ["hidden"])
+    pairs = common.keep(_near(sums.where("allowed > 0").drop("allowed"), counted, percent), "pairs")
+    return _Product(docs, rows, classes, large, pairs, [met, pairs])
+
+
+def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, block: int = BLOCK, hot: int = HOT, cell: int = CELL) -> DataFrame:
+    """(a, b, both, n_a, n_b): every link between two different sets of shingles with the number of shingles they share.
+
+    a < b are the least ids of the rows that have these sets (null where none has an id; then the order is open). Large blocks
+    are compared whole, in cells, so unlike join() this gives links within components too, and its cells test the square of a
+    large block's nodes. Rows without words have no links; an empty table gives an empty table."""
+    made = _product(docs, id_col, text_col, size, percent, block, hot)
+    links = _verified(made.pairs, made.docs, size, percent)
+    alone = made.classes.select("node", F.col("node").alias("label"))
+    more = common.keep(_apart(made.large, alone, made.classes, percent, cell, False).join(made.pairs, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(_verified(more, made.docs, size, percent))
+    common.drop(docs.sparkSession, *made.scratch, more)
+    for x in ("a", "b"):
+        links = links.join(made.classes.select(F.col("node").alias(x), F.col("least").alias(f"id_{x}")), x)
+    swap = F.col("id_a") > F.col("id_b")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return links.select(pick("id_a", "id_b").alias("a"), pick("id_b", "id_a").alias("b"), "both", pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"))
+
 
-    tried = pairs
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, block: int = BLOCK, hot: int = HOT, cell: int = CELL) -> DataFrame:
+    """(id, n_shingles, component_id, copies) for every row of docs.
+
+    n_shingles: distinct shingles of size words; a text with fewer words is one shingle, a null, empty or blank one has
+    none and stands alone. component_id: least id reachable over links of percent or more; copies: rows with an equal set.
+    Columns of docs other than the two named are not read; a row with a null id has the least id that others of its component
+    have, null if none has one; a repeated id counts once
+    per distinct set, and its component is the least of them; an empty table gives an empty table."""
+    made = _product(docs, id_col, text_col, size, percent, block, hot)
+    rows, classes, tried = made.rows, made.classes, made.pairs.select("a", "b")
+    links, scratch = _verified(made.pairs, made.docs, size, percent), made.scratch
+    found = common.components(links)
     for closest in (True, False):
-        more = common.keep(_apart(large, found, classes, percent, cell, closest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = common.keep(_apart(made.large, found, classes, percent, cell, closest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        scratch.append(more)
         if not more.isEmpty():
-            links, tried = links.unionByName(_verified(more, docs, size, percent)), tried.unionByName(more)
+            links, tried = links.unionByName(_verified(more, made.docs, size, percent)), tried.unionByName(more.select("a", "b"))
             found = common.components(links)
+    common.drop(docs.sparkSession, *scratch)
 
     least = classes.join(found, "node", "left").withColumn("group", F.coalesce("label", "node"))
     ids = least.groupBy("group").agg(F.min("least").alias("component_id"))
