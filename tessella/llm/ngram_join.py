@@ -31,7 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import common
@@ -146,7 +146,7 @@ def _allowed(n1, p1, n2, p2, percent: int):
 
 
 def _blocks(percent: int, block: int):
-    """Streams entries sorted by shingle: partial counts of pairs of small blocks, the entries themselves of large ones."""
+    """Streams entries sorted by shingle and node, repeated ones once: partial counts of pairs of small blocks, the entries themselves of large ones."""
 
     def give(shingle, a, b, n, pos):
         return pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(a), b if isinstance(b, pa.Array) else pa.array(b), pa.array(n), pa.array(pos)], schema=_PAIR)
@@ -182,12 +182,19 @@ def _blocks(percent: int, block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = [("s", np.int64), ("v", np.int64), ("n", np.int32), ("p", np.int32)]
-        left, large = np.zeros(0, kind), None
+        left, large, last = np.zeros(0, kind), None, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             t = np.zeros(batch.num_rows, kind)
             for c, name in zip(("s", "v", "n", "p"), ("shingle", "node", "n", "pos"), strict=True):
                 t[c] = batch.column(name).to_numpy(zero_copy_only=False)
             hot = batch.column("hot").to_numpy(zero_copy_only=False)
+            new = np.ones(len(t), bool)
+            new[1:] = (t["s"][1:] != t["s"][:-1]) | (t["v"][1:] != t["v"][:-1])
+            new[0] = (t["s"][0], t["v"][0]) != last
+            last = (t["s"][-1], t["v"][-1])
+            t, hot = t[new], hot[new]
             if hot.any():
                 yield raw(t[hot])
                 t = t[~hot]
@@ -316,8 +323,9 @@ def _cells(percent: int, closest: bool):
     return run
 
 
-def _apart(large: DataFrame, found: DataFrame, classes: DataFrame, percent: int, cell: int, closest: bool) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of large blocks (shingle, node, n, pos) that can link and that found (node, label) doesn't connect."""
+def _apart(large: DataFrame, found: DataFrame, classes: DataFrame, percent: int, cell: int, closest: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, n_a, n_b) of large blocks (shingle, node, n, pos) that can link and that found (node, label) doesn't connect;
+    and the blocks that it leaves open, which are all that a later call needs, as components only grow."""
     labelled = large.join(found, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     open_ = labelled.groupBy("shingle").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", F.ceil(F.col("m") / cell).cast("int").alias("sides"))
     members = common.keep(labelled.join(open_, "shingle"), "open")
@@ -325,7 +333,8 @@ def _apart(large: DataFrame, found: DataFrame, classes: DataFrame, percent: int,
     first = first.select("node", F.col("first.pos").alias("at"), F.col("first.shingle").alias("blocks"))
     cells = members.join(classes.select("node", "parity").join(first, "node"), "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
-    return cells.groupBy("shingle", "i", "j").applyInArrow(_cells(percent, closest), "a long, b long, n_a long, n_b long").distinct()
+    pairs = cells.groupBy("shingle", "i", "j").applyInArrow(_cells(percent, closest), "a long, b long, n_a long, n_b long").distinct()
+    return pairs, members.select("shingle", "node", "n", "pos")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -388,11 +397,12 @@ def _product(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     classes = common.keep(classes, "classes")
 
     entries = docs.mapInArrow(_entries(size, sketch, percent, hot), "shingle long, node long, n int, pos int, hot boolean")
-    entries = entries.repartition(F.when(F.col("hot"), F.col("node")).otherwise(F.col("shingle"))).sortWithinPartitions("shingle")
+    entries = entries.repartition(F.when(F.col("hot"), F.col("node")).otherwise(F.col("shingle"))).sortWithinPartitions("shingle", "node")
     met = common.keep(entries.mapInArrow(_blocks(percent, block), "shingle long, a long, b long, n int, pos int"), "blocks")
-    large = met.where("b is null").select("shingle", F.col("a").alias("node"), "n", "pos").distinct()
-    hidden = large.groupBy("node").agg(F.count("*").alias("hidden"))
-    centres = large.join(hidden, "node").groupBy("shingle").agg(F.max(F.struct("hidden", "node"))["node"].alias("centre"))
+    large = met.where("b is null").select("shingle", F.col("a").alias("node"), "n", "pos")
+    shared = large.withColumn("hidden", F.count("*").over(Window.partitionBy("node")))
+    hidden = shared.groupBy("node").agg(F.first("hidden").alias("hidden"))
+    centres = shared.groupBy("shingle").agg(F.max(F.struct("hidden", "node"))["node"].alias("centre"))
     stars = large.join(centres, "shingle").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.lit(0).alias("n"), F.lit(1).alias("pos"))
     sums = met.where("b is not null").select("a", "b", "n", "pos").unionByName(stars.distinct()).groupBy("a", "b").agg(F.sum("n").alias("shared"), F.sum("pos").alias("allowed"))
     counted = classes.join(hidden, "node", "left").fillna(0, ["hidden"])
@@ -409,7 +419,8 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     made = _product(docs, id_col, text_col, size, percent, block, hot)
     links = _verified(made.pairs, made.docs, size, percent)
     alone = made.classes.select("node", F.col("node").alias("label"))
-    more = common.keep(_apart(made.large, alone, made.classes, percent, cell, False).join(made.pairs, ["a", "b"], "left_anti"), "pairs")
+    more, _ = _apart(made.large, alone, made.classes, percent, cell, False)
+    more = common.keep(more.join(made.pairs, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_verified(more, made.docs, size, percent))
     common.drop(docs.sparkSession, *made.scratch, more)
     for x in ("a", "b"):
@@ -430,10 +441,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     made = _product(docs, id_col, text_col, size, percent, block, hot)
     rows, classes, tried = made.rows, made.classes, made.pairs.select("a", "b")
     links, scratch = _verified(made.pairs, made.docs, size, percent), made.scratch
-    found = common.components(links)
+    found, open_ = common.components(links), made.large
     for closest in (True, False):
-        more = common.keep(_apart(made.large, found, classes, percent, cell, closest).join(tried, ["a", "b"], "left_anti"), "pairs")
-        scratch.append(more)
+        more, open_ = _apart(open_, found, classes, percent, cell, closest)
+        more = common.keep(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        scratch += [more, open_]
         if not more.isEmpty():
             links, tried = links.unionByName(_verified(more, made.docs, size, percent)), tried.unionByName(more.select("a", "b"))
             found = common.components(links)
