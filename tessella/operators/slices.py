@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import topology
+from tessella.plans.joins import dealt
 
 
 def plane(origin, normal) -> Column:
@@ -31,7 +32,7 @@ def corners(cells: DataFrame, nodes: DataFrame, f: Column, fields: list[str]) ->
     """(cell_id, cell_type, c, lo, hi, box): each cell's corners as structs with f and the fields, f's range and the bounding box. The
     only join of nodes and cells, however many cuts follow."""
     at = nodes.select(F.col("node_id").alias("id"), "x", "y", "z", f.alias("_f"), *fields)
-    j = cells.select("cell_id", "cell_type", F.posexplode("nodes").alias("place", "id")).join(at, "id")
+    j = cells.select("cell_id", "cell_type", F.posexplode("nodes").alias("place", "id")).join(dealt(at), "id").repartition("cell_id", "cell_type")
     c = F.array_sort(F.collect_list(F.struct("place", "id", "x", "y", "z", "_f", *fields)))
     return j.groupBy("cell_id", "cell_type").agg(c.alias("c"), F.min("_f").alias("lo"), F.max("_f").alias("hi"), *(g(a).alias(a + n) for a in "xyz" for g, n in ((F.min, "0"), (F.max, "1"))))
 
