@@ -148,7 +148,7 @@ def on_every_cycle(field: DataFrame, name: str, needed: list[str], value) -> Dat
     key = ["series_id", "cycle", "entity_id"]
     own = field.where(F.col("var").isin(needed))
     # entities of a cycle: those that have any of the needed variables
-    wide = own.groupBy(*key).pivot("var", needed).agg(F.first("value"))
+    wide = own.repartition(*key).groupBy(*key).agg(*(F.first(F.when(F.col("var") == v, F.col("value")), ignorenulls=True).alias(v) for v in needed))
     out = add_variable(wide, name, value)
     faults = out.groupBy("series_id", "cycle").agg(F.count_if(F.coalesce(F.col(name).isNull(), F.lit(True)) | F.exists(F.array(*(F.col(f"`{v}`").isNull() for v in needed)), lambda x: x)).alias("bad"))
     taken = field.groupBy("series_id", "cycle").agg(F.count_if(F.col("var") == name).alias("there"))
