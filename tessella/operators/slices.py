@@ -185,7 +185,7 @@ def boundary_line(cells: DataFrame, nodes: DataFrame, origin, normal) -> DataFra
     e = f.select("cell_id", "local", F.explode(ring).alias("e")).select("cell_id", "local", "e.a", "e.b")
     at = nodes.select("node_id", "x", "y", "z", plane(origin, normal).alias("f"))
     for k in "ab":
-        e = e.join(at.select(F.col("node_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("x", "y", "z", "f"))), k)
+        e = e.join(dealt(at.select(F.col("node_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("x", "y", "z", "f")))), k)
     e = e.where((F.col("f_a") >= 0) != (F.col("f_b") >= 0)).withColumn("t", F.col("f_a") / (F.col("f_a") - F.col("f_b")))
     return e.select("cell_id", "local", *((F.col(f"{c}_a") + F.col("t") * (F.col(f"{c}_b") - F.col(f"{c}_a"))).alias(c) for c in "xyz"))
 
