@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.plans.joins import dealt
+
 AXES = "xyz"
 
 
@@ -35,8 +37,8 @@ def node_gradient(cells: DataFrame, nodes: DataFrame, names: list[str]) -> DataF
     from tessella.operators.topology import node_neighbours
 
     other = nodes.select(F.col("node_id").alias("other"), *(F.col(a).alias("o" + a) for a in AXES), *(F.col(n).alias("o_" + n) for n in names))
-    pairs = node_neighbours(cells).join(nodes.select("node_id", *AXES), "node_id").join(other, "other")
-    return nodes.select("node_id").join(_differences(pairs, "node_id", names, False), "node_id", "left").na.fill(0.0)
+    pairs = node_neighbours(cells).join(dealt(nodes.select("node_id", *AXES)), "node_id").join(dealt(other), "other")
+    return dealt(nodes.select("node_id")).join(_differences(pairs, "node_id", names, False), "node_id", "left").na.fill(0.0)
 
 
 def cell_gradient(faces: DataFrame, centres: DataFrame, names: list[str]) -> DataFrame:
@@ -44,8 +46,8 @@ def cell_gradient(faces: DataFrame, centres: DataFrame, names: list[str]) -> Dat
     from tessella.operators.topology import adjacent_cells
 
     other = centres.select(F.col("cell_id").alias("other"), *(F.col(a).alias("o" + a) for a in AXES), *(F.col(n).alias("o_" + n) for n in names))
-    pairs = adjacent_cells(faces).join(centres.select("cell_id", *AXES), "cell_id").join(other, "other")
-    return centres.select("cell_id").join(_differences(pairs, "cell_id", names, True), "cell_id", "left").na.fill(0.0)
+    pairs = adjacent_cells(faces).join(dealt(centres.select("cell_id", *AXES)), "cell_id").join(dealt(other), "other")
+    return dealt(centres.select("cell_id")).join(_differences(pairs, "cell_id", names, True), "cell_id", "left").na.fill(0.0)
 
 
 def divergence(u: str, v: str, w: str) -> Column:

@@ -269,5 +269,5 @@ def region_surfaces(faces: DataFrame, cells: DataFrame, parts: DataFrame) -> Dat
     """(part_name, face_id): boundary faces of the cells of each part."""
     from tessella.operators.filters import boundary
 
-    b = boundary(faces).select("face_id", F.col("owner").alias("cell_id")).join(cells.select("cell_id", "cvol_id"), "cell_id")
-    return b.join(parts.select("part_name", "cvol_id").distinct(), "cvol_id").select("part_name", "face_id").distinct()
+    b = boundary(faces).select("face_id", F.col("owner").alias("cell_id")).join(dealt(cells.select("cell_id", "cvol_id")), "cell_id")
+    return b.join(dealt(parts.select("part_name", "cvol_id").distinct()), "cvol_id").select("part_name", "face_id").distinct()
