@@ -5,10 +5,12 @@ The product of the sparse document-by-shingle matrix with its transpose, in bloc
 1. One pass hashes the shingle set of each text. Equal sets become one node; a count-min sketch of fixed size estimates
    how many texts hold each shingle. Both come from tasks as partial results.
 2. Shingles are put in one global order, rare first by the sketch, then by hash (any order is right, rare first keeps
-   blocks small). A pair that links shares one of the first n - ceil(0.75 n) + 1 shingles of either text, so the first
+   blocks small; counts are compared as they are, since of a large input a counter has a high share of other shingles, from
+   which those of a passage in tens of texts stand out by a small part only). A pair that links shares one of the first n - ceil(0.75 n) + 1 shingles of either text, so the first
    product is of these columns. Blocks are shingles; each gives partial counts of the pairs whose sizes allow a link.
 3. The partial counts are summed by pair. What two texts share is at most the sum, the columns of large blocks that both
-   have and what follows the first shingles of one of them; pairs whose sizes ask for more go.
+   have and what follows the first shingles of one of them; pairs whose sizes ask for more go, before anything but numbers
+   is joined to them.
 4. A block of up to BLOCK nodes gives its pairs. A larger one first gives a star (each node with the one that is in most
    large blocks, as the origin of edited copies is); only nodes that verified stars have not yet connected are compared
    afterwards, in cells of CELL x CELL nodes: first each node with its closest one of another component, then, where
@@ -26,6 +28,7 @@ spares sets no pair needs. Set equality and shingle equality are 64-bit hash equ
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -88,16 +91,25 @@ def _sizes(size: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), ids, pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_parity(s) for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_PASS)
         pieces = counts.reshape(PIECES, -1)
         none = pa.nulls(PIECES, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(PIECES, np.int8)), none, none, none, pa.nulls(PIECES, pa.list_(pa.int64())), pa.array(range(PIECES), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], schema=_PASS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(PIECES, np.int8)), none, none, none, pa.nulls(PIECES, pa.list_(pa.int64())), pa.array(range(PIECES), pa.int32()), pa.array([_packed(p) for p in pieces], pa.binary())], schema=_PASS)
 
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts by their bytes' planes, of which the high ones are mostly zeros, compressed."""
+    return zlib.compress(np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def _add_counts(table: pa.Table) -> pa.Table:
     total = np.zeros(SKETCH // PIECES, np.uint64)
     for b in table.column("counts"):
-        total += np.frombuffer(b.as_py(), np.uint64 if len(b.as_py()) == 8 * len(total) else np.uint32)
-    return pa.table({"piece": table.column("piece").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        total += _unpacked(b.as_py())
+    return pa.table({"piece": table.column("piece").slice(0, 1), "counts": pa.array([_packed(total)], pa.binary())})
 
 
 def _sketch(pieces: DataFrame) -> np.ndarray:
@@ -107,7 +119,7 @@ def _sketch(pieces: DataFrame) -> np.ndarray:
         half = half.groupBy(*by).applyInArrow(lambda k, t: _keyed(k, t), "piece int, part int, counts binary") if len(by) == 2 else half.groupBy(*by).applyInArrow(_add_counts, "piece int, counts binary")
     out = np.zeros((PIECES, SKETCH // PIECES), np.uint64)
     for row in half.collect():  # PIECES rows, SKETCH counters
-        out[row.piece] = np.frombuffer(row.counts, np.uint64)
+        out[row.piece] = _unpacked(row.counts)
     return np.minimum(out.ravel(), np.uint64(2**32 - 1)).astype(np.uint32)
 
 
@@ -119,7 +131,7 @@ def _keyed(key: tuple, table: pa.Table) -> pa.Table:
 def _entries(size: int, sketch, percent: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_by, seen = sketch.value, set()
-        usual = max(1, int(held_by.mean()))
+        usual = max(1, int(held_by.mean()))  # of a large input, what the other shingles of a counter add
         for batch in batches:
             for _, texts in common.steps(batch.column(0), batch.column(1)):
                 out: list[tuple[np.ndarray, ...]] = []
@@ -129,10 +141,10 @@ def _entries(size: int, sketch, percent: int, hot: int):
                         continue
                     seen.add(node)
                     known = held_by[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-                    order = np.lexsort((s, np.maximum(known // usual, 1) if usual > 1 else known))
+                    order = np.lexsort((s, known))
                     first = order[: n - -(-percent * n // 100) + 1]
                     k = len(first)
-                    out.append((s[first].view(np.int64), np.full(k, node, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), known[first] >= hot))
+                    out.append((s[first].view(np.int64), np.full(k, node, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), known[first] >= hot + usual - 1))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_ENTRY)
 
@@ -265,6 +277,18 @@ def _bloom(nodes: DataFrame) -> np.ndarray:
     return words.view(np.uint8)
 
 
+def _held(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, parity) of classes for nodes, a table of different ones; the rows that no node can need go before they are shuffled."""
+    bits = classes.sparkSession.sparkContext.broadcast(_bloom(nodes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column(0).to_numpy() % BLOOM
+            yield batch.filter(pa.array((bits.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return classes.select("node", "parity").mapInArrow(run, "node long, parity array<long>").join(nodes, "node", "left_semi")
+
+
 def _far(a: list, b: list) -> np.ndarray:
     """In how many bits the parity sketches of pairs differ at least; those of other sizes are folded to the smaller."""
     out = np.full(len(a), np.iinfo(np.int64).max)
@@ -331,28 +355,37 @@ def _apart(large: DataFrame, found: DataFrame, classes: DataFrame, percent: int,
     members = common.keep(labelled.join(open_, "shingle"), "open")
     first = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "shingle"))), 1, EARLIER).alias("first"))
     first = first.select("node", F.col("first.pos").alias("at"), F.col("first.shingle").alias("blocks"))
-    cells = members.join(classes.select("node", "parity").join(first, "node"), "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+    cells = members.join(_held(classes, members.select("node").distinct()).join(first, "node"), "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
     pairs = cells.groupBy("shingle", "i", "j").applyInArrow(_cells(percent, closest), "a long, b long, n_a long, n_b long").distinct()
     return pairs, members.select("shingle", "node", "n", "pos")
 
 
-def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) of (a, b, shared) that neither the summed counts nor the parity sketches rule out.
+def _counted(pairs: DataFrame, classes: DataFrame, hidden: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) of (a, b, shared) that the summed counts don't rule out.
+
+    hidden (node, hidden): the entries of nodes in large blocks, which the counts leave out."""
+    sizes = classes.select("node", "n").join(hidden, "node", "left").fillna(0, ["hidden"])
+    for x in ("b", "a"):
+        pairs = pairs.join(sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("hidden").alias(f"hidden_{x}")), x)
+    rest = F.ceil(F.lit(percent) * F.greatest("n_a", "n_b") / 100) - 1
+    most = F.col("shared") + F.least("hidden_a", "hidden_b") + rest
+    return pairs.where(F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b")
+
 
-    classes has the entries of each node in large blocks (hidden), which the counts leave out."""
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that the parity sketches don't rule out."""
 
     def side(x: str) -> DataFrame:
-        return classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}"), F.col("hidden").alias(f"hidden_{x}"))
+        return held.select(F.col("node").alias(x), F.col("parity").alias(f"p_{x}"))
 
     def folded(one: str, other: str) -> Column:
         halves = F.zip_with(F.slice(one, 1, F.size(other)), F.slice(one, F.size(other) + 1, F.size(other)), lambda x, y: x.bitwiseXOR(y))
         return F.when(F.size(one) > F.size(other), halves).otherwise(F.col(one))
 
+    held = _held(classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     one = pairs.join(side("b"), "b").join(side("a"), "a")
     total = F.col("n_a") + F.col("n_b")
-    rest = F.ceil(F.lit(percent) * F.greatest("n_a", "n_b") / 100) - 1
-    one = one.where(F.lit(100 + percent) * (F.col("shared") + F.least("hidden_a", "hidden_b") + rest) >= F.lit(percent) * total)
     one = one.where(F.greatest(F.size("p_a"), F.size("p_b")) <= 2 * F.least(F.size("p_a"), F.size("p_b")))
     differ = F.aggregate(F.zip_with(folded("p_a", "p_b"), folded("p_b", "p_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return one.where(F.lit(100 + percent) * differ <= F.lit(100 - percent) * total).select("a", "b", "n_a", "n_b")
@@ -405,9 +438,9 @@ def _product(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     centres = shared.groupBy("shingle").agg(F.max(F.struct("hidden", "node"))["node"].alias("centre"))
     stars = large.join(centres, "shingle").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.lit(0).alias("n"), F.lit(1).alias("pos"))
     sums = met.where("b is not null").select("a", "b", "n", "pos").unionByName(stars.distinct()).groupBy("a", "b").agg(F.sum("n").alias("shared"), F.sum("pos").alias("allowed"))
-    counted = classes.join(hidden, "node", "left").fillna(0, ["hidden"])
-    pairs = common.keep(_near(sums.where("allowed > 0").drop("allowed"), counted, percent), "pairs")
-    return _Product(docs, rows, classes, large, pairs, [met, pairs])
+    counted = common.keep(_counted(sums.where("allowed > 0").drop("allowed"), classes, hidden, percent), "counted")
+    pairs = common.keep(_near(counted, classes, percent), "pairs")
+    return _Product(docs, rows, classes, large, pairs, [met, counted, pairs])
 
 
 def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, block: int = BLOCK, hot: int = HOT, cell: int = CELL) -> DataFrame:
