@@ -38,10 +38,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     one without an id only where none has one)."""
     _small_batches(spark)
     rows, row = common.keyed(docs)
-    groups = ngram_join.join(rows, id_col=row).join(rows.select(row, "doc_id"), row)
+    groups = common.keep(ngram_join.join(rows, id_col=row).join(rows.select(row, "doc_id"), row).select(row, "doc_id", "component_id"), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))
     least = common.keep(groups.groupBy("component_id").agg(first.alias("first")).select(f"first.{row}"), "least")
-    return rows.join(least, row, "left_semi").select(*docs.columns)
+    copies = common.keep(groups.select(row).join(least, row, "left_anti"), "copies")
+    return ngram_join.without(rows, row, copies).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

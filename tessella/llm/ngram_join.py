@@ -33,6 +33,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -277,6 +278,19 @@ def _bloom(nodes: DataFrame) -> np.ndarray:
     return words.view(np.uint8)
 
 
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of rows whose key, a long, isn't in gone (key). Rows that a Bloom filter of gone clears stay where they are."""
+    bits = rows.sparkSession.sparkContext.broadcast(_bloom(gone.select(F.xxhash64(key).alias("node"))))
+
+    @F.pandas_udf("boolean")
+    def may_go(h: pd.Series) -> pd.Series:
+        bit = h.to_numpy() % BLOOM
+        return pd.Series((bits.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool))
+
+    found = may_go(F.xxhash64(key))
+    return rows.where(~found).unionByName(rows.where(found).join(gone, key, "left_anti").select(*rows.columns))
+
+
 def _held(classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, parity) of classes for nodes, a table of different ones; the rows that no node can need go before they are shuffled."""
     bits = classes.sparkSession.sparkContext.broadcast(_bloom(nodes))

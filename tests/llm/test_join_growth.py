@@ -40,3 +40,15 @@ def test_sketches_meet_only_pairs_that_counts_leave(spark, monkeypatch):
 def test_packed_counts():
     for counts in (np.zeros(5, np.uint32), np.array([0, 1, 255, 256, 2**32 - 1], np.uint32), np.array([2**40, 3], np.uint64)):
         assert ngram_join._unpacked(ngram_join._packed(counts)).tolist() == counts.tolist()
+
+
+def test_kept_rows_are_not_dealt_out(spark):
+    """Rows that stay are not shuffled, those that go are found whatever their number; an empty table of them takes none."""
+    rows = spark.range(0, 20_000).selectExpr("id * 8589934592 + id % 7 AS _row", "repeat('x', 10) AS text")
+    gone = rows.where("_row % 5 = 0").select("_row")
+    left = ngram_join.without(rows, "_row", gone)
+    assert sorted(left.collect()) == sorted(rows.where("_row % 5 <> 0").collect())
+    assert ngram_join.without(rows, "_row", gone.limit(0)).count() == 20_000
+    few = rows.where("_row % 1000 = 0").select("_row")
+    moved = ngram_join.without(rows, "_row", few)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in moved.split("\n")[0] and moved.count("LeftAnti") == 1
